@@ -17,13 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixweave.sources.session import workers_find_package
+
 U64 = np.uint64
 #: Bytes of text that one vectorised step handles at most (one text larger than this is a step of its own).
 STEP_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return workers_find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def n_parts(spark: SparkSession) -> int:

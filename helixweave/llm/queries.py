@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
+from .langid import language_id
+from .ngramjoin import jaccard_components
 from .substring import substring_dedup
 from .topk import exact_topk, quantised
+from .toxicity import toxicity
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +18,27 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(spark, v, v.where("id % 20 = 0"), k=20, slices=4)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    return language_id(spark, docs, ~F.col("held_out"), ("doc_id", "held_out"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity(spark, docs.withColumn("held_out", held_out()), labels, ~held_out(), ("doc_id", "held_out"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup(spark, table(spark, sf_dir, "documents"), k=13)
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_topk, op4_language_id, op7_toxicity, op8_substring_dedup, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
