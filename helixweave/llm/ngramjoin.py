@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, binary, components, cut, labels_of, lookup, mix, n_parts, raw, steps
 
-#: 64-bit words of a signature.
-SIG = 16
+#: Bits of a signature for each shingle, rounded up to a power of two; least and most 64-bit words.
+SIG_BITS, SIG_LEAST, SIG_MOST = 3, 4, 1024
 #: Members of a tile.
 CAP = 4096
 #: Documents in the sample that tells which shingles are frequent; any sample gives the same result.
@@ -58,10 +58,24 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def width(n: int) -> int:
+    """64-bit words of the signature of n shingles: a power of two."""
+    need = -(-SIG_BITS * n // 64)
+    return min(SIG_MOST, max(SIG_LEAST, 1 << (need - 1).bit_length() if need > 1 else 1))
+
+
 def signature(s: np.ndarray) -> np.ndarray:
-    sig = np.zeros(SIG, U64)
-    bit = s & U64(64 * SIG - 1)
-    np.bitwise_or.at(sig, (bit >> U64(6)).astype(np.intp), U64(1) << (bit & U64(63)))
+    words = width(len(s))
+    sig = np.zeros(64 * words, np.uint8)
+    sig[(s & U64(64 * words - 1)).astype(np.intp)] = 1
+    return np.packbits(sig, bitorder="little").view(U64)
+
+
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """Rows of signatures cut to ``words`` words: bits are hashes modulo the width, so halves are OR-ed."""
+    while sig.shape[1] > words:
+        half = sig.shape[1] // 2
+        sig = sig[:, :half] | sig[:, half:]
     return sig
 
 
@@ -86,8 +100,8 @@ class Tree:
         ok[i] = most * (self.den + self.num) >= self.num * (lo[a[i]] + lo[b[i]])
         return ok
 
-    def pairs(self, side: np.ndarray | None = None):
-        """Chunks of leaf pairs (a < b) that may link; side: only pairs whose sides differ."""
+    def pairs(self):
+        """Chunks of leaf pairs (a < b) that may link."""
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, a, b = todo.pop()
@@ -95,7 +109,7 @@ class Tree:
                 todo += [(level, a[i : i + _PAIRS], b[i : i + _PAIRS]) for i in range(0, len(a), _PAIRS)]
                 continue
             if level == 0:
-                keep = a < b if side is None else (a < b) & (side[a] != side[b])
+                keep = a < b
                 a, b = a[keep], b[keep]
             ok = self._possible(level, a, b)
             a, b = a[ok], b[ok]
@@ -145,56 +159,108 @@ def _light(n: int, num: int, den: int, hot):
     return run
 
 
-def _groups(batches, key: str):
-    """Rows of each key of a sorted partition, as column dicts."""
-    held: list[pa.RecordBatch] = []
+def _blocks(batches):
+    """Tables that hold whole buckets only, for partitions sorted by bucket."""
+    held = None
     for batch in batches:
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        at = 0
-        for c in [*cuts.tolist(), len(k)]:
-            piece = batch.slice(at, c - at)
-            if held and held[-1].column(key)[0] != piece.column(key)[0]:
-                yield pa.Table.from_batches(held)
-                held = []
-            if piece.num_rows:
-                held.append(piece)
-            at = c
-    if held:
-        yield pa.Table.from_batches(held)
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        k = t.column("bucket").to_numpy()
+        last = int(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))[-1])
+        held = t.slice(last)
+        if last:
+            yield t.slice(0, last)
+    if held is not None:
+        yield held
+
+
+def _bounds(t: pa.Table) -> np.ndarray:
+    k = t.column("bucket").to_numpy()
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), [len(k)]])
+
+
+def _candidates(size, sigs, tile, num: int, den: int):
+    """Chunks of index pairs whose sizes and signatures allow a link (documents in order of size).
+
+    Documents of equal signature width meet in one tree; those of the next width join them, folded.
+    """
+    words = np.array([len(x) // 8 for x in sigs])
+    tiles = not (tile == tile[0]).all()
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero((words == w) | (words == 2 * w))
+        own = words[at] == w
+        if own.sum() == 0 or len(at) < 2:
+            continue
+        # size order makes sizes of nodes narrow
+        sig = np.empty((len(at), w), U64)
+        for wide in (w, 2 * w):
+            pick = np.flatnonzero(words[at] == wide)
+            if len(pick):
+                sig[pick] = folded(np.frombuffer(b"".join([sigs[i] for i in at[pick]]), U64).reshape(len(pick), wide), w)
+        for a, b in Tree(size[at], sig, num, den).pairs():
+            keep = own[a] | own[b]
+            a, b = at[a[keep]], at[b[keep]]
+            if tiles:
+                keep = tile[a] != tile[b]
+                a, b = a[keep], b[keep]
+            if len(a):
+                yield a, b
+
+
+class _Edges:
+    """Edge arrays on their way out, in batches of some size."""
 
+    def __init__(self):
+        self.a, self.b, self.n = [], [], 0
 
-def _sigs(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(-1, SIG)
+    def add(self, a, b):
+        if len(a):
+            self.a.append(a)
+            self.b.append(b)
+            self.n += len(a)
+
+    def flush(self, least: int = 0):
+        if self.n > least:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(self.a)), pa.array(np.concatenate(self.b))], ["a", "b"])
+            self.__init__()
 
 
 def _families(num: int, den: int):
     """Spanning candidate edges of each bucket."""
 
     def run(batches):
-        a_out, b_out, held = [], [], 0
-        for t in _groups(batches, "bucket"):
+        out = _Edges()
+        for t in _blocks(batches):
             doc, size, tile = (t.column(c).to_numpy() for c in ("doc_id", "n", "tile"))
-            if len(doc) == 1:
-                continue
-            order = np.lexsort((doc, size))
-            doc, size, tile, sig = doc[order], size[order], tile[order], _sigs(t.column("sig"))[order]
-            side = None if (tile == tile[0]).all() else tile
-            lab = np.arange(len(doc))
-            for a, b in Tree(size, sig, num, den).pairs(side):
-                new = lab[a] != lab[b]
-                if new.any():
-                    lab = _merge(lab, a[new], b[new])
-            a, b = _star(doc, lab)
-            if len(a):
-                a_out.append(a)
-                b_out.append(b)
-                held += len(a)
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-                a_out, b_out, held = [], [], 0
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+            sigs = t.column("sig").to_pylist()
+            cuts = _bounds(t)
+            many = np.diff(cuts)
+            # buckets of two, all at once
+            i = cuts[:-1][many == 2]
+            i = i[(size[i] * den >= size[i + 1] * num) & (size[i + 1] * den >= size[i] * num)]
+            words = np.array([len(x) // 8 for x in sigs])
+            for w in np.unique(words[i]).tolist():
+                j = i[(words[i] == w) & (words[i + 1] == w)]
+                if len(j):
+                    x, y = (np.frombuffer(b"".join([sigs[k] for k in at]), U64).reshape(len(at), w) for at in (j, j + 1))
+                    hid = np.minimum(size[j] - np.bitwise_count(x).sum(1), size[j + 1] - np.bitwise_count(y).sum(1))
+                    ok = (np.bitwise_count(x & y).sum(1, dtype=np.int64) + hid) * (den + num) >= num * (size[j] + size[j + 1])
+                    out.add(np.maximum(doc[j], doc[j + 1])[ok], np.minimum(doc[j], doc[j + 1])[ok])
+            odd = np.zeros(len(many), bool)
+            odd[np.searchsorted(cuts, i[words[i] != words[i + 1]])] = True
+            for g in np.flatnonzero((many > 2) | odd).tolist():
+                at = np.arange(cuts[g], cuts[g + 1])
+                at = at[np.lexsort((doc[at], size[at]))]
+                lab = np.arange(len(at))
+                for a, b in _candidates(size[at], [sigs[k] for k in at], tile[at], num, den):
+                    new = lab[a] != lab[b]
+                    if new.any():
+                        lab = _merge(lab, a[new], b[new])
+                out.add(*_star(doc[at], lab))
+            yield from out.flush(50_000)
+        yield from out.flush()
 
     return run
 
@@ -203,31 +269,30 @@ def _links(num: int, den: int):
     """Spanning edges of the exact links of each family."""
 
     def run(batches):
-        for t in _groups(batches, "bucket"):
-            doc, tile = t.column("doc_id").to_numpy(), t.column("tile").to_numpy()
-            if len(doc) == 1:
-                continue
-            sets = [np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()]
-            size = np.array([len(s) for s in sets])
-            order = np.lexsort((doc, size))
-            doc, tile, size, sets = doc[order], tile[order], size[order], [sets[i] for i in order]
-            sig = np.stack([signature(s) for s in sets])
-            side = None if (tile == tile[0]).all() else tile
-            lab = np.arange(len(doc))
-            for a, b in Tree(size, sig, num, den).pairs(side):
-                while True:
-                    new = lab[a] != lab[b]
-                    a, b = a[new], b[new]
-                    if not len(a):
-                        break
-                    # a few hundred pairs at a time: what they connect need not be tested again
-                    x, y, a, b = a[:256], b[:256], a[256:], b[256:]
-                    hit = np.array([_overlap(sets[i], sets[j]) * (den + num) >= num * (len(sets[i]) + len(sets[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
-                    if hit.any():
-                        lab = _merge(lab, x[hit], y[hit])
-            a, b = _star(doc, lab)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        out = _Edges()
+        for t in _blocks(batches):
+            docs, tiles, blobs = t.column("doc_id").to_numpy(), t.column("tile").to_numpy(), t.column("shingles").to_pylist()
+            cuts = _bounds(t)
+            for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                sets = [np.frombuffer(x, U64) for x in blobs[at:to]]
+                size = np.array([len(s) for s in sets])
+                order = np.lexsort((docs[at:to], size))
+                doc, tile, size, sets = docs[at:to][order], tiles[at:to][order], size[order], [sets[i] for i in order]
+                lab = np.arange(len(doc))
+                for a, b in _candidates(size, [signature(s).tobytes() for s in sets], tile, num, den):
+                    while True:
+                        new = lab[a] != lab[b]
+                        a, b = a[new], b[new]
+                        if not len(a):
+                            break
+                        # a few hundred pairs at a time: what they connect need not be tested again
+                        x, y, a, b = a[:256], b[:256], a[256:], b[256:]
+                        hit = np.array([_overlap(sets[i], sets[j]) * (den + num) >= num * (len(sets[i]) + len(sets[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+                        if hit.any():
+                            lab = _merge(lab, x[hit], y[hit])
+                out.add(*_star(doc, lab))
+            yield from out.flush(50_000)
+        yield from out.flush()
 
     return run
 

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
+from .decontam import contaminated
 from .langid import language_id
+from .linededup import line_dedup
+from .lmscore import lm_scores
 from .ngramjoin import jaccard_components
+from .packing import pack
 from .substring import substring_dedup
 from .topk import exact_topk, quantised
 from .toxicity import toxicity
@@ -18,11 +22,24 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(spark, v, v.where("id % 20 = 0"), k=20, slices=4)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup(spark, table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     return language_id(spark, docs, ~F.col("held_out"), ("doc_id", "held_out"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity(spark, docs.withColumn("held_out", held_out()), labels, ~held_out(), ("doc_id", "held_out"))
@@ -37,8 +54,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(spark, table(spark, sf_dir, "documents"), held_out(mod=7, rest=2))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op4_language_id, op7_toxicity, op8_substring_dedup, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_topk, op3_line_dedup, op4_language_id, op5_packing, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_ngram_jaccard, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
