@@ -25,13 +25,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, binary, components, cut, labels_of, lookup, mix, n_parts, raw, steps
 
 #: Bits of a signature for each shingle, rounded up to a power of two; least and most 64-bit words.
-SIG_BITS, SIG_LEAST, SIG_MOST = 3, 4, 1024
+SIG_BITS, SIG_LEAST, SIG_MOST = 2, 4, 1024
 #: Members of a tile.
 CAP = 4096
 #: Documents in the sample that tells which shingles are frequent; any sample gives the same result.
@@ -195,7 +195,7 @@ def _candidates(size, sigs, tile, num: int, den: int):
             continue
         # size order makes sizes of nodes narrow
         sig = np.empty((len(at), w), U64)
-        for wide in (w, 2 * w):
+        for wide in (w, 2 * w):  # twice as wide at most: sizes that may link differ by less
             pick = np.flatnonzero(words[at] == wide)
             if len(pick):
                 sig[pick] = folded(np.frombuffer(b"".join([sigs[i] for i in at[pick]]), U64).reshape(len(pick), wide), w)
@@ -328,22 +328,30 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
     classes = some.groupBy("name").agg(F.min("doc_id").alias("rep"))
     reps = some.join(classes.select("name", F.col("rep").alias("doc_id")), ["name", "doc_id"]).dropDuplicates(["doc_id"])
 
-    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
+    keyed = reps.select("doc_id", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    in_buckets = cut(_tiled(keyed, shared, "key"), spark)
-    rich = in_buckets.join(reps.select("doc_id", "n", "sig"), "doc_id")
+    in_buckets = _tiled(keyed, shared, "key")
+    # in the order of size, a member whose neighbours are too small or too large links with none
+    w = Window.partitionBy("bucket").orderBy("n", "doc_id")
+    fits = (F.lag("n").over(w) * den >= F.col("n") * num) | (F.lead("n").over(w) * num <= F.col("n") * den)
+    fitting = in_buckets.withColumn("fits", fits).where("fits")
+    # the same documents meet under many keys; a list of them (of two tiles at most) is one bucket
+    lists = fitting.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tile"))).alias("members"))
+    lists = cut(lists.groupBy("members").agg(F.min("bucket").alias("bucket")), spark)
+    member = lists.select("bucket", F.explode("members").alias("m")).select("bucket", "m.doc_id", "m.tile")
+    rich = member.join(reps.select("doc_id", "n", "sig"), "doc_id")
     edges = rich.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_families(num, den), "a long, b long")
     family = components(edges, spark)
 
     sizes = family.groupBy("component").agg(F.count("*").alias("members"))
-    member = _tiled(family.select(F.col("node").alias("doc_id"), "component"), sizes, "component")
+    placed = _tiled(family.select(F.col("node").alias("doc_id"), "component"), sizes, "component")
 
     def sets(batches):
         for whole in batches:
             for batch in steps(whole, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("doc_id"), batch.column("tile"), binary(shingle_sets(*raw(batch.column("text")), n))], ["bucket", "doc_id", "tile", "shingles"])
 
-    wanted = rows.join(member, "doc_id").select("bucket", "doc_id", "tile", "text").mapInArrow(sets, "bucket long, doc_id long, tile int, shingles binary")
+    wanted = rows.join(placed, "doc_id").select("bucket", "doc_id", "tile", "text").mapInArrow(sets, "bucket long, doc_id long, tile int, shingles binary")
     links = wanted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_links(num, den), "a long, b long")
     linked = components(links, spark).select(F.col("node").alias("rep"), "component")
 
