@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .decontam import contaminated
+from .html import html_text
 from .langid import language_id
 from .linededup import line_dedup
 from .lmscore import lm_scores
@@ -22,6 +23,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(spark, v, v.where("id % 20 = 0"), k=20, slices=4)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"), ("page_id",))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup(spark, table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -59,7 +64,9 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op3_line_dedup, op4_language_id, op5_packing, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_ngram_jaccard, op10_lm_score)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_topk, op2_html_text, op3_line_dedup, op4_language_id, op5_packing, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_ngram_jaccard, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
