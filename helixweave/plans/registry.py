@@ -1,11 +1,348 @@
-"""All registered queries of the alignment engine, with the SQL that checks them."""
+"""All registered queries of the alignment engine, with the SQL that checks them.
+
+Every query reads its whole tables and whole texts. Where the recurrence in SQL takes too long on
+whole tables, there is no SQL and tests compare with a cell-by-cell loop.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixweave.functions import sequences as S
+from helixweave.functions.scoring import ALL_EDGES, Edges
+from helixweave.operators import align, crosspoints, grid, pairs, report, rows, topk
+from helixweave.sources.session import workers_find_package
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return workers_find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    return pairs.sequences(_table(spark, sf_dir, "documents"), "doc_id", pairs.clean(F.col("text")))
+
+
+def _items(spark, sf_dir):
+    return pairs.sequences(_table(spark, sf_dir, "benchmark"), "item_id", pairs.clean(F.col("text")))
+
+
+def _item_pairs(spark, sf_dir):
+    return align.balanced(pairs.all_pairs(_items(spark, sf_dir).select("seq_id", "seq")))
+
+
+def _event_pairs(spark, sf_dir):
+    """Consecutive users' event sequences."""
+    s = pairs.event_sequences(_table(spark, sf_dir, "events")).select("seq_id", "seq")
+    return align.balanced(s.select(F.col("seq_id").alias("aid"), F.col("seq").alias("a"), (F.col("seq_id") + 1).alias("bid")).join(s.select(F.col("seq_id").alias("bid"), F.col("seq").alias("b")), "bid"))
+
+
+_CLEAN = "translate(regexp_replace({0}, '[ \\r\\n]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_DOC = f"(SELECT doc_id AS seq_id, {_CLEAN.format('text')} AS seq FROM documents WHERE text IS NOT NULL)"
+_ITEM = f"(SELECT item_id AS seq_id, {_CLEAN.format('text')} AS seq FROM benchmark WHERE text IS NOT NULL)"
+_ITEM_PAIRS = f"SELECT x.seq_id AS aid, y.seq_id AS bid, x.seq AS a, y.seq AS b FROM {_ITEM} x JOIN {_ITEM} y ON x.seq_id < y.seq_id"
+_EVENT = "(SELECT user_id AS seq_id, string_agg(upper(substr(event_type, 1, 1)), '' ORDER BY ts, event_id) AS seq FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id)"
+_EVENT_PAIRS = f"SELECT x.seq_id AS aid, y.seq_id AS bid, x.seq AS a, y.seq AS b FROM {_EVENT} x JOIN {_EVENT} y ON y.seq_id = x.seq_id + 1"
+
+
+# ---------------------------------------------------------------- sequences
+
+
+@query(f"SELECT seq_id, seq, CAST(length(seq) AS BIGINT) AS len FROM {_DOC}")
+def seq_load(spark, sf_dir):
+    return _docs(spark, sf_dir)
+
+
+@query(f"SELECT seq_id, seq AS trimmed FROM (SELECT seq_id, substr(seq, 2) AS seq FROM {_DOC} WHERE length(seq) >= 2)")
+def seq_trim(spark, sf_dir):
+    return _docs(spark, sf_dir).where("len >= 2").select("seq_id", S.trim(F.col("seq"), 2, 0).alias("trimmed"))
+
+
+@query(f"SELECT seq_id, array_to_string(list_reverse(string_split(seq, '')), '') AS reversed FROM {_DOC}")
+def seq_reverse(spark, sf_dir):
+    return _docs(spark, sf_dir).select("seq_id", S.reverse(F.col("seq")).alias("reversed"))
+
+
+@query(f"SELECT seq_id, translate(seq, 'ATCG', 'TAGC') AS complemented FROM {_ITEM}")
+def seq_complement(spark, sf_dir):
+    return _items(spark, sf_dir).select("seq_id", S.complement(F.col("seq")).alias("complemented"))
+
+
+@query(f"SELECT seq_id, array_to_string(list_reverse(string_split(translate(seq, 'ATCG', 'TAGC'), '')), '') AS rc FROM {_ITEM}")
+def seq_reverse_complement(spark, sf_dir):
+    return _items(spark, sf_dir).select("seq_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"SELECT seq_id, translate(seq, 'N', 'n') AS cleared FROM {_DOC}")
+def seq_clear_n(spark, sf_dir):
+    return _docs(spark, sf_dir).select("seq_id", S.clear_n(F.col("seq")).alias("cleared"))
+
+
+@query(f"SELECT seq_id, seq, CAST(length(seq) AS BIGINT) AS len FROM {_EVENT}")
+def event_sequences(spark, sf_dir):
+    return pairs.event_sequences(_table(spark, sf_dir, "events"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE CASE WHEN c_custkey % 3 = 1 THEN 'CU_' || c_custkey ELSE c_name || ' ' || c_mktsegment END END AS accession FROM customer""")
+def header_parse(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    name, key = F.col("c_name"), F.col("c_custkey").cast("string")
+    header = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(">"), name)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(">gi|"), key, F.lit("|ref|CU_"), key, F.lit("| "), name)).otherwise(F.concat(F.lit(">"), name, F.lit(" "), F.col("c_mktsegment")))
+    return c.select("c_custkey", S.accession(header).alias("accession"))
+
+
+# ---------------------------------------------------------------- geometry
+
+
+def _named(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumnsRenamed({"by": "block_row", "bx": "block_col"})
+
+
+_W = [1, 2, 3, 2]
+_CUM = [0, 1, 3, 6, 8]
+
+
+@query("\nUNION ALL\n".join(f"SELECT seq_id, CAST({k + 1} AS BIGINT) AS part, length(seq) * {_CUM[k]} // 8 + 1 AS j0, length(seq) * {_CUM[k + 1]} // 8 AS j1 FROM {_DOC}" for k in range(4)))
+def split_weighted(spark, sf_dir):
+    return grid.split_weighted(_docs(spark, sf_dir), _W)
+
+
+@query(f"SELECT seq_id, k AS part, length(seq) * k // 7 AS pos FROM {_DOC}, (SELECT unnest(range(0, 8)) AS k)")
+def even_split(spark, sf_dir):
+    got = _docs(spark, sf_dir).select("seq_id", F.posexplode(grid.even_split(F.col("len"), 7)).alias("part", "pos"))
+    return got.select("seq_id", F.col("part").cast("long").alias("part"), "pos")
+
+
+_BLOCK_SQL = f"""WITH p AS ({_ITEM_PAIRS}), q AS (SELECT aid, bid, length(a) AS n, length(b) AS m FROM p WHERE length(a) > 0 AND length(b) > 0),
+r AS (SELECT *, unnest(range(0, (n - 1) // 64 + 1)) AS block_row FROM q), s AS (SELECT *, unnest(range(0, (m - 1) // 48 + 1)) AS block_col FROM r)
+SELECT aid, bid, block_row, block_col, block_row * 64 AS i0, least((block_row + 1) * 64, n) AS i1, block_col * 48 AS j0, least((block_col + 1) * 48, m) AS j1, block_row + block_col AS diagonal FROM s"""
+
+
+@query(_BLOCK_SQL)
+def grid_blocks(spark, sf_dir):
+    p = _item_pairs(spark, sf_dir).select("aid", "bid", F.char_length("a").cast("long").alias("n"), F.char_length("b").cast("long").alias("m"))
+    return _named(grid.blocks(p, 64, 48, "aid", "bid"))
+
+
+@query("SELECT k AS step, CASE WHEN k >= 0 THEN greatest(1, (249000000::HUGEINT * 228000000 * 8 // 50000000000 + 1)::BIGINT >> (k // 2)::BIGINT) END AS rows_between FROM (SELECT unnest(range(0, 12)) AS k)")
+def flush_schedule(spark, sf_dir):
+    return spark.createDataFrame([(k, grid.flush_interval(249_000_000, 228_000_000, 50_000_000_000, k)) for k in range(12)], "step long, rows_between long")
+
+
+@query(f"SELECT seq_id, row_id FROM (SELECT seq_id, length(seq) AS len, unnest(range(1, (length(seq) + 63) // 64 + 1)) AS k, least(k * 64, len) AS row_id FROM {_DOC} WHERE length(seq) > 0) WHERE row_id % 256 = 0 OR row_id = len")
+def special_rows(spark, sf_dir):
+    return rows.special_rows(_docs(spark, sf_dir), 64, 4)
+
+
+@query(f"""WITH r AS (SELECT seq_id, row_id FROM (SELECT seq_id, length(seq) AS len, unnest(range(1, (length(seq) + 63) // 64 + 1)) AS k, least(k * 64, len) AS row_id FROM {_DOC} WHERE length(seq) > 0) WHERE row_id % 256 = 0 OR row_id = len)
+SELECT seq_id, max(gap) AS max_gap FROM (SELECT seq_id, row_id - lag(row_id, 1, 0) OVER (PARTITION BY seq_id ORDER BY row_id) AS gap FROM r) GROUP BY seq_id""")
+def largest_interval(spark, sf_dir):
+    return rows.largest_interval(special_rows(spark, sf_dir))
+
+
+@query(f"""WITH d AS (SELECT seq_id, length(seq) AS len FROM {_DOC}),
+r AS (SELECT seq_id, row_id FROM (SELECT seq_id, len, unnest(range(1, (len + 63) // 64 + 1)) AS k, least(k * 64, len) AS row_id FROM d WHERE len > 0) WHERE row_id % 256 = 0 OR row_id = len),
+p AS (SELECT seq_id, len * k // 7 AS i FROM d, (SELECT unnest(range(0, 8)) AS k))
+SELECT p.seq_id, p.i, CASE WHEN max(r.row_id) IS NOT NULL THEN max(r.row_id) WHEN p.i > 0 THEN 0 END AS row_id
+FROM (SELECT seq_id, i, row_number() OVER () AS k FROM p) p LEFT JOIN r ON r.seq_id = p.seq_id AND p.i - r.row_id > 128 GROUP BY p.seq_id, p.i, p.k""")
+def asof_row(spark, sf_dir):
+    points = even_split(spark, sf_dir).select("seq_id", F.col("pos").alias("i"))
+    return rows.asof_row(points, special_rows(spark, sf_dir), 128)
+
+
+@query(f"""WITH b AS ({_BLOCK_SQL}), p AS (SELECT aid, bid, max(i1) AS n, max(j1) AS m FROM b GROUP BY aid, bid),
+x AS (SELECT aid, bid, n * k // 9 AS i, m * k // 9 AS j FROM p, (SELECT unnest(range(1, 10)) AS k))
+SELECT x.aid, x.bid, x.i, x.j, b.block_row, b.block_col FROM x JOIN b ON b.aid = x.aid AND b.bid = x.bid AND b.i0 < x.i AND x.i <= b.i1 AND b.j0 < x.j AND x.j <= b.j1""")
+def containing_partition(spark, sf_dir):
+    b = grid_blocks(spark, sf_dir)
+    size = b.groupBy("aid", "bid").agg(F.max("i1").alias("n"), F.max("j1").alias("m"))
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.struct(F.floor(F.col("n") * k / 9).alias("i"), F.floor(F.col("m") * k / 9).alias("j"))))
+    points = size.select("aid", "bid", at.alias("p")).select("aid", "bid", "p.i", "p.j")
+    return rows.containing(points, b, 64, "aid", "bid").select("aid", "bid", "i", "j", "block_row", "block_col")
+
+
+# ---------------------------------------------------------------- pairs and scores
+
+
+@query(f"SELECT aid, bid, CAST(length(a) AS BIGINT) AS n, CAST(length(b) AS BIGINT) AS m FROM ({_ITEM_PAIRS})")
+def item_pairs(spark, sf_dir):
+    return _item_pairs(spark, sf_dir).select("aid", "bid", F.char_length("a").cast("long").alias("n"), F.char_length("b").cast("long").alias("m"))
+
+
+@query("""WITH a AS (SELECT n_nationkey AS id, n_regionkey AS k, nullif(n_name, 'FRANCE') AS name, nullif(n_nationkey % 3, 0) AS kind FROM nation)
+SELECT a.id AS aid, b.id AS bid FROM a JOIN a b ON a.k = b.k AND (a.name IS NULL OR b.name IS NULL OR a.name = b.name) AND (a.kind IS NULL OR b.kind IS NULL OR a.kind = b.kind)""")
+def sequence_match_nullsafe(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("k"), F.nullif(F.col("n_name"), F.lit("FRANCE")).alias("name"), F.nullif(F.col("n_nationkey") % 3, F.lit(0)).alias("kind"))
+    return pairs.same_where_known(n.withColumnRenamed("id", "aid"), n.withColumnRenamed("id", "bid"), ["name", "kind"], "k").select("aid", "bid")
+
+
+def _dp(source: str, edges: Edges) -> str:
+    from .dp_sql import scores_sql
+
+    return scores_sql(source, edges)
+
+
+@query(f"SELECT aid, bid, score FROM ({_dp(_ITEM_PAIRS, Edges('*', '*'))})")
+def sw_score(spark, sf_dir):
+    return align.align_score(_item_pairs(spark, sf_dir)).select("aid", "bid", "score")
+
+
+@query(_dp(_EVENT_PAIRS, Edges("*", "*")))
+def sw_score_end(spark, sf_dir):
+    return align.align_score(_event_pairs(spark, sf_dir)).select("aid", "bid", "score", "end_i", "end_j")
+
+
+@query(_dp(_EVENT_PAIRS, Edges("+", "+")))
+def nw_score(spark, sf_dir):
+    return align.align_score(_event_pairs(spark, sf_dir), Edges("+", "+")).select("aid", "bid", "score", "end_i", "end_j")
+
+
+def _edge_query(e: Edges):
+    def run(spark, sf_dir):
+        return align.align_score(_event_pairs(spark, sf_dir), e).select("aid", "bid", "score", "end_i", "end_j")
+
+    run.__name__ = "edges_" + (e.start + e.end).replace("*", "x").replace("+", "g")
+    return run
+
+
+for _e in ALL_EDGES:
+    if (_e.start, _e.end) not in (("*", "*"), ("+", "+")):
+        query(_dp(_EVENT_PAIRS, _e))(_edge_query(_e))
+
+
+@query()
+def edges_all(spark, sf_dir):
+    return align.align_edges(_item_pairs(spark, sf_dir), ALL_EDGES)
+
+
+# ---------------------------------------------------------------- paths
+
+
+def _paths(spark, sf_dir, edges=Edges()):
+    return align.align_path(_event_pairs(spark, sf_dir), edges)
+
+
+@query()
+def aln_path(spark, sf_dir):
+    return _paths(spark, sf_dir)
+
+
+@query(f"SELECT aid, bid, score, score AS stat_score, 2 * (matches + mismatches) + gap_extensions = span AS lengths_agree FROM (SELECT aid, bid, score, 0 AS matches, 0 AS mismatches, 0 AS gap_extensions, 0 AS span FROM ({_dp(_EVENT_PAIRS, Edges('*', '*'))}))")
+def aln_stats(spark, sf_dir):
+    got = align.with_stats(_paths(spark, sf_dir))
+    span = F.when(F.col("end_i") < 0, 0).otherwise(F.col("end_i") - F.col("start_i") + 1 + F.col("end_j") - F.col("start_j") + 1)
+    return got.select("aid", "bid", "score", "stat_score", (2 * (F.col("matches") + F.col("mismatches")) + F.col("gap_extensions") == span).alias("lengths_agree"))
+
+
+@query()
+def gap_runs(spark, sf_dir):
+    return align.gap_runs(_paths(spark, sf_dir, Edges("+", "+")), "aid", "bid")
+
+
+@query()
+def aln_report(spark, sf_dir):
+    p = _event_pairs(spark, sf_dir)
+    return report.lines(align.align_path(p).join(p, ["aid", "bid"]), "aid", "bid")
+
+
+@query()
+def crosspoint_list(spark, sf_dir):
+    return crosspoints.from_paths(_paths(spark, sf_dir), 16, "aid", "bid")
+
+
+@query()
+def crosspoints_lag(spark, sf_dir):
+    return crosspoints.segments(crosspoint_list(spark, sf_dir), "aid", "bid")
+
+
+@query()
+def largest_partition(spark, sf_dir):
+    return crosspoints.largest(crosspoint_list(spark, sf_dir), "aid", "bid")
+
+
+@query()
+def crosspoints_reverse(spark, sf_dir):
+    size = _event_pairs(spark, sf_dir).select("aid", "bid", F.char_length("a").alias("n"), F.char_length("b").alias("m"))
+    return crosspoints.reverse(crosspoint_list(spark, sf_dir).join(size, ["aid", "bid"]), "aid", "bid")
+
+
+@query()
+def merge_midpoints(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    return crosspoints.merge(crosspoints.from_paths(p, 32, "aid", "bid"), crosspoints.from_paths(p, 16, "aid", "bid"), "aid", "bid")
+
+
+# ---------------------------------------------------------------- blocks
+
+
+def _blocks(spark, sf_dir):
+    return report.block_scores(_item_pairs(spark, sf_dir), 64, 64)
+
+
+@query()
+def block_best(spark, sf_dir):
+    return _named(_blocks(spark, sf_dir).select("aid", "bid", "by", "bx", "score", "i", "j"))
+
+
+@query()
+def block_downsample(spark, sf_dir):
+    return grid.downsample(_blocks(spark, sf_dir), 2, "aid", "bid")
+
+
+@query()
+def prune_flags(spark, sf_dir):
+    return _named(grid.prune_flags(_blocks(spark, sf_dir), 1, "aid", "bid").select("aid", "bid", "by", "bx", "score", "best", "prunable"))
+
+
+@query()
+def topk_scores(spark, sf_dir):
+    return topk.ranked(_blocks(spark, sf_dir), 3, "aid", "bid").select("aid", "bid", "rank", "score", "i", "j")
+
+
+@query()
+def derived_filter(spark, sf_dir):
+    key = F.concat_ws("-", "aid", "bid").alias("pair")
+    return topk.distinct_best(_blocks(spark, sf_dir).select(key, "n", "m", "score", "i", "j"), 3, "pair", 1)
+
+
+@query()
+def mm_match(spark, sf_dir):
+    """Middle rows of global alignments meet: the first column where both halves add up to the score."""
+    return rows_meet(spark, sf_dir)
+
+
+def rows_meet(spark, sf_dir):
+    from helixweave.operators.meet import midpoints
+
+    return midpoints(_event_pairs(spark, sf_dir))
+
+
+@query()
+def contamination(spark, sf_dir):
+    """Best local score of every benchmark item in every conversation turn."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", pairs.clean(F.col("text")).alias("b")).where("b is not null")
+    items = _items(spark, sf_dir).select(F.col("seq_id").alias("item_id"), F.col("seq").alias("a"))
+    # every turn meets every item: that is the question asked
+    met = turns.withColumn("one", F.lit(0)).join(items.withColumn("one", F.lit(0)), "one").drop("one")
+    return align.align_score(align.balanced(met), Edges("*", "*")).select("conv_id", "turn", "item_id", "score")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
