@@ -21,9 +21,9 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels of the training split, does not call toxic."""
-    keep = [c for c in docs.columns if c != "text"]
-    scored = toxicity(spark, docs.withColumn("_text", F.col("text")), table(spark, sf_dir, "labels"), ~held_out(), (*keep, "_text"))
-    return scored.where("predicted = 0").withColumnRenamed("_text", "text").select(docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    scored = toxicity(spark, whole, table(spark, sf_dir, "labels"), ~held_out(), ("_row",))
+    return scored.where("predicted = 0").select("_row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,14 +131,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS,
     late = light.select(F.col("id").alias("late"), F.col("lines").alias("late_lines"), F.col("chars").alias("late_chars"))
     both = pairs.join(early, "early").join(late, "late").select(F.col("late._name").alias("_name"), "early_lines", "late_lines", "late_chars")
 
-    gone = both.mapInArrow(_align(min_chars), "_name string, gone array<int>").groupBy("_name").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    fate = classes.join(gone, "_name", "left")
+    gone = both.mapInArrow(_align(min_chars), "_name string, gone array<int>").groupBy("_name").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
+    fate = classes.withColumnRenamed("rep", "_rep").join(gone, "_name", "left")
     # only texts with something to delete meet it: later copies, and classes with deleted lines
     got = marked.join(fate, "_name", "left")
-    copy = F.col("doc_id") > F.col("rep")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce(F.col("gone"), F.array().cast("array<int>")), i))
+    copy = F.col("doc_id") > F.col("_rep")
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce(F.col("_gone"), F.array().cast("array<int>")), i))
     whole = F.aggregate(F.transform(lines, lambda x: F.char_length(F.trim(x))), F.lit(0), lambda x, y: x + y) >= min_chars
-    text = F.when(copy & whole, F.lit("")).when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    n = F.when(copy & whole, F.size(lines)).otherwise(F.coalesce(F.size(F.col("gone")), F.lit(0)))
+    text = F.when(copy & whole, F.lit("")).when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    n = F.when(copy & whole, F.size(lines)).otherwise(F.coalesce(F.size(F.col("_gone")), F.lit(0)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.greatest(n, F.lit(0)))
     return got.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], n.cast("long").alias("n_lines_removed"))
