@@ -10,7 +10,7 @@ def special_rows(seqs: DataFrame, block: int, every: int) -> DataFrame:
     """(seq_id, row_id): the last row of each every-th block row, and of the last."""
     ids = F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("len") / block).cast("long")), lambda k: F.least(k * F.lit(block).cast("long"), F.col("len")))
     keep = F.filter(ids, lambda r: (r % (block * every) == 0) | (r == F.col("len")))
-    return seqs.where("len > 0").select("seq_id", F.explode(keep).cast("long").alias("row_id"))
+    return seqs.where("len > 0").select("seq_id", F.explode(keep).alias("row_id"))
 
 
 def largest_interval(rows: DataFrame) -> DataFrame:

@@ -205,3 +205,10 @@ def test_split_columns_equal_unsplit(spark, tmp_path):
     got = online.split_columns(spark, a, b, 15, f"file://{tmp_path}/s").collect()
     assert max((r.score, -r.i, -r.j) for r in got) == (lambda x: (x[0], -x[1], -x[2]))(best(a, b, Edges()))
     assert int(K.best_scores([K.codes(a)], [K.codes(b)])[0][0]) == max(r.score for r in got)
+
+
+def test_saved_rows(spark):
+    s = spark.createDataFrame([(1, 600), (2, 64), (3, 0), (4, 65)], "seq_id long, len long")
+    got = rows.special_rows(s, 64, 4)
+    assert sorted((r.seq_id, r.row_id) for r in got.collect()) == [(1, 256), (1, 512), (1, 600), (2, 64), (4, 65)]
+    assert {r.seq_id: r.max_gap for r in rows.largest_interval(got).collect()} == {1: 256, 2: 64, 4: 65}
