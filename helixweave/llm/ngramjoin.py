@@ -37,6 +37,8 @@ CAP = 4096
 #: Documents in the sample that tells which shingles are frequent; any sample gives the same result.
 SAMPLE_DOCS = 6000
 _PAIRS = 400_000
+#: Family members (a few dozen bytes each) up to which their side of the join with the texts is broadcast.
+FEW_MEMBERS = 400_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -351,6 +353,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
             for batch in steps(whole, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("doc_id"), batch.column("tile"), binary(shingle_sets(*raw(batch.column("text")), n))], ["bucket", "doc_id", "tile", "shingles"])
 
+    # texts stay where they are while the members are few; beyond that both sides are shuffled
+    placed = cut(placed, spark)
+    placed = F.broadcast(placed) if placed.count() <= FEW_MEMBERS else placed
     wanted = rows.join(placed, "doc_id").select("bucket", "doc_id", "tile", "text").mapInArrow(sets, "bucket long, doc_id long, tile int, shingles binary")
     links = wanted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_links(num, den), "a long, b long")
     linked = components(links, spark).select(F.col("node").alias("rep"), "component")

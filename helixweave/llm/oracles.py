@@ -26,5 +26,32 @@ k AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM k
+""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE
+  WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 90 * (nx.n + ny.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON r.doc_id = e.x)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+""",
+    "op6_decontamination": r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+d AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM dw WHERE len(w) >= 5),
+b AS (SELECT item_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS h FROM iw WHERE len(w) >= 5),
+c AS (SELECT DISTINCT x.doc_id, y.item_id FROM (SELECT doc_id, unnest(g) AS q FROM d) x JOIN (SELECT item_id, unnest(h) AS q FROM b) y ON x.q = y.q),
+w AS (SELECT doc_id, item_id, h, g, unnest(range(0, len(g) - len(h) + 1)) AS word FROM c JOIN d USING (doc_id) JOIN b USING (item_id)),
+v AS (SELECT doc_id, item_id, h, word, g[word + 1:word + len(h)] AS win FROM w),
+m AS (SELECT doc_id, item_id, word, len(h) AS n, list_sum(list_transform(list_distinct(h), lambda q: least(len(list_filter(win, lambda y: y = q)), len(list_filter(h, lambda y: y = q))))) AS hit FROM v),
+t AS (SELECT doc_id, item_id, word, CAST(hit AS DOUBLE) / (2 * n - hit) AS similarity FROM m)
+SELECT doc_id, item_id, similarity, CAST(word AS BIGINT) AS word FROM t WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, word) = 1
 """,
 }
