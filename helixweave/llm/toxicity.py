@@ -45,7 +45,8 @@ def _examples(batches):
     for whole in batches:
         for batch in steps(whole, "text"):
             row, idx = features(*raw(batch.column("text")))
-            code = np.unique(row * BUCKETS + idx)
+            # every text has the bias feature
+            code = np.unique(np.concatenate([row * BUCKETS + idx, np.arange(batch.num_rows) * BUCKETS + _BIAS]))
             cut = np.searchsorted(code, np.arange(batch.num_rows + 1) * BUCKETS)
             idx = (code % BUCKETS).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), binary([idx[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])], ["doc_id", "toxic", "idx"])
@@ -80,9 +81,19 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn) -> np.
     rows = text.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_examples, "doc_id long, toxic int, idx binary").toArrow()
     if not rows.num_rows:
         return None
-    rows = rows.sort_by([("doc_id", "ascending")])
-    bias = np.array([_BIAS], np.int64)
-    return ftrl([(y, np.concatenate([bias, np.frombuffer(x, np.uint32).astype(np.int64)])) for y, x in zip(rows["toxic"].to_pylist(), rows["idx"].to_pylist(), strict=True)])
+    # feature lists are read where Arrow holds them, without a copy
+    examples = []
+    for batch in rows.to_batches():
+        data = batch.column("idx")
+        off = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+        flat = np.frombuffer(data.buffers()[2], np.uint8)
+        for i, (d, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
+            examples.append((d, y, flat[off[i] : off[i + 1]].view(np.uint32)))
+    examples.sort(key=lambda e: (e[0], e[1], len(e[2])))
+    got = ftrl([(y, idx) for _, y, idx in examples])
+    del examples, rows, batch, data, flat
+    pa.default_memory_pool().release_unused()
+    return got
 
 
 def _scorer(weights):
