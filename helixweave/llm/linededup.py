@@ -4,9 +4,13 @@
   Documents with the same text form a class whose smallest document stands for it; later copies align
   with it line by line.
 * Candidate pairs. A line held by at most RARE classes links each of its holders to every earlier one.
-  A more frequent line links each holder to the line's first holder only. Pairs thus grow with the
-  lines, never with the square of a line's holders, and every later holder of any shared line meets
-  an earlier document that has it.
+  More frequent lines go by levels (RARE to RARE * STEP holders, and so on). On a level all rarer lines of
+  a document count as lines that nothing equals, and a run of them as one; what remains is its outline. A
+  pair whose rarest shared line belongs to the level aligns exactly as the two outlines do, so different
+  outlines that share a line of the level are aligned once, for all their documents: a document loses what
+  the outline of any earlier document covers. Every earlier document that shares a line is thus compared,
+  while pairs grow with the lines and the different outlines, not with the square of a line's holders.
+  (A pair that also shares rarer lines is aligned by all its lines, and by its frequent ones alone.)
 * Each pair is aligned by patience diff: lines that occur once in both are matched along a longest
   increasing subsequence, the gaps between matches recursively, and what is equal at the ends of a gap
   is matched too. Aligned runs of consecutive lines with at least ``min_chars`` characters are deleted
@@ -20,6 +24,7 @@ texts the larger text counts as the later one.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -30,6 +35,8 @@ from .common import cut
 
 #: Holders up to which a line links all of them.
 RARE = 6
+#: Each level of more frequent lines reaches up to so many times the holders of the one before.
+STEP = 8
 MIN_CHARS = 40
 
 
@@ -96,16 +103,72 @@ def common_blocks(early: list, late: list, chars: list[int], min_chars: int) ->
     return gone
 
 
-def _align(min_chars: int):
+def _align(min_chars: int, *keys: str):
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("_name", "early_lines", "late_lines", "late_chars")), strict=True)
-            found = [(late, gone) for late, a, b, n in rows if (gone := common_blocks(a, b, n, min_chars))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.int32()))], ["_name", "gone"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("early_lines", "late_lines", "late_chars")), strict=True)
+            found = [common_blocks(["early" if x is None else x for x in a], ["late" if x is None else x for x in b], n, min_chars) for a, b, n in rows]
+            some = pa.array([k for k, gone in enumerate(found) if gone], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(some) for c in keys), pa.array([gone for gone in found if gone], pa.list_(pa.int32()))], [*keys, "gone"])
 
     return run
 
 
+def outlines(lines: list, chars: list[int], often: dict, rare: int) -> list[tuple]:
+    """(level, name, lines, chars, places, links) of a document on each level that has lines of it."""
+    out, level, at_most = [], 0, rare
+    while any(n > at_most for n in often.values()):
+        links = [x for x, n in often.items() if at_most < n <= at_most * STEP]
+        if links:
+            kept: list[tuple] = []
+            for k, (x, c) in enumerate(zip(lines, chars, strict=True)):
+                if not c or often.get(x, 0) > at_most:
+                    kept.append((x, c, k))
+                elif not kept or kept[-1][0] is not None:
+                    kept.append((None, 0, k))
+            seen = [x[0] for x in kept]
+            name = f"{level}-{hashlib.blake2b(repr(seen).encode(), digest_size=16).hexdigest()}"
+            out.append((level, name, seen, [x[1] for x in kept], [x[2] for x in kept], links))
+        level, at_most = level + 1, at_most * STEP
+    return out
+
+
+_OUTLINES = "doc_id long, _name string, level int, outline string, lines array<long>, chars array<int>, places array<int>, links array<long>"
+
+
+def _outlines(rare: int):
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in _OUTLINES.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(r["doc_id"], r["_name"], *o) for r in batch.to_pylist() for o in outlines(r["lines"], r["chars"], {x["line"]: x["n"] for x in r["often"]}, rare)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return run
+
+
+def _gone_by_outline(spark: SparkSession, light: DataFrame, often: DataFrame, min_chars: int, rare: int) -> DataFrame:
+    """(_name, gone) for blocks of lines with more than rare holders; often: (id, line, n)."""
+    of = often.groupBy("id").agg(F.collect_list(F.struct("line", "n")).alias("often"))
+    marks = cut(light.join(of, "id").select("doc_id", "_name", "lines", "chars", "often").mapInArrow(_outlines(rare), _OUTLINES).withColumn("id", F.struct("doc_id", "_name")), spark)
+    shapes = cut(marks.groupBy("level", "outline").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[F.first(c).alias(c) for c in ("lines", "chars", "links")]), spark)
+    links = shapes.select("level", F.explode("links").alias("line"), "outline", "first", "last")
+    early = links.select("level", "line", F.col("outline").alias("early"), "first")
+    late = links.select("level", "line", F.col("outline").alias("late"), "last")
+    pairs = early.join(late, ["level", "line"]).where(F.col("first") < F.col("last")).select("early", "late").distinct()
+    a = shapes.select(F.col("outline").alias("early"), F.col("lines").alias("early_lines"), F.struct("first.*").alias("first"))
+    b = shapes.select(F.col("outline").alias("late"), F.col("lines").alias("late_lines"), F.col("chars").alias("late_chars"))
+    both = pairs.join(a, "early").join(b, "late").select("late", "first", "early_lines", "late_lines", "late_chars")
+    found = both.mapInArrow(_align(min_chars, "late", "first"), "late string, first struct<doc_id:bigint,_name:string>, gone array<int>")
+    # the earliest document whose outline covers each line of an outline
+    since = found.select(F.col("late").alias("outline"), F.explode("gone").alias("k"), "first").groupBy("outline", "k").agg(F.min("first").alias("since"))
+    since = since.groupBy("outline").agg(F.collect_list(F.struct("k", "since")).alias("all"))
+    got = marks.select("id", "outline", "places").join(since, "outline")
+    gone = F.transform(F.filter("all", lambda x: x["since"] < F.col("id")), lambda x: F.get("places", x["k"]))
+    return got.select(F.col("id._name").alias("_name"), gone.alias("gone")).where(F.size("gone") > 0)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, rare: int = RARE) -> DataFrame:
     """All columns of docs, text without deleted lines, and n_lines_removed."""
     columns = docs.columns
@@ -119,19 +182,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS,
     light = cut(light.withColumn("id", F.struct("doc_id", "_name")), spark)
 
     held = light.select("id", F.explode(F.array_distinct(F.transform(F.arrays_zip("lines", "chars"), lambda z: F.when(z["chars"] > 0, z["lines"])))).alias("line")).where("line is not null")
-    # up to rare + 1 holders of each line; a full list says that the line is frequent
-    few = held.groupBy("line").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    few = held.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
     shared = held.join(few, "line")
-    often = shared.where(F.col("n") > rare).where(F.col("id") > F.col("first")).select(F.col("first").alias("early"), F.col("id").alias("late"))
+    often = shared.where(F.col("n") > rare)
     lists = shared.where(F.col("n") <= rare).groupBy("line").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     seldom = lists.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", 1, i), lambda y: F.struct(y.alias("early"), x.alias("late")))))).alias("p")).select("p.early", "p.late")
-    pairs = often.union(seldom).distinct()
+    pairs = seldom.distinct()
 
     early = light.select(F.col("id").alias("early"), F.col("lines").alias("early_lines"))
     late = light.select(F.col("id").alias("late"), F.col("lines").alias("late_lines"), F.col("chars").alias("late_chars"))
     both = pairs.join(early, "early").join(late, "late").select(F.col("late._name").alias("_name"), "early_lines", "late_lines", "late_chars")
 
-    gone = both.mapInArrow(_align(min_chars), "_name string, gone array<int>").groupBy("_name").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
+    gone = both.mapInArrow(_align(min_chars, "_name"), "_name string, gone array<int>").union(_gone_by_outline(spark, light, often, min_chars, rare))
+    gone = gone.groupBy("_name").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
     fate = classes.withColumnRenamed("rep", "_rep").join(gone, "_name", "left")
     # only texts with something to delete meet it: later copies, and classes with deleted lines
     got = marked.join(fate, "_name", "left")

@@ -164,6 +164,37 @@ def test_line_dedup(spark, nothing):
     assert linededup.line_dedup(spark, nothing).count() == 0
 
 
+def test_line_dedup_meets_every_earlier_holder(spark):
+    """Frequent lines, against all pairs: by all their lines, and by the lines above each level alone."""
+    rng = random.Random(4)
+    short, long = [f"short line {k}" for k in range(8)], [f"frequent line {k} of more than forty characters" for k in range(5)]
+    own = (f"own {k}" for k in range(10**6))
+    texts = []
+    for x in (short[0], short[1], short[2], short[3], short[0]):  # (a) each line of a short-lined block has another first holder
+        texts += [[next(own), x, next(own)] for _ in range(3)]
+    texts += [[next(own), *short[:4], next(own)] for _ in range(2)]
+    texts += [[long[1], next(own), long[0]], [next(own), long[0], next(own), long[1], next(own)]] + [[next(own), long[0], next(own), long[1], next(own)] for _ in range(8)]  # (b) another order
+    texts += [[next(own), long[2], next(own), long[2], next(own)]] + [[next(own), long[2], next(own)] for _ in range(9)]  # (c) repeated in the first holder
+    texts += [[rng.choice([next(own), next(own), "", *short[4:], *long[3:]]) for _ in range(rng.randrange(1, 7))] for _ in range(120)]
+    texts = [t for k, t in enumerate(texts) if t not in texts[:k]]
+    held = Counter(x for t in texts for x in set(t) if x)
+
+    def gone(early, late, above):
+        a, b = ([x if not x or held[x] > above else (side, k) for k, x in enumerate(t)] for side, t in enumerate((early, late)))
+        return linededup.common_blocks(a, b, [len(x) for x in late], 40)
+
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for rare in (6, 2):
+        levels = [rare * 8**k for k in range(4)]
+        got = {r.doc_id: r for r in linededup.line_dedup(spark, df, rare=rare).collect()}
+        for i, t in enumerate(texts):
+            plain = {k for e in texts[:i] for k in gone(e, t, 0)}
+            want = plain | {k for e in texts[:i] for above in levels for k in gone(e, t, above) if any(above < held[x] <= above * 8 for x in {*e} & {*t} - {""})}
+            assert plain <= want and (got[i].n_lines_removed, got[i].text) == (len(want), "\n".join(x for k, x in enumerate(t) if k not in want)), (rare, i)
+        assert got[15].n_lines_removed == 0 and got[16].n_lines_removed == 4
+        assert [got[k].n_lines_removed for k in range(19, 27)] == [2] * 8 and [got[k].n_lines_removed for k in range(29, 37)] == [1] * 8
+
+
 def test_decontamination_equals_brute_force(spark, nothing):
     items = [(k, prose(12 + k)) for k in range(6)] + [(6, "too short"), (7, None), (8, "")]
     data = [(1, prose(50) + " " + items[0][1].upper() + " " + prose(20)), (2, prose(30) + " " + items[1][1] + "."), (3, prose(80)), (4, None), (5, ""), (None, items[2][1])]
