@@ -312,6 +312,29 @@ def test_lm_base_and_model(spark, docs, nothing):
         lmscore.ROUNDS = old
 
 
+def test_lm_counts_every_subword_of_the_training_texts(spark, monkeypatch):
+    rng, seen = random.Random(8), []
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") + rng.choice("bdlmnrst") + rng.choice(["", "er", "ing"]) for _ in range(2)) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keep = lmscore.emission
+    monkeypatch.setattr(lmscore, "emission", lambda *a: seen.append(a) or keep(*a))
+    monkeypatch.setattr(lmscore, "ROUNDS", 5)
+    assert lmscore.lm_scores(spark, df, F.lit(False)).where("score < 0").count() == len(texts)
+    with open(lmscore.VOCABULARY, "rb") as f:
+        ids, _ = lmscore._encode([w for t in texts for w in t.encode().split()], f.read())
+    want = Counter(ids.tolist())
+    count, _, compact = seen[0]
+    assert {i: int(count[:, compact[i]].sum()) for i in want} == want
+    assert len({int(compact[i]) for i in want}) == len(want)
+
+
+def test_lm_windows_grow_with_the_texts():
+    assert lmscore.windows_wanted(10**6) == lmscore.ROUNDS * lmscore.TRAIN_BATCH and lmscore.windows_wanted(10**11) > 90 * lmscore.windows_wanted(10**9)
+    bounds = np.array([0, 2, 200])
+    got = lmscore.drawn(np.arange(200, dtype=np.uint16), bounds, 0.5, 1)
+    assert 98 <= len(got) <= 101 and all(n >= 2 and (r[:n] == r[0] + np.arange(n)).all() and (r[0] == 0) == (r[0] + n <= 2) for n, *r in ((int(x[0]), *x[1:].astype(int)) for x in got) for r in [np.array(r)])
+
+
 def test_html_text(spark):
     cases = {
         "<p>a<p>b <b>c</b>": "a\n\nb c",
@@ -355,3 +378,8 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert set(range(40)) <= kept and not kept & {100, 103} and {102, 104, 105} <= kept
     assert 101 not in kept
     assert hashlib.sha256(b"").hexdigest()  # digest columns of the queries follow kept texts
+
+
+def test_lm_tables_give_the_logits_of_attention():
+    w, x = lmscore.new_weights(50), np.random.default_rng(0).integers(0, 50, (7, lmscore.WINDOW))
+    assert np.abs(lmscore.attend(w, x)[0] - lmscore.class_logits(lmscore.tables(w), x)).max() < 1e-5
