@@ -19,7 +19,7 @@ similarity (sum of minima over sum of maxima of the counts of the five-word shin
 5. Pairs within RADIUS are verified by the exact similarity.
 
 Edge cases: null or empty texts and items of fewer than five words have no five-word shingle and take
-no part; documents shorter than the item are not searched for it; repeated items each count; rows
+no part; the only window of a document shorter than the item is the whole document; repeated items each count; rows
 that repeat a doc_id give one row for each item they leak.
 """
 
@@ -84,7 +84,7 @@ def _listed(b: int, masks: list[int]) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Sum of minima over sum of maxima of the counts in two equally long lists of grams."""
+    """Sum of minima over sum of maxima of the counts in two lists of grams."""
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
     both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x)))
     return both / (F.size(a) + F.size(b) - both)
@@ -116,7 +116,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
 
     near = cut(hashed(texts.join(per_doc, "doc_id"), "doc_id", "places"), spark)
     near = near.select("doc_id", "grams", F.explode("places").alias("p"))
-    windows = near.where(F.col("p.word") + F.col("p.size") <= F.size("grams")).select("doc_id", F.col("p.n_words").alias("n_words"), F.col("p.word").alias("word"), F.slice("grams", F.col("p.word") + 1, F.col("p.size")).alias("window"))
+    # a document shorter than the item is one window; similar enough, its first match lies near its begin
+    fits = (F.col("p.word") + F.col("p.size") <= F.size("grams")) | ((F.col("p.word") == 0) & (F.col("p.size") > F.size("grams")))
+    windows = near.where(fits).select("doc_id", F.col("p.n_words").alias("n_words"), F.col("p.word").alias("word"), F.slice("grams", F.col("p.word") + 1, F.col("p.size")).alias("window"))
     windows = cut(with_simhash(cut(windows, spark), "window", "fp"), spark)
 
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)]))

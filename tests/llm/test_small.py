@@ -220,6 +220,21 @@ def test_decontamination_equals_brute_force(spark, nothing):
     assert decontam.contaminated(spark, nothing, bench).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    w = [f"w{k}" for k in range(59)]
+    data = {1: w[:-1], 2: w[2:], 3: w[:51], 4: w[8:-1], 5: [*w[:54], "x"], 6: w[:8], 7: w}
+    grams = lambda x: [tuple(x[a : a + 5]) for a in range(len(x) - 4)]
+    want = {}
+    for i, t in data.items():
+        o = sum((Counter(grams(t)) & Counter(grams(w))).values())
+        if (s := o / (len(grams(t)) + len(grams(w)) - o)) >= 0.8:
+            want[i] = (s, 0)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in data.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    assert {r.doc_id: (r.similarity, r.word) for r in decontam.contaminated(spark, df, bench).collect()} == want
+    assert {1, 2, 3, 5, 7} <= set(want) and not {6} & set(want)
+
+
 def test_packing(spark, docs, nothing):
     got = packing.pack(spark, docs, max_len=50, buckets=4, budget=200).collect()
     n = Counter()
