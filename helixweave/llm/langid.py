@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import raw, steps
 
 HIDDEN, WINDOW, BATCH = 8, 96, 1024
-#: Training documents of each language, and languages (the most frequent ones).
-PER_LANG, MAX_LANGS = 400, 64
+#: Training documents of each language; all languages are learned.
+PER_LANG = 400
 ROUNDS, TRAIN_WINDOW, TRAIN_BATCH, RATE = 350, 48, 128, 0.02
 
 
@@ -148,7 +148,7 @@ def fit(texts: list[list[bytes]], rounds: int = ROUNDS, seed: int = 5) -> dict[s
 
 def train(docs: DataFrame, learn) -> tuple[list[str], dict | None]:
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    count = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(count)
     if not langs:
         return [], None

@@ -288,6 +288,14 @@ def test_language_id(spark, docs, nothing):
     assert {r.lang_pred for r in langid.language_id(spark, df.withColumn("lang", F.lit(None).cast("string")), ~C.held_out()).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid.fit, "__defaults__", (3, 5))
+    data = [(200 * k + i, f"word{k}", f"lang{k:02}") for k in range(70) for i in range(1 + k % 3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    langs, w = langid.train(df, F.lit(True))
+    assert langs == [f"lang{k:02}" for k in range(70)] and len(w["bias"]) == 70
+
+
 def test_language_gradients():
     w, rng = langid.new_weights(3, 4), np.random.default_rng(0)
     x, y = rng.integers(97, 110, (6, 5)).astype(np.uint8), rng.integers(0, 3, 5)
