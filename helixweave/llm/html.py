@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg datalist title meta link base".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure menu".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure menu xmp".split())
 ENDS_P = BLOCK - frozenset("body html dd dt li option optgroup legend caption tbody td tfoot th thead tr summary figcaption".split())
 #: A start tag ends the open elements of its set, up to the nearest element of the scope.
 IMPLIED = {
@@ -46,6 +46,7 @@ MAX_DEPTH = 200
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_MEDIA = re.compile(r"@media\b([^{};]*)\{", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"^(\w+)?(?:\.([\w-]+))?(?:#([\w-]+))?$")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
@@ -60,10 +61,24 @@ class Node:
         self.name, self.attrs, self.children = name, attrs or {}, []
 
 
+def on_screen(sheet: str) -> str:
+    """The style sheet without its comments and without @media blocks for other than all screens."""
+    sheet, at = re.sub(r"/\*.*?\*/", "", sheet, flags=re.S), 0
+    while m := _MEDIA.search(sheet, at):
+        at = m.end()
+        if not any(" ".join(q.lower().split()).removeprefix("only ") in ("", "all", "screen") for q in m[1].split(",")):
+            depth, end = 1, at
+            while depth and end < len(sheet):
+                depth += {"{": 1, "}": -1}.get(sheet[end], 0)
+                end += 1
+            sheet, at = sheet[: m.start()] + sheet[end:], m.start()
+    return sheet
+
+
 def hidden_selectors(sheet: str) -> list[tuple]:
     """(tag, class, id) of the simple selectors whose rule hides; the others are not interpreted."""
     out = []
-    for heads, rule in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+    for heads, rule in _RULE.findall(on_screen(sheet)):
         if _HIDES.search(rule):
             found = [_SIMPLE.match(x.strip()) for x in heads.split(",")]
             out += [m.groups() for m in found if m and any(m.groups())]
@@ -142,6 +157,8 @@ def parse(html: str) -> tuple[Node, list[tuple]]:
                 hidden += hidden_selectors(body)
             elif name == "textarea":
                 node.children.append(unescape(body))
+            elif name == "xmp":
+                node.children.append(body)
             continue
         if len(stack) < MAX_DEPTH:
             stack.append(node)
@@ -250,7 +267,7 @@ class Renderer:
                     self.node(c)
                     break
         else:
-            self.children(n, pre or name == "pre")
+            self.children(n, pre or name in ("pre", "xmp"))
         self.end_line()
         self.blank |= name in SPACED and not (name in ("ul", "ol") and self.indent)
 

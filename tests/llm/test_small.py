@@ -380,6 +380,15 @@ def test_html_text(spark):
     assert {r.page_id: r.text for r in html.html_text(df).collect()} == {1: "x", 2: None, 3: ""}
 
 
+def test_html_media_rules_and_xmp():
+    x = "<p class=x>a</p>"
+    for media in ("print", "screen and (max-width: 9px)", "(max-width:9px)", "not all", "print, (color)"):
+        assert html.visible_text(f"<style>@media {media}{{.y{{color:red}} .x{{display:none}}}} .z{{display:none}}</style>{x}<p class=z>b</p>").strip() == "a", media
+    for media in ("screen", "all", "print, Screen", "only screen"):
+        assert html.visible_text(f"<style>@media {media}{{.x{{display:none}}}}</style>{x}b").strip() == "b", media
+    assert html.visible_text("a<xmp><b>1  &amp;\n 2</b></xmp>c") == "a\n\n<b>1  &amp;\n 2</b>\n\nc"
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (7, 7), (8, 2), (2, 9)], "a long, b long")
     assert {(r.node, r.component) for r in C.components(e, spark).collect()} == {(5, 1), (4, 1), (3, 1), (1, 1), (9, 2), (8, 2), (2, 2)}
