@@ -6,7 +6,8 @@ The Arrow helpers work on the raw byte buffer of a whole batch, so no Python loo
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,16 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return workers_find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def n_parts(spark: SparkSession) -> int:
-    """Partitions of packed shuffles; follows the session's setting, as Spark's own shuffles do."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Bytes of input files for each partition of a packed shuffle, at most.
+PART_BYTES = 64 << 20
+
+
+def n_parts(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Partitions of packed shuffles: the session's setting, and more where df's files hold more than PART_BYTES each."""
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    if df is not None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < 1 << 55:  # beyond: Spark does not know the size
+            parts = max(parts, -(-size // PART_BYTES))
+    return parts
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (tests), a temporary one is set."""
+    """The folder that all executors share. In local mode (tests), where none is named, a temporary one is set."""
     d = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
     if not d:
-        d = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        d = shared_dir.own = "file://" + own
     return d.rstrip("/")
 
 

@@ -2,20 +2,26 @@
 
 Features of a text (each counted once): its words, pairs and triples of neighbours, and pairs with
 one or two words between, hashed to BUCKETS. Words are runs of letters and digits, A-Z folded.
-Executors hash the features of at most MAX_TRAIN labelled documents; the driver runs FTRL-proximal
-over them (a learning rate for each coordinate, L1 for sparsity) and broadcasts the weights, a table
-of fixed size. Scoring reads every whole text once and moves nothing.
-
-Edge cases: null and empty texts score the bias alone; labels that are null take no part, a document
-with several labels counts as toxic if any says so; without a usable label all scores are 0.
+Executors hash the features of at most MAX_TRAIN labelled documents; one task walks through them, an
+epoch after the other in the order of a hash, by FTRL-proximal (a learning rate for each coordinate,
+L1 for sparsity). The driver sees only the weights that are not 0 and broadcasts them; their table has
+a fixed size. Scoring reads every whole text once and moves nothing.
+
+Edge cases: null and empty texts score the bias alone; texts of any length are read whole, step by step;
+labels that are null take no part, a document with several labels counts as toxic if any says so; rows
+that repeat a doc_id are each scored, and each learned from; without a usable label (or with empty
+tables) all scores are 0; kept columns may have any name, also ``text`` or ``k0``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NON_ALNUM, U64, Words, binary, mix, raw, steps
 
@@ -52,53 +58,60 @@ def _examples(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), binary([idx[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])], ["doc_id", "toxic", "idx"])
 
 
-def ftrl(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, seed: int = 1) -> np.ndarray:
-    """Weights after ``epochs`` passes of FTRL-proximal over (label, feature indexes)."""
+def ftrl(examples: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Weights after one walk of FTRL-proximal over (label, feature indexes)."""
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
 
     def weights(i):
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for e in rng.permutation(len(examples)):
-            y, idx = examples[e]
-            w = weights(idx)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
-            old = n[idx]
-            z[idx] += g - (np.sqrt(old + g * g) - np.sqrt(old)) / ALPHA * w
-            n[idx] = old + g * g
+    for y, idx in examples:
+        w = weights(idx)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+        old = n[idx]
+        z[idx] += g - (np.sqrt(old + g * g) - np.sqrt(old)) / ALPHA * w
+        n[idx] = old + g * g
     return weights(np.arange(BUCKETS)).astype(np.float32)
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn) -> np.ndarray | None:
-    """Weights learned from at most MAX_TRAIN labelled rows for which the column ``learn`` holds."""
+def _fit(batches):
+    """The one training task: examples stream through it, what it holds has a fixed size."""
+    seen = 0
+
+    def walk():
+        nonlocal seen
+        for batch in batches:
+            y = batch.column("toxic").to_pylist()
+            for label, idx in zip(y, batch.column("idx"), strict=True):
+                seen += 1
+                yield label, np.frombuffer(idx.as_buffer(), np.uint32)
+
+    w = ftrl(walk())
+    if seen:
+        at = np.flatnonzero(w).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([binary([at]), binary([w[at]])], ["idx", "weight"])
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn) -> tuple[np.ndarray, np.ndarray] | None:
+    """(buckets, weights) other than 0, learned from at most MAX_TRAIN labelled ids for which ``learn`` holds."""
     known = labels.where(F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # the ids are at most MAX_TRAIN, so their side of the join is of proven size
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     text = docs.where(learn).select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = text.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_examples, "doc_id long, toxic int, idx binary").toArrow()
-    if not rows.num_rows:
-        return None
-    # feature lists are read where Arrow holds them, without a copy
-    examples = []
-    for batch in rows.to_batches():
-        data = batch.column("idx")
-        off = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
-        flat = np.frombuffer(data.buffers()[2], np.uint8)
-        for i, (d, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
-            examples.append((d, y, flat[off[i] : off[i + 1]].view(np.uint32)))
-    examples.sort(key=lambda e: (e[0], e[1], len(e[2])))
-    got = ftrl([(y, idx) for _, y, idx in examples])
-    del examples, rows, batch, data, flat
-    pa.default_memory_pool().release_unused()
-    return got
-
-
-def _scorer(weights):
+    rows = text.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_examples, "doc_id long, toxic int, idx binary")
+    # each epoch has an order of its own, by a hash that no partitioning changes
+    rows = rows.select(F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"), "doc_id", "toxic", "idx")
+    rows = rows.repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"), "doc_id", F.xxhash64("idx"))
+    got = rows.select("toxic", "idx").mapInArrow(_fit, "idx binary, weight binary").first()
+    return got and (np.frombuffer(got[0], np.uint32), np.frombuffer(got[1], np.float32))
+
+
+def _scorer(model):
     def run(batches):
-        w = weights.value
+        at, weight = model.value
+        w = np.zeros(BUCKETS, np.float32)
+        w[at] = weight
         for whole in batches:
             for batch in steps(whole, "text"):
                 row, idx = features(*raw(batch.column("text")))
@@ -106,7 +119,7 @@ def _scorer(weights):
                 code = np.unique(row[hit] * BUCKETS + idx[hit])
                 total = np.bincount(code // BUCKETS, weights=w[code % BUCKETS], minlength=batch.num_rows) + w[_BIAS]
                 score = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(score)], [*(c for c in batch.schema.names if c != "text"), "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(score)], [*batch.schema.names[:-1], "score"])
 
     return run
 
@@ -114,8 +127,9 @@ def _scorer(weights):
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of docs, with score (0 to 1) and predicted (1 where score >= 0.5)."""
     w = train(spark, docs, labels, learn)
-    w = w if w is not None else np.where(np.arange(BUCKETS) == _BIAS, np.float32(-1e3), np.float32(0))
-    shared = spark.sparkContext.broadcast(w)
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", score double"
-    return rows.mapInArrow(_scorer(shared), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    shared = spark.sparkContext.broadcast(w or (np.array([_BIAS], np.uint32), np.array([-1e3], np.float32)))
+    # the kept columns travel under names of their own, so none can clash with the text or the score
+    own = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, own, strict=True)), F.col("text").cast("binary").alias("text"))
+    got = rows.mapInArrow(_scorer(shared), T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return got.select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
