@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join by signature trees, with the components of its links.
 
-* Documents with equal shingle sets form one class; only its smallest document goes on.
+* Documents with equal shingle sets form one class, counted before anything is compared; only its
+  smallest document goes on.
 * Prefix filter: with the shingles of a document in one global order (those frequent in a bounded
   sample last, an order that only steers cost), two documents within the threshold share one of
   their first n - ceil(t * n) + 1 shingles. Documents that share such a key form a bucket.
@@ -15,8 +16,10 @@
   task holds more than two tiles. Nothing is dropped.
 
 Edge cases: null or empty texts have an empty set and are their own component; texts of fewer words
-than n have their whole word sequence as one shingle; a null doc_id is its own (null) component;
-rows that repeat a doc_id are kept and share the component of their id's smallest class.
+than n have their whole word sequence as one shingle; a null doc_id is its own (null) component; an
+empty table gives an empty result; texts of any length have all their shingles. Rows that repeat a
+doc_id are kept; an id is one node, which has the links of all its texts, and n_shingles is each
+row's own. Further columns of docs, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +37,10 @@ from .common import U64, Words, binary, components, cut, labels_of, lookup, mix,
 SIG_BITS, SIG_LEAST, SIG_MOST = 2, 4, 1024
 #: Members of a tile.
 CAP = 4096
-#: Documents in the sample that tells which shingles are frequent; any sample gives the same result.
-SAMPLE_DOCS = 6000
+#: Documents (by a hash of the id) and shingles of the table that tells which shingles are frequent, at
+#: most; it only orders a document's shingles, and any order gives the same links.
+SAMPLE_DOCS, FREQUENT = 6000, 200_000
 _PAIRS = 400_000
-#: Family members (a few dozen bytes each) up to which their side of the join with the texts is broadcast.
-FEW_MEMBERS = 400_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -315,20 +317,30 @@ def _tiled(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for links of at least percent % Jaccard similarity of n-word shingles."""
-    num, den, parts = percent, 100, n_parts(spark)
+    num, den = percent, 100
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    parts = n_parts(spark, rows)
 
-    total = rows.count()
-    sample = rows.sample(min(1.0, SAMPLE_DOCS / max(total, 1)), 7).limit(2 * SAMPLE_DOCS).select("text").toArrow()
-    seen = [s for b in sample.to_batches() for part in steps(b, "text") for s in shingle_sets(*raw(part.column("text")), n)]
-    every, times = np.unique(np.concatenate(seen) if seen else np.empty(0, U64), return_counts=True)
-    hot = spark.sparkContext.broadcast(every[times >= 3])
-    del sample, seen, every, times
+    def sets(batches):
+        for whole in batches:
+            for batch in steps(whole, "text"):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), binary(shingle_sets(*raw(batch.column("text")), n))], [*(c for c in batch.schema.names if c != "text"), "shingles"])
+
+    def seen(batches):
+        for batch in sets(batches):
+            flat = np.concatenate([np.frombuffer(x, U64) for x in batch.column("shingles").to_pylist()] or [np.empty(0, U64)])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["h"])
+
+    one_in = F.lit(max(1, rows.count() // SAMPLE_DOCS))
+    often = rows.where(F.pmod(F.xxhash64("doc_id"), one_in) == 0).select("text").mapInArrow(seen, "h long").groupBy("h").count().where("count >= 3")
+    often = np.array([r[0] for r in often.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").toLocalIterator()], np.int64).view(U64)
+    hot = spark.sparkContext.broadcast(np.sort(often))
 
     light = cut(rows.mapInArrow(_light(n, num, den, hot), "doc_id long, n long, name binary, keys array<long>, sig binary"), spark)
+    hot.destroy()
     some = light.where("name is not null and doc_id is not null")
-    classes = some.groupBy("name").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.select("name", F.col("rep").alias("doc_id")), ["name", "doc_id"]).dropDuplicates(["doc_id"])
+    # what depends on the text alone is the same in all rows of a class
+    reps = cut(some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "keys", "sig")]), spark)
 
     keyed = reps.select("doc_id", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -338,7 +350,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
     fits = (F.lag("n").over(w) * den >= F.col("n") * num) | (F.lead("n").over(w) * num <= F.col("n") * den)
     fitting = in_buckets.withColumn("fits", fits).where("fits")
     # the same documents meet under many keys; a list of them (of two tiles at most) is one bucket
-    lists = fitting.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tile"))).alias("members"))
+    lists = fitting.groupBy("bucket").agg(F.array_sort(F.collect_set(F.struct("doc_id", "tile"))).alias("members"))
     lists = cut(lists.groupBy("members").agg(F.min("bucket").alias("bucket")), spark)
     member = lists.select("bucket", F.explode("members").alias("m")).select("bucket", "m.doc_id", "m.tile")
     rich = member.join(reps.select("doc_id", "n", "sig"), "doc_id")
@@ -347,18 +359,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
 
     sizes = family.groupBy("component").agg(F.count("*").alias("members"))
     placed = _tiled(family.select(F.col("node").alias("doc_id"), "component"), sizes, "component")
-
-    def sets(batches):
-        for whole in batches:
-            for batch in steps(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("doc_id"), batch.column("tile"), binary(shingle_sets(*raw(batch.column("text")), n))], ["bucket", "doc_id", "tile", "shingles"])
-
-    # texts stay where they are while the members are few; beyond that both sides are shuffled
-    placed = cut(placed, spark)
-    placed = F.broadcast(placed) if placed.count() <= FEW_MEMBERS else placed
-    wanted = rows.join(placed, "doc_id").select("bucket", "doc_id", "tile", "text").mapInArrow(sets, "bucket long, doc_id long, tile int, shingles binary")
+    # a text moves once, to its id; only members go on, as sets. No size of table changes this plan.
+    wanted = rows.join(placed.hint("merge"), "doc_id").select("bucket", "doc_id", "tile", "text").mapInArrow(sets, "bucket long, doc_id long, tile int, shingles binary")
     links = wanted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_links(num, den), "a long, b long")
-    linked = components(links, spark).select(F.col("node").alias("rep"), "component")
+    # an id with several texts belongs to the class of each
+    several = some.select("doc_id", "name").distinct().groupBy("doc_id").agg(F.collect_list("name").alias("names")).where(F.size("names") > 1)
+    same = several.select("doc_id", F.explode("names").alias("name")).join(reps.select("name", F.col("doc_id").alias("rep")), "name").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    linked = components(links.union(same), spark)
 
-    named = classes.join(linked, "rep", "left").select("name", F.coalesce("component", "rep").alias("class_component"))
+    named = reps.select("name", F.col("doc_id").alias("rep")).join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("class_component"))
     return light.select("doc_id", "n", "name").join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id"))
