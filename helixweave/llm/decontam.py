@@ -9,7 +9,8 @@ similarity (sum of minima over sum of maxima of the counts of the five-word shin
    the size of the benchmark side). The others are written once, with their arrays.
 2. Around shared shingles lie the windows. A window of similarity t has at most (1 - t) of its
    shingles unmatched, so its first match of the item lies in its first (1 - t) * size places: each
-   match opens the windows that start there, back to the match before it.
+   match opens the windows that start there, back to the match before it. How many shingles a window
+   shares is not looked at here; that is left to the fingerprints.
 3. Each window is fingerprinted: for each of 64 bits the shingles that set it vote (eight-bit counters
    packed eight to a word, summed by an aggregate), and the majority is the bit.
 4. Multi-index: the fingerprint is cut into BLOCKS of 8 bits. Two fingerprints within RADIUS differ in
@@ -19,8 +20,10 @@ similarity (sum of minima over sum of maxima of the counts of the five-word shin
 5. Pairs within RADIUS are verified by the exact similarity.
 
 Edge cases: null or empty texts and items of fewer than five words have no five-word shingle and take
-no part; the only window of a document shorter than the item is the whole document; repeated items each count; rows
-that repeat a doc_id give one row for each item they leak.
+no part, nor do rows without doc_id; the only window of a document shorter than the item is the whole
+document; repeated items each count; rows that repeat a doc_id give one row for each item they leak;
+texts of any length are searched whole; an empty table on either side gives an empty result. Further
+columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, n_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 23
@@ -102,19 +105,19 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
     gram_at = hashed(texts, "doc_id").select("doc_id", F.posexplode_outer("grams").alias("at", "gram"))
     hits = cut(gram_at.join(marks.select("gram").distinct(), "gram", "left_semi"), spark)
 
-    # positions of each item's shingles in each document; too few for any window: done
+    # positions of each item's shingles in each document
     found = hits.join(marks.distinct(), "gram").groupBy("doc_id", "item_id", "n_words").agg(F.array_sort(F.collect_set("at")).alias("at"))
     size = F.col("n_words") - (SHINGLE - 1)
     slack = F.floor(size * F.lit(1 - SIMILARITY) + 1e-9).cast("int")
-    found = found.where(F.size("at") >= F.ceil(size * SIMILARITY - 1e-9)).withColumn("size", size).withColumn("slack", slack)
+    found = found.withColumn("size", size).withColumn("slack", slack)
     runs = F.transform("at", lambda p, i: F.struct(F.greatest(p - F.col("slack"), F.lit(0), F.when(i > 0, F.get("at", i - 1) + 1).otherwise(0)).alias("a"), p.alias("b")))
-    starts = F.flatten(F.transform(runs, lambda r: F.sequence(r["a"], r["b"])))
-    # a window needs as many of the item's positions as the similarity asks
-    enough = F.filter(starts, lambda s: F.size(F.filter("at", lambda p: (p >= s) & (p < s + F.col("size")))) >= F.ceil(F.col("size") * SIMILARITY - 1e-9))
-    places = found.select("doc_id", "n_words", "size", F.explode(enough).alias("word")).distinct()
+    starts = F.explode(F.flatten(F.transform(runs, lambda r: F.sequence(r["a"], r["b"]))))
+    places = found.select("doc_id", "n_words", "size", starts.alias("word")).distinct()
     per_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "size", "word")).alias("places"))
 
-    near = cut(hashed(texts.join(per_doc, "doc_id"), "doc_id", "places"), spark)
+    # partitions by number: adaptive execution would put the few bytes of these documents into a few tasks
+    parts = n_parts(spark, texts)
+    near = cut(hashed(texts.repartition(parts, "doc_id").join(per_doc.repartition(parts, "doc_id"), "doc_id"), "doc_id", "places"), spark)
     near = near.select("doc_id", "grams", F.explode("places").alias("p"))
     # a document shorter than the item is one window; similar enough, its first match lies near its begin
     fits = (F.col("p.word") + F.col("p.size") <= F.size("grams")) | ((F.col("p.word") == 0) & (F.col("p.size") > F.size("grams")))
