@@ -141,6 +141,15 @@ def test_jaccard_components_equal_brute_force(spark, docs, nothing, n, percent):
     assert ngramjoin.jaccard_components(spark, nothing, n, percent).count() == 0
 
 
+def test_jaccard_ids_with_several_texts_are_one_node(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(60, rng) for _ in range(4))
+    data = [(1, a), (1, b), (3, b + " tail"), (7, a), (7, c), (9, c + " end"), (20, d), (21, d), (30, ""), (30, d + " x"), (4, a + " more")]
+    for order in (data, data[::-1]):
+        got = ngramjoin.jaccard_components(spark, spark.createDataFrame(order, "doc_id long, text string").repartition(3), 3, 90).collect()
+        assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == {(1, 1), (3, 1), (7, 1), (9, 1), (20, 20), (21, 20), (30, 20), (4, 1)} and len(got) == len(data)
+
+
 def test_patience_matches_rise():
     rng = random.Random(1)
     for _ in range(200):
@@ -164,6 +173,15 @@ def test_line_dedup(spark, nothing):
     assert linededup.line_dedup(spark, nothing).count() == 0
 
 
+def test_line_dedup_trims_and_keeps_columns(spark):
+    block = ["a block of a line that has over forty characters", "and the next"]
+    data = [(1, "\n".join(block), "p", 7, 9), (2, "own\r\n\t" + "\r\n ".join(block) + "\r\nend", "q", 8, 9), (2, "other\n" + block[0], None, 8, 9), (3, "x\n" * 30_000 + block[0], "r", 1, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, _name string, n_lines_removed int, _row int")
+    got = [tuple(r) for r in linededup.line_dedup(spark, df).collect()]
+    assert {(r[0], r[2], r[3], r[4]) for r in got} == {(1, "p", 9, 0), (2, "q", 9, 2), (2, None, 9, 1), (3, "r", None, 1)}
+    assert {r[1] for r in got} == {"\n".join(block), "own\r\nend", "other", "x\n" * 29_999 + "x"}
+
+
 def test_line_dedup_meets_every_earlier_holder(spark):
     """Frequent lines, against all pairs: by all their lines, and by the lines above each level alone."""
     rng = random.Random(4)
