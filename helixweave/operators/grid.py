@@ -45,6 +45,18 @@ def prune_flags(scores: DataFrame, match: int, *keys: str) -> DataFrame:
     return scores.withColumn("best", best).withColumn("prunable", F.col("score") + match * left <= F.col("best"))
 
 
+def prune_counters(flags: DataFrame, *keys: str) -> DataFrame:
+    """(keys, blocks, pruned, cells, pruned_cells) of rows with i0, i1, j0, j1 and prunable."""
+    cells = (F.col("i1") - F.col("i0")) * (F.col("j1") - F.col("j0"))
+    flags = flags.select(*keys, cells.alias("cells"), F.col("prunable").cast("long").alias("gone"))
+    return flags.groupBy(*keys).agg(F.count("*").alias("blocks"), F.sum("gone").alias("pruned"), F.sum("cells").alias("cells"), F.sum(F.col("cells") * F.col("gone")).alias("pruned_cells"))
+
+
+def flush_rows(n: str, m: str, limit: int, step: str) -> Column:
+    """flush_interval of columns."""
+    return F.expr(f"greatest(1L, shiftright({n} * {m} * 8 div {limit} + 1, CAST({step} div 2 AS INT)))")
+
+
 def flush_interval(n: int, m: int, limit: int, step: int = 0) -> int:
     """Rows between saved rows, for limit bytes of saved cells; halves every two steps."""
     if limit <= 0:

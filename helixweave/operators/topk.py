@@ -9,15 +9,20 @@ from helixweave.functions.scoring import Scores
 
 
 def derived(best: tuple, s: tuple, min_score: int, n: int, m: int, sc: Scores) -> bool:
-    """Whether candidate s (score, i, j) is explained by the better kept ``best``."""
+    """Whether candidate s (score, i, j) is explained by the better kept ``best``.
+
+    It is where gaps from the best to it would cost less than the best's score (or, if scores below 0 count,
+    where it lies farther off than the shorter sequence is long), and where its score is what a path between
+    the two could give.
+    """
     dx, dy, dz = s[2] - best[2], s[1] - best[1], s[0] - best[0]
     if dz >= 0:
         return False
     far = abs(dx) + abs(dy)
-    if min_score >= 0 and best[0] <= far // sc.gap_ext:
-        return False
+    if min_score >= 0 and best[0] > far // sc.gap_ext:
+        return True
     if min_score < 0 and far > min(n, m):
-        return False
+        return True
     same = dx * dy >= 0
     gaps = abs(abs(dx) - abs(dy)) if same else far
     diag = min(abs(dx), abs(dy))

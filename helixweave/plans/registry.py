@@ -1,7 +1,8 @@
 """All registered queries of the alignment engine, with the SQL that checks them.
 
 Every query reads its whole tables and whole texts. Where the recurrence in SQL takes too long on
-whole tables, there is no SQL and tests compare with a cell-by-cell loop.
+whole tables, there is no SQL and tests compare with a cell-by-cell loop. The SQL of paths walks back
+through the matrix by a recursion of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from helixweave.functions.scoring import ALL_EDGES, Edges
 from helixweave.operators import align, crosspoints, grid, pairs, report, rows, topk
 from helixweave.sources.session import workers_find_package
 
+from . import dp_sql
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -137,9 +140,11 @@ def grid_blocks(spark, sf_dir):
     return _named(grid.blocks(p, 64, 48, "aid", "bid"))
 
 
-@query("SELECT k AS step, CASE WHEN k >= 0 THEN greatest(1, (249000000::HUGEINT * 228000000 * 8 // 50000000000 + 1)::BIGINT >> (k // 2)::BIGINT) END AS rows_between FROM (SELECT unnest(range(0, 12)) AS k)")
+@query(f"SELECT aid, bid, k AS step, greatest(1, (n * m * 8 // 5000 + 1) >> (k // 2)) AS rows_between FROM (SELECT aid, bid, length(a) AS n, length(b) AS m FROM ({_ITEM_PAIRS})), (SELECT unnest(range(0, 8)) AS k)")
 def flush_schedule(spark, sf_dir):
-    return spark.createDataFrame([(k, grid.flush_interval(249_000_000, 228_000_000, 50_000_000_000, k)) for k in range(12)], "step long, rows_between long")
+    sizes = item_pairs(spark, sf_dir)
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("step")
+    return sizes.select("aid", "bid", "n", "m", steps).select("aid", "bid", "step", grid.flush_rows("n", "m", 5000, "step").alias("rows_between"))
 
 
 @query(f"SELECT seq_id, row_id FROM (SELECT seq_id, length(seq) AS len, unnest(range(1, (length(seq) + 63) // 64 + 1)) AS k, least(k * 64, len) AS row_id FROM {_DOC} WHERE length(seq) > 0) WHERE row_id % 256 = 0 OR row_id = len")
@@ -190,9 +195,15 @@ def sequence_match_nullsafe(spark, sf_dir):
 
 
 def _dp(source: str, edges: Edges) -> str:
-    from .dp_sql import scores_sql
+    return dp_sql.scores_sql(source, edges)
+
+
+def _path_sql(select: str, *ctes: str, edges: Edges = Edges()) -> str:
+    return f"WITH RECURSIVE {', '.join([dp_sql.path_ctes(_EVENT_PAIRS, edges), *ctes])}\n{select}"
+
 
-    return scores_sql(source, edges)
+def _block_sql(select: str, *ctes: str) -> str:
+    return f"WITH RECURSIVE {', '.join([dp_sql.blocks_ctes(_ITEM_PAIRS, 64, 64), *ctes])}\n{select}"
 
 
 @query(f"SELECT aid, bid, score FROM ({_dp(_ITEM_PAIRS, Edges('*', '*'))})")
@@ -235,51 +246,59 @@ def _paths(spark, sf_dir, edges=Edges()):
     return align.align_path(_event_pairs(spark, sf_dir), edges)
 
 
-@query()
+@query(_path_sql("SELECT aid, bid, score, start_i, start_j, end_i, end_j, ops FROM path"))
 def aln_path(spark, sf_dir):
     return _paths(spark, sf_dir)
 
 
-@query(f"SELECT aid, bid, score, score AS stat_score, 2 * (matches + mismatches) + gap_extensions = span AS lengths_agree FROM (SELECT aid, bid, score, 0 AS matches, 0 AS mismatches, 0 AS gap_extensions, 0 AS span FROM ({_dp(_EVENT_PAIRS, Edges('*', '*'))}))")
+@query(_path_sql("""SELECT aid, bid, any_value(p.score) AS score, count(*) FILTER (op = 'M') AS matches, count(*) FILTER (op = 'X') AS mismatches,
+  count(*) FILTER (op IN ('H', 'V') AND value = -5) AS gap_openings, count(*) FILTER (op IN ('H', 'V')) AS gap_extensions, CAST(coalesce(sum(value), 0) AS BIGINT) AS stat_score
+  FROM path p LEFT JOIN step USING (aid, bid) GROUP BY aid, bid"""))
 def aln_stats(spark, sf_dir):
-    got = align.with_stats(_paths(spark, sf_dir))
-    span = F.when(F.col("end_i") < 0, 0).otherwise(F.col("end_i") - F.col("start_i") + 1 + F.col("end_j") - F.col("start_j") + 1)
-    return got.select("aid", "bid", "score", "stat_score", (2 * (F.col("matches") + F.col("mismatches")) + F.col("gap_extensions") == span).alias("lengths_agree"))
+    return align.with_stats(_paths(spark, sf_dir)).select("aid", "bid", "score", "matches", "mismatches", "gap_openings", "gap_extensions", "stat_score")
 
 
-@query()
+@query(_path_sql("SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY aid, bid, gap_seq ORDER BY pos) AS delta FROM gap", "gap AS (SELECT aid, bid, CASE op WHEN 'H' THEN 0 ELSE 1 END AS gap_seq, CASE op WHEN 'H' THEN min(i) ELSE min(j) END AS pos, count(*) AS len FROM step WHERE op IN ('H', 'V') GROUP BY aid, bid, run, op)", edges=Edges("+", "+")))
 def gap_runs(spark, sf_dir):
     return align.gap_runs(_paths(spark, sf_dir, Edges("+", "+")), "aid", "bid")
 
 
-@query()
+@query(_path_sql("SELECT *, CAST(sum(block_score) OVER (PARTITION BY aid, bid ORDER BY block) AS BIGINT) AS total_score FROM line", """line AS (SELECT aid, bid, (k - 1) // 60 AS block,
+  string_agg(CASE op WHEN 'H' THEN '-' ELSE substr(p.a, i, 1) END, '' ORDER BY k) AS query, string_agg(CASE op WHEN 'M' THEN '|' ELSE ' ' END, '' ORDER BY k) AS bars,
+  string_agg(CASE op WHEN 'V' THEN '-' ELSE substr(p.b, j, 1) END, '' ORDER BY k) AS subject, CAST(sum(value) AS BIGINT) AS block_score FROM step JOIN p USING (aid, bid) GROUP BY aid, bid, block)"""))
 def aln_report(spark, sf_dir):
     p = _event_pairs(spark, sf_dir)
     return report.lines(align.align_path(p).join(p, ["aid", "bid"]), "aid", "bid")
 
 
-@query()
+_POINTS = "SELECT aid, bid, CAST(ord AS INTEGER) AS ord, CAST(type AS INTEGER) AS type, i, j, CAST(score AS BIGINT) AS score"
+
+
+@query(_path_sql(f"{_POINTS} FROM point", dp_sql.points_cte(16)))
 def crosspoint_list(spark, sf_dir):
     return crosspoints.from_paths(_paths(spark, sf_dir), 16, "aid", "bid")
 
 
-@query()
+_SEGMENTS = "seg AS (SELECT * FROM (SELECT aid, bid, CAST(ord AS INTEGER) AS ord, lag(i) OVER o AS i0, lag(j) OVER o AS j0, i AS i1, j AS j1, CAST(score - lag(score) OVER o AS BIGINT) AS d_score, i - lag(i) OVER o AS di, j - lag(j) OVER o AS dj FROM point WINDOW o AS (PARTITION BY aid, bid ORDER BY ord)) WHERE i0 IS NOT NULL)"
+
+
+@query(_path_sql("SELECT * FROM seg", dp_sql.points_cte(16), _SEGMENTS))
 def crosspoints_lag(spark, sf_dir):
     return crosspoints.segments(crosspoint_list(spark, sf_dir), "aid", "bid")
 
 
-@query()
+@query(_path_sql("SELECT aid, bid, max(di) AS max_di, max(dj) AS max_dj FROM seg WHERE di <> 0 AND dj <> 0 GROUP BY aid, bid", dp_sql.points_cte(16), _SEGMENTS))
 def largest_partition(spark, sf_dir):
     return crosspoints.largest(crosspoint_list(spark, sf_dir), "aid", "bid")
 
 
-@query()
+@query(_path_sql("SELECT aid, bid, CAST(row_number() OVER (PARTITION BY aid, bid ORDER BY ord DESC) - 1 AS INTEGER) AS ord, CASE type WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS type, m - j AS i, n - i AS j, CAST(score AS BIGINT) AS score FROM point JOIN q USING (aid, bid)", dp_sql.points_cte(16)))
 def crosspoints_reverse(spark, sf_dir):
     size = _event_pairs(spark, sf_dir).select("aid", "bid", F.char_length("a").alias("n"), F.char_length("b").alias("m"))
     return crosspoints.reverse(crosspoint_list(spark, sf_dir).join(size, ["aid", "bid"]), "aid", "bid")
 
 
-@query()
+@query(_path_sql("SELECT aid, bid, CAST(type AS INTEGER) AS type, i, j, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY aid, bid ORDER BY i, j, type, score) - 1 AS INTEGER) AS ord FROM (SELECT DISTINCT aid, bid, type, i, j, score FROM (SELECT * FROM point UNION ALL SELECT * FROM coarse))", dp_sql.points_cte(16), dp_sql.points_cte(32, "coarse")))
 def merge_midpoints(spark, sf_dir):
     p = _paths(spark, sf_dir)
     return crosspoints.merge(crosspoints.from_paths(p, 32, "aid", "bid"), crosspoints.from_paths(p, 16, "aid", "bid"), "aid", "bid")
@@ -292,33 +311,65 @@ def _blocks(spark, sf_dir):
     return report.block_scores(_item_pairs(spark, sf_dir), 64, 64)
 
 
-@query()
+@query(_block_sql("SELECT aid, bid, block_row, block_col, score, i, j FROM block"))
 def block_best(spark, sf_dir):
     return _named(_blocks(spark, sf_dir).select("aid", "bid", "by", "bx", "score", "i", "j"))
 
 
-@query()
+@query(_block_sql("SELECT aid, bid, block_row * least(2, h) // h AS y, block_col * least(2, w) // w AS x, max(score) AS score FROM block JOIN (SELECT aid, bid, max(block_row) + 1 AS h, max(block_col) + 1 AS w FROM block GROUP BY aid, bid) USING (aid, bid) GROUP BY 1, 2, 3, 4"))
 def block_downsample(spark, sf_dir):
     return grid.downsample(_blocks(spark, sf_dir), 2, "aid", "bid")
 
 
-@query()
+_PRUNE = "flag AS (SELECT aid, bid, block_row, block_col, score, max(score) OVER (PARTITION BY aid, bid) AS best, score + least(n - block_row * 64, m - block_col * 64) <= max(score) OVER (PARTITION BY aid, bid) AS prunable FROM block)"
+
+
+@query(_block_sql("SELECT * FROM flag", _PRUNE))
 def prune_flags(spark, sf_dir):
     return _named(grid.prune_flags(_blocks(spark, sf_dir), 1, "aid", "bid").select("aid", "bid", "by", "bx", "score", "best", "prunable"))
 
 
-@query()
+@query(_block_sql("SELECT aid, bid, count(*) AS blocks, count(*) FILTER (prunable) AS pruned, CAST(sum(cells) AS BIGINT) AS cells, CAST(coalesce(sum(cells) FILTER (prunable), 0) AS BIGINT) AS pruned_cells FROM (SELECT flag.*, least(64, n - block_row * 64) * least(64, m - block_col * 64) AS cells FROM flag JOIN q USING (aid, bid)) GROUP BY aid, bid", _PRUNE))
+def prune_counters(spark, sf_dir):
+    return grid.prune_counters(grid.prune_flags(_blocks(spark, sf_dir), 1, "aid", "bid"), "aid", "bid")
+
+
+@query(_block_sql("SELECT aid, bid, CAST(rank AS INTEGER) AS rank, score, i, j FROM (SELECT *, row_number() OVER (PARTITION BY aid, bid ORDER BY score DESC, i, j) AS rank FROM block) WHERE rank <= 3"))
 def topk_scores(spark, sf_dir):
     return topk.ranked(_blocks(spark, sf_dir), 3, "aid", "bid").select("aid", "bid", "rank", "score", "i", "j")
 
 
-@query()
+_GAPS = "CASE WHEN (b.i - s.i) * (b.j - s.j) >= 0 THEN abs(abs(b.i - s.i) - abs(b.j - s.j)) ELSE abs(b.i - s.i) + abs(b.j - s.j) END"
+_DIAGONAL = "least(abs(b.i - s.i), abs(b.j - s.j))"
+_EXPLAINED = f"""b.score > s.score AND (b.score > (abs(b.i - s.i) + abs(b.j - s.j)) // 2
+    OR (s.score - b.score >= -2 * {_DIAGONAL} - 4 * ({_GAPS}) AND s.score - b.score <= {_DIAGONAL} - ({_GAPS})))"""
+
+
+@query(
+    _block_sql(
+        "SELECT pair, CAST(rank AS INTEGER) AS rank, x.score AS score, x.i AS i, x.j AS j FROM (SELECT pair, unnest(kept) AS x, unnest(range(1, len(kept) + 1)) AS rank FROM pick WHERE nth > len(cs) OR len(kept) = 3)",
+        "cand AS (SELECT concat(aid, '-', bid) AS pair, list({'score': score, 'i': i, 'j': j} ORDER BY score DESC, i, j) AS cs FROM block WHERE score >= 1 GROUP BY aid, bid)",
+        f"""pick AS (SELECT pair, cs, 1 AS nth, list_filter(cs, lambda x: false) AS kept FROM cand
+  UNION ALL
+  SELECT pair, cs, nth + 1, CASE WHEN (len(kept) = 0 OR s.score >= 0.25 * kept[1].score) AND len(list_filter(kept, lambda b: {_EXPLAINED})) = 0 THEN list_append(kept, s) ELSE kept END
+  FROM (SELECT *, cs[nth] AS s FROM pick WHERE nth <= len(cs) AND len(kept) < 3))""",
+    )
+)
 def derived_filter(spark, sf_dir):
     key = F.concat_ws("-", "aid", "bid").alias("pair")
     return topk.distinct_best(_blocks(spark, sf_dir).select(key, "n", "m", "score", "i", "j"), 3, "pair", 1)
 
 
-@query()
+_HALVES = f"""SELECT aid * 2 AS aid, bid, substr(a, 1, length(a) // 2) AS a, b FROM ({_EVENT_PAIRS})
+  UNION ALL SELECT aid * 2 + 1, bid, reverse(substr(a, length(a) // 2 + 1)), reverse(b) FROM ({_EVENT_PAIRS})"""
+
+
+@query(f"""WITH RECURSIVE {dp_sql.scores_ctes(_HALVES, Edges("+", "+"))},
+edge AS (SELECT aid // 2 AS aid, aid % 2 AS half, bid, n, m, CASE aid % 2 WHEN 0 THEN d - n ELSE m - (d - n) END AS j, CAST(h1[n + 1] AS BIGINT) AS h, CAST(f1[n + 1] AS BIGINT) AS f FROM dp WHERE d - n BETWEEN 0 AND m),
+met AS (SELECT x.aid, x.bid, x.n AS mid_i, x.j AS mid_j, x.h + y.h AS hh, x.f + y.f + 3 AS gg, x.h AS h1, y.h AS h2, x.f AS f1, y.f AS f2 FROM edge x JOIN edge y ON x.aid = y.aid AND x.bid = y.bid AND x.j = y.j AND x.half = 0 AND y.half = 1),
+goal AS (SELECT *, max(greatest(hh, gg)) OVER (PARTITION BY aid, bid) AS score FROM met)
+SELECT aid, bid, mid_i, mid_j, CAST(CASE WHEN hh = score THEN 0 ELSE 1 END AS BIGINT) AS type, CASE WHEN hh = score THEN h1 ELSE f1 END AS upper, CASE WHEN hh = score THEN h2 ELSE f2 END AS lower, score
+FROM goal WHERE hh = score OR gg = score QUALIFY row_number() OVER (PARTITION BY aid, bid ORDER BY mid_j) = 1""")
 def mm_match(spark, sf_dir):
     """Middle rows of global alignments meet: the first column where both halves add up to the score."""
     return rows_meet(spark, sf_dir)
