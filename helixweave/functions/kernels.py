@@ -3,7 +3,8 @@
 A row of the matrix is a handful of vector operations: without horizontal gaps a cell is
 T = max(diagonal, vertical gap[, 0]); a horizontal gap re-opened from another never wins, so
 E[j] = max over k < j of (T[k] + ext * k) - open - ext * j, a running maximum. Many pairs of similar
-size advance together, one row at a time; one large pair is cut into blocks that pass their borders on.
+size advance together, one row at a time, with the pairs side by side in memory, so that the running
+maximum too is a vector operation; one large pair is cut into blocks that pass their borders on.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ import numpy as np
 
 from .scoring import INF, Edges, Scores, border
 
-#: Cells of one row step over all pairs of a batch.
-ROW_CELLS = 200_000
+#: Cells of one row step over all pairs of a batch: where paths are traced, and for scores (what a core's cache holds).
+ROW_CELLS, SCORE_CELLS = 200_000, 120_000
+#: Pairs of a batch from which they lie side by side.
+SIDE_BY_SIDE = 8
 DIAG, VERT, HORI, V_CLOSE, H_CLOSE, STOP = map(np.uint8, (1, 2, 4, 8, 16, 32))
 
 
@@ -99,6 +102,85 @@ def _rows(a, b, na, nb, edges: Edges, sc: Scores, trace: bool):
     return best, bits
 
 
+def _side_by_side(a, b, na, nb, edges: Edges, sc: Scores):
+    """Score and end of every pair of one batch; arrays are (symbols of b, pairs)."""
+    n, m, p = int(na.max()), int(nb.max()), len(a)
+    # symbols as small numbers; what lies beyond a sequence equals nothing
+    known = {c: k for k, c in enumerate(np.unique(np.concatenate([*a, *b])).tolist())}
+    symbols = np.fromiter(known, np.int64, len(known))
+    worst = (n + m) * max(sc.gap_ext, -sc.mismatch, sc.match) + 2 * sc.gap_open
+    kind = np.int16 if worst < 10_000 and len(known) < 30_000 else np.int32
+    low = kind(-15_000 if kind is np.int16 else -INF)
+    a_codes, b_codes = (np.full((size, p), fill, kind) for size, fill in ((n, -1), (m, -2)))
+    for k in range(p):
+        a_codes[: na[k], k], b_codes[: nb[k], k] = np.searchsorted(symbols, a[k]), np.searchsorted(symbols, b[k])
+    top, side = (border("zeroes" if free else "gaps", size, sc).astype(kind) for free, size in ((edges.free_row, m), (edges.free_column, n)))
+    h, new = np.repeat(top[:, None], p, 1), np.empty((m + 1, p), kind)
+    f, run = np.full((m + 1, p), low, kind), np.empty((m + 1, p), kind)
+    other, zero = np.empty((m + 1, p), kind), np.zeros((m, p), kind)
+    same, step = np.empty((m, p), bool), np.empty((m, p), kind)
+    ramp = (sc.gap_ext * np.arange(m + 1)).astype(kind)[:, None]
+    back = (ramp[1:] + sc.gap_open).astype(kind)
+    gain, loss, open_, ext = kind(sc.match - sc.mismatch), kind(sc.mismatch), kind(sc.gap_open), kind(sc.gap_ext)
+    beyond = None if (nb == m).all() else np.where(np.arange(m + 1)[:, None] <= nb, kind(0), low)
+    cols = np.arange(p)
+    if edges.end == "*":
+        best = np.zeros(p, np.int64), np.full(p, -1), np.full(p, -1)
+    else:
+        best = np.full(p, -INF, np.int64), np.full(p, INF), np.full(p, INF)
+
+    def ends(i):
+        if edges.end == "*":
+            if not i or not m:
+                return
+            inner = h[1:] if beyond is None else np.add(h[1:], beyond[1:], out=step)
+            top_ = inner.max(0)
+            up = np.flatnonzero((top_ > best[0]) & (na >= i))
+            if len(up):
+                best[0][up], best[1][up], best[2][up] = top_[up], i, inner[:, up].argmax(0) + 1
+            return
+        if edges.end in "13":
+            last = np.flatnonzero(na == i)
+            if len(last):
+                line = h[:, last] if beyond is None else h[:, last] + beyond[:, last]
+                j = line.argmax(0)
+                got = tuple(x[last] for x in best)
+                _better(got, line[j, np.arange(len(last))].astype(np.int64), i, j)
+                for x, y in zip(best, got, strict=True):
+                    x[last] = y
+        if edges.end in "23":
+            _better(best, np.where(na >= i, h[nb, cols].astype(np.int64), -INF), i, nb)
+        if edges.end == "+":
+            last = np.flatnonzero(na == i)
+            best[0][last], best[1][last], best[2][last] = h[nb[last], last], i, nb[last]
+
+    ends(0)
+    for i in range(1, n + 1):
+        np.subtract(h, open_, out=run)
+        np.maximum(run, f, out=f)
+        f -= ext
+        np.equal(b_codes, a_codes[i - 1], out=same)
+        np.multiply(same, gain, out=step)
+        step += loss
+        step += h[:-1]
+        np.maximum(step, f[1:], out=new[1:])
+        if edges.local:
+            np.maximum(new[1:], zero, out=new[1:])
+        new[0] = side[i]
+        np.add(new, ramp, out=run)
+        # the running maximum, by distances that double: faster than symbol by symbol
+        x, y, d = run, other, 1
+        while d <= m:
+            np.maximum(x[d:], x[:-d], out=y[d:])
+            y[:d] = x[:d]
+            x, y, d = y, x, 2 * d
+        np.subtract(x[:-1], back, out=step)
+        np.maximum(new[1:], step, out=new[1:])
+        h, new = new, h
+        ends(i)
+    return best
+
+
 def batches(a: list[np.ndarray], b: list[np.ndarray], cells: int = ROW_CELLS, matrix: int | None = None):
     """Index groups of pairs of similar size whose rows (or whole matrices) fit a bound."""
     order = sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i])))
@@ -118,9 +200,13 @@ def batches(a: list[np.ndarray], b: list[np.ndarray], cells: int = ROW_CELLS, ma
 def best_scores(a: list[np.ndarray], b: list[np.ndarray], edges: Edges = Edges(), sc: Scores = Scores()) -> np.ndarray:
     """(pairs, 3): score and end (i, j), 1-based counts of consumed symbols; (0, -1, -1) for an empty alignment."""
     out = np.zeros((len(a), 3), np.int64)
-    for g in batches(a, b):
+    for g in batches(a, b, SCORE_CELLS):
         x, y = [a[i] for i in g], [b[i] for i in g]
-        best, _ = _rows(x, y, np.array([len(s) for s in x]), np.array([len(s) for s in y]), edges, sc, False)
+        na, nb = (np.array([len(s) for s in side]) for side in (x, y))
+        if len(g) >= SIDE_BY_SIDE and nb.max():
+            best = _side_by_side(x, y, na, nb, edges, sc)
+        else:
+            best, _ = _rows(x, y, na, nb, edges, sc, False)
         out[g] = np.stack(best, 1)
     return out
 

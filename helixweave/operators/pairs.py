@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def clean(text: Column) -> Column:
-    """Blanks and line ends out, a-z to upper case."""
-    return F.translate(F.regexp_replace(text, r"[ \r\n]", ""), _LOW, _UP)
+    """Blanks and line ends out, a-z to upper case, in one pass."""
+    return F.translate(text, _LOW + " \r\n", _UP)
 
 
 def sequences(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -28,6 +30,25 @@ def event_sequences(events: DataFrame) -> DataFrame:
     return got.withColumn("len", F.char_length("seq").cast("long"))
 
 
+def _groups(df: DataFrame) -> int:
+    """Groups whose pairs are about as many as the session's shuffle partitions, at least 16."""
+    return max(16, math.ceil(math.sqrt(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def meet_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of left with every row of right, where that is the question asked (streams may be on the left).
+
+    Both sides are dealt into groups, and each pair of groups is one key of an equi-join: no nested loop, no
+    hot key, and no side has to fit in memory.
+    """
+    groups = _groups(right)
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    own = lambda df: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(groups)).cast("int")
+    x = left.select("*", own(left).alias("_x")).select("*", every.alias("_y"))
+    y = right.select("*", own(right).alias("_y")).select("*", every.alias("_x"))
+    return x.join(y, ["_x", "_y"]).drop("_x", "_y")
+
+
 def all_pairs(seqs: DataFrame) -> DataFrame:
     """(aid, bid, a, b) for every two sequences, aid < bid.
 
@@ -35,7 +56,7 @@ def all_pairs(seqs: DataFrame) -> DataFrame:
     key of an equi-join, so the work spreads over tasks without a nested-loop join and no side has to
     fit in memory.
     """
-    groups = 16
+    groups = _groups(seqs)
     s = seqs.select("seq_id", "seq", F.pmod(F.xxhash64("seq_id"), F.lit(groups)).cast("int").alias("g"))
     others = F.sequence(F.lit(0), F.lit(groups - 1))
     key = F.explode(F.transform(others, lambda o: F.least("g", o) * groups + F.greatest("g", o)))

@@ -7,13 +7,15 @@ through the matrix by a recursion of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixweave.functions import sequences as S
 from helixweave.functions.scoring import ALL_EDGES, Edges
-from helixweave.operators import align, crosspoints, grid, pairs, report, rows, topk
-from helixweave.sources.session import workers_find_package
+from helixweave.operators import align, crosspoints, grid, pairs, report, rows, topk, trace, wavefront
+from helixweave.sources import fasta, formats
+from helixweave.sources.session import work_dir, workers_find_package
+from helixweave.streaming import online
 
 from . import dp_sql
 
@@ -386,9 +388,115 @@ def contamination(spark, sf_dir):
     """Best local score of every benchmark item in every conversation turn."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", pairs.clean(F.col("text")).alias("b")).where("b is not null")
     items = _items(spark, sf_dir).select(F.col("seq_id").alias("item_id"), F.col("seq").alias("a"))
-    # every turn meets every item: that is the question asked
-    met = turns.withColumn("one", F.lit(0)).join(items.withColumn("one", F.lit(0)), "one").drop("one")
-    return align.align_score(align.balanced(met), Edges("*", "*")).select("conv_id", "turn", "item_id", "score")
+    return align.align_score(align.balanced(pairs.meet_all(turns, items)), Edges("*", "*")).select("conv_id", "turn", "item_id", "score")
+
+
+@query(f"SELECT aid, bid, score, score AS path_score, CAST(n AS BIGINT) AS used_a, CAST(m AS BIGINT) AS used_b FROM ({_dp(_EVENT_PAIRS, Edges('+', '+'))}) JOIN (SELECT aid, bid, length(a) AS n, length(b) AS m FROM ({_EVENT_PAIRS})) USING (aid, bid)")
+def linear_path(spark, sf_dir):
+    """Global alignments in linear memory: their paths use both sequences whole and give the best score."""
+    p = _event_pairs(spark, sf_dir)
+    used = lambda c: F.char_length(F.regexp_replace("ops", f"[^MX{c}]", "")).cast("long")
+    paths = trace.linear_paths(p).select("aid", "bid", F.col("score").alias("path_score"), used("V").alias("used_a"), used("H").alias("used_b"))
+    return align.align_score(p, Edges("+", "+")).select("aid", "bid", "score").join(paths, ["aid", "bid"])
+
+
+# ---------------------------------------------------------------- one large pair
+
+
+_LONGEST = f"(SELECT seq, row_number() OVER (ORDER BY length(seq) DESC, seq_id) AS k FROM {_ITEM})"
+_LONG_PAIR = f"SELECT CAST(0 AS BIGINT) AS aid, CAST(1 AS BIGINT) AS bid, x.seq AS a, y.seq AS b FROM {_LONGEST} x JOIN {_LONGEST} y ON x.k = 1 AND y.k = 2"
+_TILE = 96
+
+
+def _large(spark, sf_dir, edges=Edges(), **more):
+    """The two longest items, aligned block by block, in chunks that come from a table."""
+    two = _items(spark, sf_dir).orderBy(F.desc("len"), "seq_id").limit(2).withColumn("k", F.row_number().over(Window.orderBy(F.desc("len"), "seq_id")))
+    parts = fasta.fasta_chunks(two, _TILE, "k").persist()
+    n, m = (r[0] for r in two.orderBy("k").select("len").collect())
+    seqs = [parts.where(F.col("k") == k).select("no", "bases") for k in (1, 2)]
+    path = work_dir(spark, "large")
+    return seqs, path, wavefront.align_large(spark, *seqs, n, m, _TILE, path, edges, **more)
+
+
+@query(f"WITH RECURSIVE {dp_sql.blocks_ctes(_LONG_PAIR, _TILE, _TILE)} SELECT block_row, block_col, score, i, j FROM block")
+def large_blocks(spark, sf_dir):
+    """Best cell of every block of one large pair, as a wavefront with saved borders finds them."""
+    got = _large(spark, sf_dir, prune=False)[2]
+    return got.select(F.col("by").cast("long").alias("block_row"), F.col("bx").cast("long").alias("block_col"), "score", "i", "j")
+
+
+@query(f"SELECT score, end_i, end_j, score AS path_score, true AS connected FROM ({_dp(_LONG_PAIR, Edges())})")
+def large_path(spark, sf_dir):
+    """The best local alignment of one large pair with its path, found backwards through the saved borders."""
+    seqs, path, blocks = _large(spark, sf_dir)
+    end = tuple(wavefront.best_of(blocks).first())
+    pieces = trace.solved(trace.pieces(spark, *seqs, end, _TILE, path))
+    w = Window.orderBy("ord")
+    fits = F.coalesce((F.lag("i0").over(w) == F.col("i1")) & (F.lag("j0").over(w) == F.col("j1")), (F.col("i1") == end[1]) & (F.col("j1") == end[2]))
+    whole = pieces.withColumn("fits", fits).agg(F.sum("score").alias("path_score"), F.bool_and("fits").alias("connected"))
+    return whole.select(*[F.lit(v).cast("long").alias(c) for c, v in zip(("score", "end_i", "end_j"), end, strict=True)], "path_score", "connected")
+
+
+@query(f"WITH RECURSIVE {dp_sql.blocks_ctes(_LONG_PAIR, _TILE, _TILE)}, part AS (SELECT block_col AS part, max((score, -i, -j)) AS x FROM block GROUP BY block_col) SELECT part, x[1] AS score, -x[2] AS i, -x[3] AS j FROM part")
+def column_parts(spark, sf_dir):
+    """Best cell of each column of blocks, borders handed on from part to part."""
+    blocks = _large(spark, sf_dir, prune=False)[2]
+    return online.best_of_parts(blocks).withColumn("part", F.col("part").cast("long"))
+
+
+# ---------------------------------------------------------------- formats and streams
+
+
+@query(f"SELECT seq_id, accession, seq, CAST(length(seq) AS BIGINT) AS len FROM (SELECT seq_id, 'IT_' || seq_id AS accession, seq FROM {_ITEM}) WHERE length(seq) > 0")
+def fasta_scan(spark, sf_dir):
+    """All items written as FASTA and read back; headers hold a '>' inside."""
+    path = work_dir(spark, "fasta")
+    items = _items(spark, sf_dir).where("len > 0")
+    fasta.write_fasta(items.select(F.concat(F.lit("gi|"), "seq_id", F.lit("|ref|IT_"), "seq_id", F.lit("| an item > others")).alias("description"), "seq"), path)
+    return fasta.read_fasta(spark, path).select(F.regexp_extract("accession", r"(\d+)", 1).cast("long").alias("seq_id"), "accession", "seq", "len")
+
+
+@query(f"SELECT seq_id, CAST(k AS INTEGER) AS no, substr(seq, k * 100 + 1, 100) AS bases FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 99) // 100)) AS k FROM {_DOC})")
+def sequence_chunks(spark, sf_dir):
+    return fasta.fasta_chunks(_docs(spark, sf_dir), 100, "seq_id")
+
+
+@query(_path_sql(f"{_POINTS} FROM point", dp_sql.points_cte(16)).replace("CAST(ord AS INTEGER) AS ord", "CAST(row_number() OVER (PARTITION BY aid, bid ORDER BY ord) - 1 AS INTEGER) AS ord"))
+def crosspoint_files(spark, sf_dir):
+    """Crosspoint lists written as text files and read back."""
+    path = work_dir(spark, "crosspoints")
+    formats.write_crosspoints(crosspoint_list(spark, sf_dir), path, "aid", "bid")
+    got = formats.read_crosspoints(spark, path, "aid", "bid")
+    return got.select(F.col("aid").cast("long").alias("aid"), F.col("bid").cast("long").alias("bid"), "ord", "type", "i", "j", "score")
+
+
+@query(_path_sql("SELECT p.aid, p.bid, score, start_i, start_j, end_i, end_j, count(g.len) AS gaps, CAST(coalesce(sum(g.pos * g.len), 0) AS BIGINT) AS weight FROM path p LEFT JOIN gap g ON g.aid = p.aid AND g.bid = p.bid GROUP BY ALL", "gap AS (SELECT aid, bid, CASE op WHEN 'H' THEN min(i) ELSE min(j) END AS pos, count(*) AS len FROM step WHERE op IN ('H', 'V') GROUP BY aid, bid, run, op)", edges=Edges("+", "+")))
+def alignment_binary(spark, sf_dir):
+    """Alignments in the compact form, read back: spans, and their gaps summed up."""
+    path = work_dir(spark, "alignments")
+    formats.alignments_binary(_paths(spark, sf_dir, Edges("+", "+")), "aid", "bid").write.parquet(path)
+    got = formats.read_alignments(spark.read.parquet(path), "aid", "bid")
+    both = F.concat("gaps0", "gaps1")
+    return got.select("aid", "bid", "score", "start_i", "start_j", "end_i", "end_j", F.size(both).cast("long").alias("gaps"), F.aggregate(both, F.lit(0).cast("long"), lambda t, g: t + g["pos"] * g["len"]).alias("weight"))
+
+
+@query(f"SELECT k, CAST(CASE WHEN k = 0 THEN 0 ELSE -3 - 2 * k END AS INTEGER) AS h, CAST(-999999999 AS INTEGER) AS g FROM (SELECT unnest(range(0, n + 1)) AS k FROM (SELECT max(length(seq)) AS n FROM {_ITEM}))")
+def border_cells(spark, sf_dir):
+    """The border of gaps over the longest item."""
+    n = _items(spark, sf_dir).agg(F.max("len")).first()[0]
+    return formats.cells(spark, f"init://{n}", "gaps")
+
+
+_STREAM_PAIRS = f"SELECT x.seq_id AS aid, y.seq_id AS bid, x.seq AS a, y.seq AS b FROM {_EVENT} x, {_ITEM} y"
+
+
+@query(f"SELECT target_id, score, seq_id FROM (SELECT bid AS target_id, score, aid AS seq_id, row_number() OVER (PARTITION BY bid ORDER BY score DESC, aid) AS k FROM ({_dp(_STREAM_PAIRS, Edges())})) WHERE k = 1")
+def stream_best(spark, sf_dir):
+    """Event sequences arrive as files and are scored against every item; the best of each item."""
+    top = work_dir(spark, "stream")
+    pairs.event_sequences(_table(spark, sf_dir, "events")).select("seq_id", "seq").write.parquet(f"{top}/in")
+    targets = _items(spark, sf_dir).select(F.col("seq_id").alias("target_id"), F.col("seq").alias("target"))
+    return online.best_so_far(online.score_arrived(spark, f"{top}/in", targets, f"{top}/checkpoint", f"{top}/out"))
 
 
 def queries() -> dict:

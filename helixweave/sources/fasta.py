@@ -10,15 +10,21 @@ from helixweave.operators.pairs import clean
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record, description, accession, seq, len). Records are split at '>', so files stay splittable by record."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("record"))
-    text = raw.where(F.trim("value") != "")
+    """(file, record, description, accession, seq, len). A record begins with '>' at the start of a line."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("record"))
+    text = raw.withColumn("value", F.regexp_replace("value", "^>", "")).where(F.btrim("value", F.lit(" \r\n")) != "")
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.regexp_replace("value", r"^[^\r\n]*", "")
     seq = clean(body)
     return text.select("file", "record", head.alias("description"), S.accession(head).alias("accession"), seq.alias("seq"), F.char_length(seq).cast("long").alias("len"))
 
 
+def fasta_chunks(records: DataFrame, size: int, *keys: str) -> DataFrame:
+    """(keys, no, bases): sequences in chunks, as operators on large pairs take them."""
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / size)))
+    return records.where("len > 0").select(*keys, "seq", at.alias("no")).select(*keys, F.col("no").cast("int").alias("no"), F.expr(f"substring(seq, CAST(no * {size} + 1 AS INT), {size})").alias("bases"))
+
+
 def write_fasta(seqs: DataFrame, path: str, width: int = 70) -> None:
     """Rows (description, seq) as FASTA text."""
     lines = F.array_join(F.regexp_extract_all(F.col("seq"), F.lit(f"(.{{1,{width}}})"), F.lit(1)), "\n")

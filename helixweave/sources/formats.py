@@ -24,12 +24,20 @@ def crosspoints_text(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(F.concat(F.lit("START\n"), body, F.lit("\nEND\n")).alias("value"))
 
 
-def read_crosspoints(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, type, i, j, score) of text files of crosspoints; lines after END do not count."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)START\s(.*?)END", 1).alias("body"))
-    rows = text.select("file", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?m)^(\s*-?\d+\s*,\s*-?\d+\s*,\s*-?\d+\s*,\s*-?\d+)"), F.lit(1))).alias("ord", "line"))
+def write_crosspoints(points: DataFrame, path: str, *keys: str) -> None:
+    """One text file for each list, in a folder named by its keys; lists are added to those that are there."""
+    crosspoints_text(points, *keys).write.mode("append").partitionBy(*keys).option("lineSep", "\n").text(path)
+
+
+def read_crosspoints(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(file, keys, ord, type, i, j, score) of text files of crosspoints; lines after END do not count.
+
+    keys: columns that the names of the folders give.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), *keys, F.regexp_extract("value", r"(?s)START\s(.*?)END", 1).alias("body"))
+    rows = text.select("file", *keys, F.posexplode(F.regexp_extract_all("body", F.lit(r"(?m)^(\s*-?\d+\s*,\s*-?\d+\s*,\s*-?\d+\s*,\s*-?\d+)"), F.lit(1))).alias("ord", "line"))
     part = lambda k: F.trim(F.get(F.split("line", ","), F.lit(k)))
-    return rows.select("file", "ord", part(0).cast("int").alias("type"), part(1).cast("long").alias("i"), part(2).cast("long").alias("j"), part(3).cast("long").alias("score"))
+    return rows.select("file", *keys, "ord", part(0).cast("int").alias("type"), part(1).cast("long").alias("i"), part(2).cast("long").alias("j"), part(3).cast("long").alias("score"))
 
 
 def encode_alignment(score: int, span: tuple[int, int, int, int], gaps0: list, gaps1: list) -> bytes:
@@ -93,6 +101,22 @@ def alignments_binary(paths: DataFrame, *keys: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", data binary")
 
 
+def read_alignments(packed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, score, start_i, start_j, end_i, end_j, gaps0, gaps1) of rows (keys, data)."""
+    gaps = "array<struct<pos:bigint,len:bigint>>"
+
+    def run(batches):
+        for batch in batches:
+            got = [decode_alignment(x) for x in batch.column("data").to_pylist()]
+            lists = [[[{"pos": p, "len": n} for p, n in g[k]] for g in got] for k in (2, 3)]
+            kind = pa.list_(pa.struct([("pos", pa.int64()), ("len", pa.int64())]))
+            numbers = [pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[1][k] for g in got], pa.int64()) for k in range(4))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *numbers, *(pa.array(x, kind) for x in lists)], [*keys, "score", "start_i", "start_j", "end_i", "end_j", "gaps0", "gaps1"])
+
+    types = dict(packed.dtypes)
+    return packed.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{c} long" for c in ("score", "start_i", "start_j", "end_i", "end_j")), f"gaps0 {gaps}", f"gaps1 {gaps}"]))
+
+
 def cells(spark: SparkSession, url: str, kind: str = "zeroes", scores: Scores = Scores()) -> DataFrame:
     """Border cells (k, h, g) of a URL: ``null://N`` makes N cells, ``init://N`` a border of a kind, others are read as Parquet."""
     scheme, _, rest = url.partition("://")

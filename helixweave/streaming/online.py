@@ -12,18 +12,17 @@ from pyspark.sql import functions as F
 
 from helixweave.functions.scoring import Edges, Scores
 from helixweave.operators.align import align_score
+from helixweave.operators.pairs import meet_all
 from helixweave.operators.wavefront import align_large
 
 
 def score_stream(stream: DataFrame, targets: DataFrame, edges: Edges = Edges(), scores: Scores = Scores()) -> DataFrame:
     """(seq_id, target_id, score, end_i, end_j) for a streaming (seq_id, seq) and a static (target_id, target).
 
-    Every arriving sequence meets every target: targets carry one constant key, and Spark chooses how
-    to move them by their size.
+    Every arriving sequence meets every target.
     """
-    s = stream.select("seq_id", F.col("seq").alias("a"), F.lit(0).alias("one"))
-    t = targets.select("target_id", F.col("target").alias("b"), F.lit(0).alias("one"))
-    return align_score(s.join(t, "one").drop("one"), edges, scores)
+    s, t = stream.select("seq_id", F.col("seq").alias("a")), targets.select("target_id", F.col("target").alias("b"))
+    return align_score(meet_all(s, t), edges, scores)
 
 
 def best_so_far(scored: DataFrame) -> DataFrame:
@@ -37,8 +36,20 @@ def watch(spark: SparkSession, path: str, targets: DataFrame, checkpoint: str, t
     return score_stream(stream, targets).writeStream.format("memory").queryName(table).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
+def score_arrived(spark: SparkSession, path: str, targets: DataFrame, checkpoint: str, out: str) -> DataFrame:
+    """Scores all Parquet files of (seq_id, seq) that are in ``path`` now and were not scored before; the rows of ``out``."""
+    stream = spark.readStream.schema("seq_id long, seq string").parquet(path)
+    scored = score_stream(stream, targets)
+    scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(scored.schema).parquet(out)
+
+
 def split_columns(spark: SparkSession, a: str, b: str, tile: int, path: str, edges: Edges = Edges(), scores: Scores = Scores()) -> DataFrame:
     """Best cell of each part of b (a column of blocks), with borders handed on from part to part."""
-    blocks = align_large(spark, a, b, len(a), len(b), tile, path, edges, scores)
+    return best_of_parts(align_large(spark, a, b, len(a), len(b), tile, path, edges, scores))
+
+
+def best_of_parts(blocks: DataFrame) -> DataFrame:
+    """(part, score, i, j): the best cell of each column of blocks."""
     best = F.max(F.struct("score", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("x")
     return blocks.groupBy(F.col("bx").alias("part")).agg(best).select("part", "x.score", (-F.col("x.i")).alias("i"), (-F.col("x.j")).alias("j"))

@@ -72,3 +72,19 @@ def test_swapping_and_reversing_keep_the_score():
         a, b = K.codes(seq(1, 20)), K.codes(seq(1, 20))
         s = [K.best_scores([x], [y])[0][0] for x, y in ((a, b), (b, a), (a[::-1], b[::-1]))]
         assert s[0] == s[1] == s[2]
+
+
+@pytest.mark.parametrize("edges", ALL_EDGES, ids=lambda e: e.start + e.end)
+def test_pairs_side_by_side_equal_row_by_row(edges, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = ([rng.integers(0, 4, rng.integers(0, 30)).astype(np.int32) for _ in range(120)] for _ in range(2))
+    monkeypatch.setattr(K, "SCORE_CELLS", 900)
+    got = K.best_scores(a, b, edges)
+    monkeypatch.setattr(K, "SIDE_BY_SIDE", 10**9)
+    assert (got == K.best_scores(a, b, edges)).all()
+
+
+def test_long_pairs_side_by_side():
+    """Sums beyond 16 bits, and symbols beyond them."""
+    a = [np.full(9000 + k, 70_000, np.int32) for k in range(9)]
+    assert K.best_scores(a, a)[:, 0].tolist() == [9000 + k for k in range(9)]

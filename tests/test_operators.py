@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixweave.functions import kernels as K
+from helixweave.functions import linear
 from helixweave.functions import sequences as S
 from helixweave.functions.scoring import Edges, Scores, border
-from helixweave.operators import align, crosspoints, grid, meet, pairs, report, rows, topk, wavefront
+from helixweave.operators import align, crosspoints, grid, meet, pairs, report, rows, topk, trace, wavefront
 from helixweave.sources import fasta, formats
 from helixweave.sources.state import RunState
 from helixweave.streaming import online
@@ -212,3 +213,76 @@ def test_saved_rows(spark):
     got = rows.special_rows(s, 64, 4)
     assert sorted((r.seq_id, r.row_id) for r in got.collect()) == [(1, 256), (1, 512), (1, 600), (2, 64), (4, 65)]
     assert {r.seq_id: r.max_gap for r in rows.largest_interval(got).collect()} == {1: 256, 2: 64, 4: 65}
+
+
+def test_derived_is_the_published_rule():
+    """Against the rule written out case by case."""
+    rng, sc, seen = random.Random(6), Scores(), [0, 0, 0]
+    for _ in range(20_000):
+        best_, s = ((rng.randint(-60, 90), rng.randint(0, 90), rng.randint(0, 90)) for _ in range(2))
+        n, m, least = rng.randint(20, 90), rng.randint(20, 90), rng.choice([-50, 0, 1])
+        dz, dy, dx = (s[k] - best_[k] for k in range(3))
+        if dz >= 0:
+            want, case = False, 0
+        elif least >= 0 and best_[0] > (abs(dx) + abs(dy)) // 2 or least < 0 and abs(dx) + abs(dy) > min(n, m):
+            want, case = True, 1
+        else:
+            one_way = (dx <= 0 and dy <= 0) or (dx >= 0 and dy >= 0)
+            gaps = abs(abs(dx) - abs(dy)) if one_way else abs(dx) + abs(dy)
+            diagonal = min(abs(dx), abs(dy))
+            want, case = -2 * diagonal - 2 * gaps * 2 <= dz <= diagonal - gaps * 2 / 2, 2
+        seen[case] += 1
+        assert topk.derived(best_, s, least, n, m, sc) == want
+    assert min(seen) > 1000
+    assert topk.derived((50, 60, 60), (20, 61, 61), 0, 500, 500, sc)
+
+
+def test_linear_paths_are_optimal():
+    for t in range(120):
+        a, b = dna(RNG.randint(0, 60)), dna(RNG.randint(0, 60))
+        if t % 2:
+            b = a[: len(a) // 2] + dna(RNG.randint(0, 20)) + a[len(a) // 2 + RNG.randint(0, 10) :]
+        want = best(a, b, Edges("+", "+"))[0]
+        for small in (1, 16, 1024):
+            ops = linear.path(K.codes(a), K.codes(b), small=small)
+            assert linear.score_of(ops) == want
+            assert (sum(x in "MXV" for x in ops), sum(x in "MXH" for x in ops)) == (len(a), len(b))
+
+
+@pytest.mark.parametrize("edges", [Edges(), Edges("+", "+"), Edges("1", "3")], ids=lambda e: e.start + e.end)
+def test_trace_of_a_large_pair(spark, tmp_path, edges):
+    a = dna(50)
+    b = dna(4) + a[:14] + dna(22) + a[20:50]  # a gap over several blocks
+    path = f"file://{tmp_path}/w"
+    wavefront.align_large(spark, a, b, len(a), len(b), 12, path, edges)
+    end = best(a, b, edges)
+    got = trace.solved(trace.pieces(spark, a, b, end, 12, path, edges)).orderBy("ord").collect()
+    assert sum(r.score for r in got) == end[0] and (got[0].i1, got[0].j1) == end[1:]
+    assert all((x.i0, x.j0) == (y.i1, y.j1) for x, y in zip(got, got[1:], strict=False))
+    ops = "".join(r.ops for r in reversed(got))
+    assert linear.score_of(ops) == end[0]
+    i, j = got[-1].i0, got[-1].j0
+    assert edges.local or (i == 0 if edges.start == "1" else (i, j) == (0, 0))
+    for o in ops:
+        i, j = i + (o in "MXV"), j + (o in "MXH")
+        assert o in "VH" or (a[i - 1] == b[j - 1]) == (o == "M")
+    assert (i, j) == end[1:]
+
+
+def test_meet_all_is_complete(spark):
+    x, y = spark.range(70).withColumnRenamed("id", "a"), spark.range(45).withColumnRenamed("id", "b")
+    got = pairs.meet_all(x, y).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) == 70 * 45
+
+
+def test_fasta_headers_chunks_and_line_ends(spark, tmp_path):
+    (tmp_path / "x.fa").write_bytes(b">one > two\r\nAC gt\r\nAA\r\n>gi|1|ref|N_2| x>y\r\nTTTTT\r\n")
+    got = fasta.read_fasta(spark, str(tmp_path / "x.fa"))
+    assert sorted((r.description, r.accession, r.seq) for r in got.collect()) == [("gi|1|ref|N_2| x>y", "N_2", "TTTTT"), ("one > two", "one > two", "ACGTAA")]
+    parts = fasta.fasta_chunks(got, 4, "accession").collect()
+    assert sorted(tuple(r) for r in parts) == [("N_2", 0, "TTTT"), ("N_2", 1, "T"), ("one > two", 0, "ACGT"), ("one > two", 1, "AA")]
+
+
+def test_flush_rows_equal_intervals(spark):
+    got = spark.range(8).select(F.lit(1000).cast("long").alias("n"), F.lit(900).cast("long").alias("m"), "id").select("id", grid.flush_rows("n", "m", 70000, "id").alias("r")).collect()
+    assert [r.r for r in sorted(got)] == [grid.flush_interval(1000, 900, 70000, k) for k in range(8)]
