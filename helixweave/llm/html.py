@@ -8,7 +8,9 @@ their marker and indent, ``pre`` keeps its white space, and the cells of a table
 its columns line up.
 
 Edge cases: null pages give null text, empty pages an empty text; unclosed and stray tags never fail;
-nesting deeper than MAX_DEPTH is flattened, keeping its text; unknown entities stay as written.
+nesting deeper than MAX_DEPTH is flattened, keeping its text; unknown entities stay as written; pages of
+any length are read whole; rows that repeat are rendered each; an empty table gives an empty result; a
+kept column may have any name: one called ``html`` is kept, one called ``text`` becomes ``text_in``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -367,12 +370,14 @@ def visible_text(html: str | None) -> str | None:
 
 def _render(batches):
     for batch in batches:
-        html = batch.column("html").to_pylist()
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "html"), pa.array(map(visible_text, html), pa.string())], [*(c for c in batch.schema.names if c != "html"), "text"])
+        html = batch.column(batch.num_columns - 1).to_pylist()
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(map(visible_text, html), pa.string())], [*batch.schema.names[:-1], "text"])
 
 
 def html_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns ``keep`` of pages, with the visible text."""
-    rows = pages.select(*keep, F.col("html"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "html") + ", text string"
-    return rows.mapInArrow(_render, schema)
+    # the kept columns travel under names of their own
+    own = [f"k{i}" for i in range(len(keep))]
+    rows = pages.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, own, strict=True)), F.col("html").cast("string").alias("html"))
+    got = rows.mapInArrow(_render, T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType())]))
+    return got.select(*(F.col(k).alias("text_in" if c == "text" else c) for c, k in zip(keep, own, strict=True)), "text")

@@ -7,7 +7,8 @@ position) on random windows of at most PER_LANG documents of each language, draw
 id. Scoring reads whole texts and moves nothing; what is broadcast are a few thousand weights.
 
 Edge cases: a text that is null or has no letter gets ``und`` with score 0; if nothing can be learned
-every text does; ties go to the language first in order.
+(also from an empty table) every text does; ties go to the language first in order; texts of any length
+are read whole; rows that repeat are labelled each; kept columns may have any name.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import raw, steps
 
@@ -155,7 +157,9 @@ def train(docs: DataFrame, learn) -> tuple[list[str], dict | None]:
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, PER_LANG / count[k]))])
     drawn = rows.where((F.xxhash64("doc_id").bitwiseAND(F.lit(2**31 - 1)) / F.lit(2.0**31)) < share[F.col("lang")])
     # the draw is of about PER_LANG a language; the limit holds if hashes are uneven
-    got = drawn.select("lang", "doc_id", F.col("text").cast("binary").alias("text")).limit(2 * PER_LANG * len(langs)).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]).to_pylist()
+    drawn = drawn.orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang", F.xxhash64("text")).limit(2 * PER_LANG * len(langs))
+    got = drawn.select("lang", "doc_id", F.col("text").cast("binary").alias("text")).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     texts = [[r["text"] for r in got if r["lang"] == k and r["text"]] for k in langs]
     langs, texts = [k for k, t in zip(langs, texts, strict=True) if t], [t for t in texts if t]
     return (langs, fit(texts)) if len(langs) > 1 else (langs, None)
@@ -193,8 +197,7 @@ def _predict(model):
                 buf, off = raw(batch.column("text"))
                 p = pooled(w, buf, off) if w is not None else np.ones((batch.num_rows, 1)) * (np.diff(off) > 0)[:, None]
                 best = p.argmax(1)
-                keep = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([langs[i] for i in best.tolist()]), pa.array(np.clip(p.max(1), 0, 1))], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array([langs[i] for i in best.tolist()], pa.string()), pa.array(np.clip(p.max(1), 0, 1))], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run
 
@@ -203,8 +206,9 @@ def language_id(spark: SparkSession, docs: DataFrame, learn, keep: tuple[str, ..
     """Columns ``keep`` of docs with lang_pred and score (0 to 1)."""
     langs, w = train(docs, learn)
     shared = spark.sparkContext.broadcast((langs or ["und"], w))
-    rows = docs.select(*keep, F.col("text").rlike(r"\p{L}").alias("_letters"), F.col("text").cast("binary").alias("text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", lang_pred string, score double"
-    named = F.coalesce("_letters", F.lit(False)) & F.lit(bool(langs))
-    got = rows.mapInArrow(_predict(shared), schema)
-    return got.select(*keep, F.when(named, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(named, F.col("score")).otherwise(0.0).alias("score"))
+    # the kept columns travel under names of their own
+    own = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, own, strict=True)), F.col("text").rlike(r"\p{L}").alias("letters"), F.col("text").cast("binary").alias("text"))
+    named = F.coalesce("letters", F.lit(False)) & F.lit(bool(langs))
+    got = rows.mapInArrow(_predict(shared), T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return got.select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), F.when(named, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(named, F.col("score")).otherwise(0.0).alias("score"))

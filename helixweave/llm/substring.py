@@ -10,7 +10,8 @@ outside them are kept. Texts are moved once, compressed.
 Two different windows share a hash with probability about (windows / 2**64); nothing else is inexact.
 
 Edge cases: null and empty texts have no words; rows without doc_id neither remove nor lose words;
-rows that repeat a doc_id do not remove each other's words; texts shorter than k stay whole.
+rows that repeat a doc_id do not remove each other's words; texts shorter than k stay whole, texts of any
+length are compared whole; an empty table gives an empty result. Further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -205,8 +206,8 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, k: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept): maximal removed word intervals and the kept words."""
-    parts = n_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    parts = n_parts(spark, rows)
     back = "part int, kind tinyint, doc binary, key binary, n binary, pos binary"
     flags = rows.where("doc_id is not null").mapInArrow(_windows(parts, k), _PACK).repartitionById(parts, F.col("part")).mapInArrow(_counted(parts), back)
     texts = rows.mapInArrow(_texts(parts), back)

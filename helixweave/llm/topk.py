@@ -11,12 +11,15 @@ The lists of the threshold algorithm are vertical: the components of a vector ar
 3. What remains is resolved to exact totals, and each task passes on its own k best.
 
 Queries go round in blocks of fixed size, so what is broadcast (vectors and cutoffs of one block)
-has a fixed bound; candidates are never moved.
+has a fixed bound; candidates are never moved. Where there are several blocks, the answers of each are
+written before the next one's vectors are fetched.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows without id; vectors of another length than the query's are no candidates; a repeated query id
 is answered once, by its largest vector, and rows that share the query's id are never candidates;
-equal scores are ordered by the smaller id; repeated candidate rows each count.
+equal scores are ordered by the smaller id; repeated candidate rows each count; vectors of any length
+are used whole; an empty table of vectors or of queries gives an empty result. Further columns, of any
+name, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Queries in one block; bounds the broadcast at QUERY_BLOCK * dimension * 8 bytes.
 QUERY_BLOCK = 4096
 CHUNK = 1024
@@ -129,7 +134,9 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: i
     out = "query_id long, vec_id long, score long"
     queries = queries.groupBy("id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
     found = []
-    for dim, n in sorted(tuple(r) for r in queries.groupBy("dim").count().collect()):
+    kinds = sorted(tuple(r) for r in queries.groupBy("dim").count().collect())
+    several = len(kinds) > 1 or sum(n for _, n in kinds) > QUERY_BLOCK
+    for dim, n in kinds:
         of_dim = queries.where(F.col("dim") == dim)
         blocks = -(-n // QUERY_BLOCK)
         for b in range(blocks):
@@ -144,7 +151,12 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: i
                 tau = {r[0]: r[1] for r in _first_k(lists, k).groupBy("query_id").agg(F.min("score"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", "min(score)").collect()}
                 # fewer than k candidates in sight: no cutoff, everything is resolved
                 cutoff = spark.sparkContext.broadcast(np.array([tau.get(i, -(2**62)) for i in qid.tolist()], np.int64))
-                found.append(vectors.mapInArrow(_scan(dim, slices, k, block, cutoff), out))
+                best = vectors.mapInArrow(_scan(dim, slices, k, block, cutoff), out)
+                if several:
+                    best = cut(_first_k(best, k).select("query_id", "vec_id", "score"), spark)
+                    block.destroy()
+                    cutoff.destroy()
+                found.append(best)
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return _first_k(reduce(DataFrame.union, found), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -266,6 +266,26 @@ def test_packing(spark, docs, nothing):
     cells = Counter((r.bucket_len, r.batch) for r in got)
     assert all(b * c <= max(200, b) for (b, _), c in cells.items()) and len({r.bucket_len for r in got}) <= 4
     assert len({(r.bucket_len, r.batch, r.slot) for r in got}) == len(got)
+    # placement by brute force: what is in a bucket fills batch after batch
+    lens = sorted({r.bucket_len for r in got})
+    assert lens == packing.boundaries(*map(list, zip(*sorted(Counter(r.n_tokens for r in got).items()), strict=True)), 4)
+    for size in lens:
+        inside = [r for r in got if r.bucket_len == size]
+        assert all(min(e for e in lens if e >= r.n_tokens) == size for r in inside)
+        room = max(1, 200 // size)
+        assert sorted((r.batch, r.slot) for r in inside) == [(k // room, k % room) for k in range(len(inside))]
+    # the spans of a text's parts join to the whole text, with one end
+    spans = defaultdict(list)
+    for r in got:
+        assert r.n_tokens == r.n_words + r.ends
+        spans[r.doc_id].append((r.first_word, r.n_words, r.ends))
+    for i, t, *_ in rows():
+        if sum(x[0] == i for x in rows()) == 1:
+            at = 0
+            for first, n, end in sorted(spans[i]):
+                assert first == at and (not end or first + n == len(words(t)))
+                at += n
+            assert at == len(words(t)) and sum(x[2] for x in spans[i]) == 1
     assert packing.pack(spark, nothing).count() == 0
 
 
@@ -513,3 +533,46 @@ def test_lm_shards_are_averaged(spark, monkeypatch):
     df = spark.createDataFrame(rows, "window binary")
     a, b = (lmscore.trained(spark, df.repartition(n), cls, compact, 41) for n in (2, 6))
     assert all(np.allclose(a[k], b[k]) and np.isfinite(a[k]).all() for k in a) and np.abs(a["emb"] - lmscore.new_weights(41)["emb"]).max() > 1e-3
+
+
+def test_kept_columns_may_clash(spark, nothing):
+    """Columns called like inner ones pass through the operators that keep columns."""
+    docs = spark.createDataFrame([(1, "the text one", "en", 0.5, "p"), (2, None, "en", 0.5, "q"), (2, "le texte deux", "fr", 0.5, "r")], "doc_id long, text string, lang string, score double, k0 string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark, docs, labels, F.lit(True), ("k0", "doc_id", "text")).collect()
+    assert sorted((r.k0, r.doc_id, r.text) for r in got) == [("p", 1, "the text one"), ("q", 2, None), ("r", 2, "le texte deux")]
+    got = langid.language_id(spark, docs, F.lit(False), ("text", "k0")).collect()
+    assert sorted((r.k0, r.text, r.lang_pred) for r in got) == [("p", "the text one", "und"), ("q", None, "und"), ("r", "le texte deux", "und")]
+    pages = spark.createDataFrame([(1, "t", "<p>x"), (1, "t", "<p>x"), (2, None, "<i>" + "long " * 50_000), (None, "u", None)], "page_id long, text string, html string")
+    got = html.html_text(pages, ("page_id", "text", "html")).collect()
+    assert sorted(map(repr, ((r.page_id, r.text_in, r.html, r.text) for r in got))) == sorted(map(repr, [(1, "t", "<p>x", "x"), (1, "t", "<p>x", "x"), (2, None, "<i>" + "long " * 50_000, ("long " * 50_000).strip()), (None, "u", None, None)]))
+    assert html.html_text(pages.where("page_id > 5"), ("page_id",)).count() == 0
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(1)
+    data = [(int(rng.random() < 0.4), np.unique(np.append(rng.integers(1, 60, rng.integers(0, 9)), 0)).astype(np.uint32)) for _ in range(300)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= toxicity.L1 else -(z[k] - math.copysign(toxicity.L1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    for y, idx in data:
+        w = {int(k): weight(int(k)) for k in idx}
+        g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - y
+        for k in w:
+            s = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA
+            z[k] += g - s * w[k]
+            n[k] += g * g
+    got = toxicity.ftrl(iter(data))
+    assert np.allclose(got[:60], [weight(k) for k in range(60)], atol=1e-5) and not got[60:].any() and got[:60].any()
+
+
+def test_topk_blocks_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(90)] + [(200, [1.0, 2.0]), (202, [3.0, 1.0])], "vec_id long, embedding array<float>")
+    v = topk.quantised(df)
+    one = topk.exact_topk(spark, v, v.where("id % 4 = 0"), k=3).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    assert topk.exact_topk(spark, v, v.where("id % 4 = 0"), k=3).orderBy("query_id", "rank").collect() == one and len(one) == 70
+    assert topk.exact_topk(spark, v.where("id < 0"), v.where("id % 4 = 0"), k=3).count() == 0
