@@ -122,7 +122,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
     # a document shorter than the item is one window; similar enough, its first match lies near its begin
     fits = (F.col("p.word") + F.col("p.size") <= F.size("grams")) | ((F.col("p.word") == 0) & (F.col("p.size") > F.size("grams")))
     windows = near.where(fits).select("doc_id", F.col("p.n_words").alias("n_words"), F.col("p.word").alias("word"), F.slice("grams", F.col("p.word") + 1, F.col("p.size")).alias("window"))
-    windows = cut(with_simhash(cut(windows, spark), "window", "fp"), spark)
+    windows = cut(windows, spark).repartition(parts, "doc_id", "n_words", "word")
+    windows = cut(with_simhash(windows, "window", "fp"), spark)
 
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)]))
     masks = [m for m in range(256) if m.bit_count() <= NEAR]
