@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Edge cases, in every stage: rows without doc_id pass through (no id, no decision about it), as do null and
+empty texts; texts of any length are read whole; rows that repeat are decided alike, so both stay or both
+go; an id with several texts is one document, which goes as a whole where one of its texts must; an empty
+table of documents gives an empty result, an empty table of labels or items rejects nothing; columns
+beside doc_id and text keep names and values, whatever they are called (n_chars follows the text).
+"""
 
 from __future__ import annotations
 
@@ -16,7 +23,7 @@ from helixweave.llm.toxicity import toxicity
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.join(ids, "doc_id", how).select(docs.columns)
+    return docs.join(ids, "doc_id", how).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +35,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned lines leave the later document; a document that loses all its lines goes."""
-    got = line_dedup(spark, docs).where((F.col("n_lines_removed") == 0) | (F.trim("text") != ""))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return got.select(docs.columns)
+    # the other columns travel under names of their own
+    own = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+    got = line_dedup(spark, docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()]))
+    got = got.where((F.col("n_lines_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) != ""))
+    if "n_chars" in own:
+        got = got.withColumn(own["n_chars"], F.when(F.col("n_lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col(own["n_chars"])))
+    return got.select(*[F.col(k).alias(c) for c, k in own.items()])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles of similarity 0.8 connect, the one with the smallest id."""
+    """Of documents that five-word shingles of similarity 0.8 connect, the one with the smallest id.
+
+    Near copies come here without the lines that line dedup took from them: what is left of such a copy are its
+    own lines, which are not similar to the document it was copied from.
+    """
     got = jaccard_components(spark, docs, n=5, percent=80)
     return _only(docs, got.where("component_id < doc_id").select("doc_id").distinct(), "left_anti")
 
