@@ -25,7 +25,19 @@ U64 = np.uint64
 STEP_BYTES = 2_000_000
 
 
+#: Bytes of an Arrow batch on its way to Python, where the session keeps Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers and the JVM beside them hold a batch of texts at a time: it need not be large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return workers_find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +47,7 @@ PART_BYTES = 64 << 20
 
 def n_parts(spark: SparkSession, df: DataFrame | None = None) -> int:
     """Partitions of packed shuffles: the session's setting, and more where df's files hold more than PART_BYTES each."""
+    small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     if df is not None:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -57,6 +70,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write df to the shared folder and read it back: later reads survive the loss of any executor."""
+    small_batches(spark)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

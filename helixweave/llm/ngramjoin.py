@@ -41,6 +41,8 @@ CAP = 4096
 #: most; it only orders a document's shingles, and any order gives the same links.
 SAMPLE_DOCS, FREQUENT = 6000, 200_000
 _PAIRS = 400_000
+#: Bytes of text of a step, about.
+STEP = 500_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -145,7 +147,7 @@ def _merge(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _light(n: int, num: int, den: int, hot):
     def run(batches):
         for whole in batches:
-            for batch in steps(whole, "text"):
+            for batch in steps(whole, "text", STEP):
                 sets = shingle_sets(*raw(batch.column("text")), n)
                 every = np.concatenate(sets) if sets else np.empty(0, U64)
                 rare = lookup(every, hot.value) < 0
@@ -323,7 +325,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
 
     def sets(batches):
         for whole in batches:
-            for batch in steps(whole, "text"):
+            for batch in steps(whole, "text", STEP):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), binary(shingle_sets(*raw(batch.column("text")), n))], [*(c for c in batch.schema.names if c != "text"), "shingles"])
 
     def seen(batches):

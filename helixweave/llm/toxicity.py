@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NON_ALNUM, U64, Words, binary, mix, raw, steps
+from .common import NON_ALNUM, U64, Words, binary, mix, raw, small_batches, steps
 
 BUCKETS = 1 << 20
+#: Bytes of text of a step, about.
+STEP = 500_000
 #: Labelled documents that training reads at most; they are taken in the order of a hash of their id.
 MAX_TRAIN = 8000
 EPOCHS, ALPHA, BETA, L1, L2 = 2, 1.0, 1.0, 12.0, 1.0
@@ -52,13 +54,23 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _examples(batches):
     for whole in batches:
-        for batch in steps(whole, "text"):
+        for batch in steps(whole, "text", STEP):
             row, idx = features(*raw(batch.column("text")))
             # every text has the bias feature
             code = np.unique(np.concatenate([row * BUCKETS + idx, np.arange(batch.num_rows) * BUCKETS + _BIAS]))
             cut = np.searchsorted(code, np.arange(batch.num_rows + 1) * BUCKETS)
-            idx = (code % BUCKETS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), binary([idx[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])], ["doc_id", "toxic", "idx"])
+            idx = code % BUCKETS
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), binary([packed(idx[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])], ["doc_id", "toxic", "idx"])
+
+
+def packed(idx: np.ndarray) -> bytes:
+    """Rising numbers as their differences, of two bytes each where these suffice; the first byte tells."""
+    gaps = np.diff(idx, prepend=0)
+    return b"\x02" + gaps.astype(np.uint16).tobytes() if gaps.max(initial=0) < 65536 else b"\x04" + gaps.astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data[1:], np.uint16 if data[0] == 2 else np.uint32), dtype=np.int64)
 
 
 def ftrl(examples: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -88,7 +100,7 @@ def _fit(batches):
             y = batch.column("toxic").to_pylist()
             for label, idx in zip(y, batch.column("idx"), strict=True):
                 seen += 1
-                yield label, np.frombuffer(idx.as_buffer(), np.uint32)
+                yield label, unpacked(idx.as_py())
 
     w = ftrl(walk())
     if seen:
@@ -98,6 +110,7 @@ def _fit(batches):
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn) -> tuple[np.ndarray, np.ndarray] | None:
     """(buckets, weights) other than 0, learned from at most MAX_TRAIN labelled ids for which ``learn`` holds."""
+    small_batches(spark)
     known = labels.where(F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # the ids are at most MAX_TRAIN, so their side of the join is of proven size
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
@@ -116,7 +129,7 @@ def _scorer(model):
         w = np.zeros(BUCKETS, np.float32)
         w[at] = weight
         for whole in batches:
-            for batch in steps(whole, "text"):
+            for batch in steps(whole, "text", STEP):
                 row, idx = features(*raw(batch.column("text")))
                 hit = np.flatnonzero(w[idx])
                 code = np.unique(row[hit] * BUCKETS + idx[hit])

@@ -575,6 +575,11 @@ def test_kept_columns_may_clash(spark, nothing):
     assert html.html_text(pages.where("page_id > 5"), ("page_id",)).count() == 0
 
 
+def test_packed_features_come_back():
+    for x in ([0], [0, 5, 70_000], [0, 70_000, 70_001], list(range(0, 2**20, 65_535))):
+        assert toxicity.unpacked(toxicity.packed(np.array(x))).tolist() == x
+
+
 def test_ftrl_equals_a_plain_loop():
     rng = np.random.default_rng(1)
     data = [(int(rng.random() < 0.4), np.unique(np.append(rng.integers(1, 60, rng.integers(0, 9)), 0)).astype(np.uint32)) for _ in range(300)]
