@@ -2,7 +2,7 @@
 
 A tokenizer (one regular expression) feeds a tree builder that knows void and raw-text elements, tags
 that end others by implication (p, li, td, option, ...), and misnested ends. Rendering walks the tree:
-nothing invisible (head, script, hidden attributes, inline or style-sheet ``display:none``) is shown;
+nothing invisible (head, script, hidden attributes, inline or style-sheet ``display:none``, text whose inherited ``visibility`` is not visible) is shown;
 block elements begin new lines, paragraphs and headings are set apart by a blank line, list items get
 their marker and indent, ``pre`` keeps its white space, and the cells of a table are padded so that
 its columns line up.
@@ -48,7 +48,9 @@ HEAD_ONLY = frozenset("base link meta script style title template noscript".spli
 MAX_DEPTH = 200
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDES = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_NUMBER = re.compile(r"[ \t\n\r\f]*(-?[0-9]{1,9})(?![0-9])")
 _MEDIA = re.compile(r"@media\b([^{};]*)\{", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"^(\w+)?(?:\.([\w-]+))?(?:#([\w-]+))?$")
@@ -78,20 +80,48 @@ def on_screen(sheet: str) -> str:
     return sheet
 
 
-def hidden_selectors(sheet: str) -> list[tuple]:
-    """(tag, class, id) of the simple selectors whose rule hides; the others are not interpreted."""
-    out = []
+def number(value: str | None, default: int, least: int, most: int) -> int:
+    """The whole number that an attribute's value begins with, within bounds; default where there is none."""
+    m = _NUMBER.match(value or "")
+    return min(most, max(least, int(m[1]))) if m else default
+
+
+def selectors(sheet: str) -> tuple[list[tuple], list[tuple]]:
+    """(tag, class, id) of the simple selectors whose rule hides, and (tag, class, id, visibility); others are not interpreted."""
+    hidden, veils = [], []
     for heads, rule in _RULE.findall(on_screen(sheet)):
-        if _HIDES.search(rule):
-            found = [_SIMPLE.match(x.strip()) for x in heads.split(",")]
-            out += [m.groups() for m in found if m and any(m.groups())]
-    return out
+        none, seen = _HIDES.search(rule), _VISIBILITY.search(rule)
+        if none or seen:
+            found = [m.groups() for x in heads.split(",") if (m := _SIMPLE.match(x.strip())) and any(m.groups())]
+            hidden += found if none else []
+            veils += [(*m, seen[1].lower()) for m in found] if seen else []
+    return hidden, veils
+
+
+def matches(n: Node, rule: tuple) -> bool:
+    t, c, i = rule[:3]
+    return (not t or t == n.name) and (not c or c in n.attrs.get("class", "").split()) and (not i or i == n.attrs.get("id"))
+
+
+def veil(root: Node, rules: list[tuple]) -> None:
+    """Takes the text of invisible elements out of the tree: visibility is inherited, and a descendant may be visible again."""
+    todo = [(root, True)]
+    while todo:
+        n, seen = todo.pop()
+        for r in rules:
+            seen = r[3] == "visible" if matches(n, r) else seen
+        if m := _VISIBILITY.search(n.attrs.get("style", "")):
+            seen = m[1].lower() == "visible"
+        if not seen:
+            n.children = [c for c in n.children if isinstance(c, Node)]
+            n.attrs.pop("value", None)
+        todo += [(c, seen) for c in n.children if isinstance(c, Node)]
 
 
 def parse(html: str) -> tuple[Node, list[tuple]]:
-    """The tree, and the simple selectors (tag, class, id) that style sheets hide."""
+    """The tree without invisible text, and the simple selectors (tag, class, id) that style sheets hide."""
     root = Node("#root")
-    stack, hidden, at = [root], [], 0
+    stack, hidden, veils, at = [root], [], [], 0
 
     def close(names, scope):
         for i in range(len(stack) - 1, 0, -1):
@@ -157,7 +187,9 @@ def parse(html: str) -> tuple[Node, list[tuple]]:
             body = html[at : end.start() if end else len(html)]
             at = end.end() if end else len(html)
             if name == "style":
-                hidden += hidden_selectors(body)
+                both = selectors(body)
+                hidden += both[0]
+                veils += both[1]
             elif name == "textarea":
                 node.children.append(unescape(body))
             elif name == "xmp":
@@ -165,6 +197,8 @@ def parse(html: str) -> tuple[Node, list[tuple]]:
             continue
         if len(stack) < MAX_DEPTH:
             stack.append(node)
+    if _VISIBILITY.search(html):
+        veil(root, veils)
     return root, hidden
 
 
@@ -186,8 +220,7 @@ class Renderer:
             return True
         if "style" in a and _HIDES.search(a["style"]):
             return True
-        classes = a.get("class", "").split() if self.hidden else ()
-        return any((not t or t == n.name) and (not c or c in classes) and (not i or i == a.get("id")) for t, c, i in self.hidden)
+        return any(matches(n, r) for r in self.hidden)
 
     def end_line(self):
         if self.line:
@@ -275,16 +308,13 @@ class Renderer:
         self.blank |= name in SPACED and not (name in ("ul", "ol") and self.indent)
 
     def list(self, n: Node, numbered: bool):
-        try:
-            number = int(n.attrs.get("start", 1))
-        except ValueError:
-            number = 1
+        at = number(n.attrs.get("start"), 1, -(10**9), 10**9)
         old = self.indent
         for c in n.children:
             if isinstance(c, Node) and c.name == "li" and not self.invisible(c):
                 self.end_line()
-                self.indent, self.marker = old, f"{number}. " if numbered else "- "
-                number += 1
+                self.indent, self.marker = old, f"{at}. " if numbered else "- "
+                at += 1
                 self.children(c, False)
                 self.end_line()
                 self.indent, self.marker = old, ""
@@ -321,7 +351,7 @@ class Renderer:
                             while held.get(col, 0) > 0:
                                 held[col] -= 1
                                 col += 1
-                            span, down = (min(1000, int(v)) if (v := d.attrs.get(k, "1")).isdigit() and int(v) else 1 for k in ("colspan", "rowspan"))
+                            span, down = (number(d.attrs.get(k), 1, 1, 1000) for k in ("colspan", "rowspan"))
                             row.append((col, self.cell(d)))
                             for k in range(col, col + span):
                                 held[k] = down - 1

@@ -14,8 +14,9 @@
   (A pair that also shares rarer lines is aligned by all its lines, and by its frequent ones alone.)
 * Each pair is aligned by patience diff: lines that occur once in both are matched along a longest
   increasing subsequence, the gaps between matches recursively, and what is equal at the ends of a gap
-  is matched too. Aligned runs of consecutive lines with at least ``min_chars`` characters are deleted
-  from the later document. What one earlier document does not cover another may.
+  is matched too; what stays unmatched is aligned again, so that blocks that changed places are found. Aligned
+  runs of consecutive lines with at least ``min_chars`` characters are deleted from the later document. What one
+  earlier document does not cover another may.
 
 Edge cases: null texts stay null and empty texts stay empty; rows without doc_id pass unchanged, as do
 blank lines outside a deleted run; lines repeated within one document stay; a text that loses all its
@@ -42,6 +43,8 @@ RARE = 6
 #: Each level of more frequent lines reaches up to so many times the holders of the one before.
 STEP = 8
 MIN_CHARS = 40
+#: Lines that equal nothing on the other side.
+_EARLY, _LATE = object(), object()
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -93,25 +96,37 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_blocks(early: list, late: list, chars: list[int], min_chars: int) -> list[int]:
-    """Indexes of the late lines in aligned runs of at least min_chars characters."""
+    """Indexes of the late lines in aligned runs of at least min_chars characters.
+
+    What one alignment leaves unmatched on either side is aligned again until no lines match, so that blocks in
+    another order are found as well, whatever lines they stand beside.
+    """
     gone: list[int] = []
-    run: list[int] = []
-    last = (-2, -2)
-    for p in [*patience(early, late), (-9, -9)]:
-        if p != (last[0] + 1, last[1] + 1):
-            if run and sum(chars[k] for k in run) >= min_chars:
-                gone += run
-            run = []
-        run.append(p[1])
-        last = p
-    return gone
+    early, late = list(early), list(late)
+    while True:
+        pairs = patience(early, late)
+        run: list[int] = []
+        last = (-2, -2)
+        for p in [*pairs, (-9, -9)]:
+            if p != (last[0] + 1, last[1] + 1):
+                if run and sum(chars[k] for k in run) >= min_chars:
+                    gone += run
+                run = []
+            run.append(p[1])
+            last = p
+        # matched lines are used up and equal nothing
+        for i, j in pairs:
+            early[i], late[j] = _EARLY, _LATE
+        rest = {*early} & {*late}
+        if not pairs or not rest or sum(chars[k] for k, x in enumerate(late) if x in rest) < min_chars:
+            return gone
 
 
 def _align(min_chars: int, *keys: str):
     def run(batches):
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("early_lines", "late_lines", "late_chars")), strict=True)
-            found = [common_blocks(["early" if x is None else x for x in a], ["late" if x is None else x for x in b], n, min_chars) for a, b, n in rows]
+            found = [common_blocks([_EARLY if x is None else x for x in a], [_LATE if x is None else x for x in b], n, min_chars) for a, b, n in rows]
             some = pa.array([k for k, gone in enumerate(found) if gone], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(some) for c in keys), pa.array([gone for gone in found if gone], pa.list_(pa.int32()))], [*keys, "gone"])
 

@@ -212,6 +212,16 @@ def test_line_dedup_meets_every_earlier_holder(spark):
         assert [got[k].n_lines_removed for k in range(19, 27)] == [2] * 8 and [got[k].n_lines_removed for k in range(29, 37)] == [1] * 8
 
 
+def test_line_dedup_does_not_depend_on_other_holders(spark):
+    """Blocks that changed places go, however many others hold their lines."""
+    r, f = ([f"{c} line {k} of a block with a good number of characters" for k in range(3)] for c in "rf")
+    for others in (0, 3, 4, 5, 6, 7, 60):
+        data = [(1, "\n".join(r + f)), (2, "\n".join(f + r))] + [(10 + k, "\n".join([f"own {k}", *f, f"end {k}"])) for k in range(others)]
+        got = {x.doc_id: x for x in linededup.line_dedup(spark, spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        assert (got[2].n_lines_removed, got[2].text) == (6, ""), others
+        assert all(got[10 + k].n_lines_removed == 3 for k in range(others))
+
+
 def test_decontamination_equals_brute_force(spark, nothing):
     items = [(k, prose(12 + k)) for k in range(6)] + [(6, "too short"), (7, None), (8, "")]
     data = [(1, prose(50) + " " + items[0][1].upper() + " " + prose(20)), (2, prose(30) + " " + items[1][1] + "."), (3, prose(80)), (4, None), (5, ""), (None, items[2][1])]
@@ -417,6 +427,25 @@ def test_html_text(spark):
     assert {r.page_id: r.text for r in html.html_text(df).collect()} == {1: "x", 2: None, 3: ""}
 
 
+def test_html_odd_attribute_values():
+    """Whatever an attribute holds, the page's text comes out."""
+    rng = random.Random(11)
+    odd = ["", "²", "٣", "3", " 2", "-4", "0", "9" * 5000, "9" * 4300, "1e3", "2.5", "\x00", "½", "３", "+1", "99999", "-" + "9" * 5000, "NaN", "\ud800"]
+    for v in odd + ["".join(rng.choice("0123456789-+. ²٣xé") for _ in range(rng.randrange(1, 12))) for _ in range(300)]:
+        for page in (f'<table><tr><td colspan="{v}">a<td>b<tr><td rowspan="{v}">c</table>', f'<ol start="{v}"><li>a<li>b</ol>c', f'<div class="{v}" id="{v}" style="{v}">a</div>b c'):
+            got = html.visible_text(page)
+            assert "a" in got and "b" in got and "c" in got, page
+    assert html.visible_text("<ol start=-1><li>x<li>y</ol>") == "-1. x\n0. y"
+    assert html.visible_text("<ol start='٣'><li>x</ol>") == "1. x"
+
+
+def test_html_visibility_is_inherited_and_may_return():
+    assert html.visible_text("a<span style='visibility:hidden'>b<i>c</i><b style='visibility: visible'>d</b>e</span>f") == "adf"
+    assert html.visible_text("<style>.v{visibility:hidden}.s{visibility:visible}</style><p class=v>x <span class=s>y</span><p>z") == "y\n\nz"
+    assert html.visible_text("<div style='visibility:collapse'>x<input value=q><p>y</div>z").strip() == "z"
+    assert html.visible_text("<div style='display:none'><b style='visibility:visible'>x</b></div>z").strip() == "z"
+
+
 def test_html_media_rules_and_xmp():
     x = "<p class=x>a</p>"
     for media in ("print", "screen and (max-width: 9px)", "(max-width:9px)", "not all", "print, (color)"):
