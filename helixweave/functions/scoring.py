@@ -50,13 +50,13 @@ class Edges:
 ALL_EDGES = [Edges(s, e) for s in EDGES for e in EDGES]
 
 
-def border(kind: str, n: int, scores: Scores = Scores()):
-    """Index 0..n of a synthetic border: 'zeroes', 'gaps' (open at index 1) or 'opened' (already open)."""
+def border(kind: str, n: int, scores: Scores = Scores(), start: int = 0):
+    """Index start..n of a synthetic border: 'zeroes', 'gaps' (open at index 1) or 'opened' (already open)."""
     import numpy as np
 
-    k = np.arange(n + 1, dtype=np.int32)
+    k = np.arange(start, n + 1, dtype=np.int32)
     if kind == "zeroes":
-        return np.zeros(n + 1, np.int32)
+        return np.zeros(n + 1 - start, np.int32)
     if kind == "opened":
         return -scores.gap_ext * k
     if kind == "gaps":

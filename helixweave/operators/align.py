@@ -128,3 +128,52 @@ def gap_runs(paths: DataFrame, *keys: str) -> DataFrame:
     runs = paths.select(*keys, F.explode(moved).alias("g")).select(*keys, "g.*")
     w = Window.partitionBy(*keys, "gap_seq").orderBy("pos")
     return runs.withColumn("delta", F.col("pos") - F.lag("pos", 1, 0).over(w))
+
+
+_SEGMENT = "kind string, seg long, i0 long, j0 long, i1 long, j1 long"
+
+
+def merge_walk(span: tuple[int, int, int, int], gaps0: list[tuple[int, int]], gaps1: list[tuple[int, int]]) -> list[tuple]:
+    """(kind, i0, j0, i1, j1) of the path of an alignment from its two sorted gap lists; D diagonal, H gap on a, V gap on b.
+
+    A gap on a lies behind symbol pos of a, one on b behind symbol pos of b; where both lie at one point the path goes on
+    with the one on a.
+    """
+    i, j, out, x, y = span[0] - 1, span[1] - 1, [], 0, 0
+    while x < len(gaps0) or y < len(gaps1) or i < span[2]:
+        # diagonal steps to the next gap of either list
+        a = gaps0[x][0] - i if x < len(gaps0) else span[2] - i
+        b = gaps1[y][0] - j if y < len(gaps1) else span[3] - j
+        d = min(a, b)
+        if d > 0:
+            out.append(("D", i, j, i + d, j + d))
+            i, j = i + d, j + d
+        if x < len(gaps0) and a <= b:
+            out.append(("H", i, j, i, j + gaps0[x][1]))
+            j, x = j + gaps0[x][1], x + 1
+        elif y < len(gaps1) and b <= a:
+            out.append(("V", i, j, i + gaps1[y][1], j))
+            i, y = i + gaps1[y][1], y + 1
+        elif d <= 0:
+            raise ValueError("the gaps do not fit the span")
+    return out
+
+
+def segments_of(packed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind, seg, i0, j0, i1, j1) of rows (keys, start_i, start_j, end_i, end_j, gaps0, gaps1), without operations."""
+
+    def run(batches):
+        for batch in batches:
+            out, at = [], []
+            for k, r in enumerate(batch.select(["start_i", "start_j", "end_i", "end_j", "gaps0", "gaps1"]).to_pylist()):
+                lists = ([(g["pos"], g["len"]) for g in sorted(r[c], key=lambda g: g["pos"])] for c in ("gaps0", "gaps1"))
+                got = merge_walk((r["start_i"], r["start_j"], r["end_i"], r["end_j"]), *lists)
+                out += [(s[0], n, *s[1:]) for n, s in enumerate(got)]
+                at += [k] * len(got)
+            rows = pa.array(at, pa.int64())
+            kinds = [pa.string(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keys), *(pa.array([s[k] for s in out], t) for k, t in enumerate(kinds))], [*keys, *(c.split()[0] for c in _SEGMENT.split(", "))])
+
+    types = dict(packed.dtypes)
+    rows = packed.select(*keys, "start_i", "start_j", "end_i", "end_j", "gaps0", "gaps1")
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + _SEGMENT)

@@ -13,6 +13,30 @@ def special_rows(seqs: DataFrame, block: int, every: int) -> DataFrame:
     return seqs.where("len > 0").select("seq_id", F.explode(keep).alias("row_id"))
 
 
+def within_budget(saved: DataFrame, budget: int, *keys: str) -> DataFrame:
+    """Saved rows (keys, row_id, bytes, ..) of which every 2**k-th stays, with the smallest k that keeps a budget of bytes.
+
+    bytes: the size of one whole row; rows of a matrix have one size. A budget below one row keeps none.
+    """
+    w = Window.partitionBy(*keys)
+    place, most = F.row_number().over(w.orderBy("row_id")), F.floor(F.lit(budget) / F.col("bytes"))
+    got = saved.withColumns({"place": place, "n": F.count("*").over(w), "most": most})
+    # floor(n / 2**k) rows stay
+    fits = F.filter(F.sequence(F.lit(0), F.lit(40)), lambda k: F.floor(F.col("n") / F.pow(F.lit(2.0), k)) <= F.col("most"))
+    got = got.withColumn("thinned", F.get(fits, F.lit(0)))
+    return got.where((F.col("most") > 0) & (F.col("place") % F.pow(F.lit(2.0), "thinned").cast("long") == 0)).drop("place", "n", "most")
+
+
+def border_kinds(edges: DataFrame) -> DataFrame:
+    """(.., side, kind) for rows with start: how the first row (R) and column (C) of a matrix are filled.
+
+    zeroes where the start may lie anywhere along that side, gaps elsewhere.
+    """
+    side = F.explode(F.array(F.struct(F.lit("R").alias("side"), F.lit("*13").alias("free")), F.struct(F.lit("C").alias("side"), F.lit("*23").alias("free")))).alias("s")
+    kind = F.when(F.instr("s.free", F.col("start")) > 0, "zeroes").otherwise("gaps")
+    return edges.select("*", side).select("*", F.col("s.side").alias("side"), kind.alias("kind")).drop("s")
+
+
 def largest_interval(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("seq_id").orderBy("row_id")
     gap = F.col("row_id") - F.lag("row_id", 1, 0).over(w)

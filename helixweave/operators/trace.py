@@ -41,7 +41,7 @@ def enter(a: str, b: str, top, left, at: tuple, i0: int, j0: int, edges: Edges,
         size, from_ = (m, j0) if kind == 1 else (n, i0)
         if saved is None:
             free = edges.free_row if kind == 1 else edges.free_column
-            line = border("zeroes" if free else "gaps", from_ + size, sc)[from_:].astype(np.int64)
+            line = border("zeroes" if free else "gaps", from_ + size, sc, from_).astype(np.int64)
             open_ = np.full(size + 1, -INF, np.int64)
         else:
             line, open_ = (v[: size + 1].astype(np.int64) for v in saved)
@@ -70,9 +70,8 @@ def pieces(spark: SparkSession, seq0: str | DataFrame, seq1: str | DataFrame, en
         if not i or not j:
             # along the matrix's edge: skipped for nothing, or one gap
             if not (edges.free_row if not i else edges.free_column):
-                text = a.where(F.col("no") * tile < i) if i else b.where(F.col("no") * tile < j)
-                whole = "".join(r[0] for r in text.orderBy("no").select("bases").toLocalIterator())[: i + j]
-                row = (k, 0, 0, i, j, 0, at[2], at[3], True, whole if i else "", whole if j else "")
+                # its length says all: no symbols are read
+                row = (k, 0, 0, i, j, 0, at[2], at[3], True, None, None)
                 spark.createDataFrame([row], _PIECE).coalesce(1).write.mode("overwrite").parquet(f"{path}/trace/step={k}")
                 k += 1
             break
@@ -105,13 +104,19 @@ def pieces(spark: SparkSession, seq0: str | DataFrame, seq1: str | DataFrame, en
 
 
 def solved(parts: DataFrame, scores: Scores = Scores()) -> DataFrame:
-    """(ord, i0, j0, i1, j1, ops, score): the operations and the score of each piece, in parallel."""
+    """(ord, i0, j0, i1, j1, ops, score): the operations and the score of each piece, in parallel.
+
+    A piece without symbols is one gap along the matrix's edge; its ops are null, since its length says all.
+    """
+
+    def gap(r) -> int:
+        return -scores.gap_ext * (r["i1"] - r["i0"] + r["j1"] - r["j0"]) - scores.gap_open
 
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            ops = [linear.path(K.codes(r["a"]), K.codes(r["b"]), r["start_type"], r["end_type"], scores) for r in rows]
-            value = [linear.score_of(o, scores, r["start_type"]) for o, r in zip(ops, rows, strict=True)]
+            ops = [None if r["a"] is None else linear.path(K.codes(r["a"]), K.codes(r["b"]), r["start_type"], r["end_type"], scores) for r in rows]
+            value = [gap(r) if o is None else linear.score_of(o, scores, r["start_type"]) for o, r in zip(ops, rows, strict=True)]
             keep = ["ord", "i0", "j0", "i1", "j1"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ops, pa.string()), pa.array(value, pa.int64())], [*keep, "ops", "score"])
 

@@ -35,13 +35,13 @@ def _run(n: int, m: int, tile: int, edges: Edges, sc: Scores, best: int, prune:
         if row["row_h"] is not None:
             top_h, top_f = np.frombuffer(row["row_h"], np.int32), np.frombuffer(row["row_f"], np.int32)
         else:
-            whole = border("zeroes" if edges.free_row else "gaps", j0 + width, sc) if i0 == 0 else np.full(j0 + width + 1, -INF, np.int32)
-            top_h, top_f = whole[j0 : j0 + width + 1], np.full(width + 1, -INF, np.int32)
+            top_h = border("zeroes" if edges.free_row else "gaps", j0 + width, sc, j0) if i0 == 0 else np.full(width + 1, -INF, np.int32)
+            top_f = np.full(width + 1, -INF, np.int32)
         if row["col_h"] is not None:
             left_h, left_e = np.frombuffer(row["col_h"], np.int32), np.frombuffer(row["col_e"], np.int32)
         else:
-            whole = border("zeroes" if edges.free_column else "gaps", i0 + height, sc) if j0 == 0 else np.full(i0 + height + 1, -INF, np.int32)
-            left_h, left_e = whole[i0 : i0 + height + 1], np.full(height + 1, -INF, np.int32)
+            left_h = border("zeroes" if edges.free_column else "gaps", i0 + height, sc, i0) if j0 == 0 else np.full(height + 1, -INF, np.int32)
+            left_e = np.full(height + 1, -INF, np.int32)
         return top_h, top_f, left_h, left_e
 
     def run(batches):

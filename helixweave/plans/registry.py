@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixweave.functions import sequences as S
+from helixweave.functions import table
 from helixweave.functions.scoring import ALL_EDGES, Edges
-from helixweave.operators import align, crosspoints, grid, pairs, report, rows, topk, trace, wavefront
+from helixweave.operators import align, crosspoints, grid, meet, pairs, report, rows, strips, topk, trace, wavefront
 from helixweave.sources import fasta, formats
 from helixweave.sources.session import work_dir, workers_find_package
-from helixweave.streaming import online
+from helixweave.streaming import columns, online
 
 from . import dp_sql
 
@@ -366,21 +367,36 @@ _HALVES = f"""SELECT aid * 2 AS aid, bid, substr(a, 1, length(a) // 2) AS a, b F
   UNION ALL SELECT aid * 2 + 1, bid, reverse(substr(a, length(a) // 2 + 1)), reverse(b) FROM ({_EVENT_PAIRS})"""
 
 
-@query(f"""WITH RECURSIVE {dp_sql.scores_ctes(_HALVES, Edges("+", "+"))},
+_MET = f"""WITH RECURSIVE {dp_sql.scores_ctes(_HALVES, Edges("+", "+"))},
 edge AS (SELECT aid // 2 AS aid, aid % 2 AS half, bid, n, m, CASE aid % 2 WHEN 0 THEN d - n ELSE m - (d - n) END AS j, CAST(h1[n + 1] AS BIGINT) AS h, CAST(f1[n + 1] AS BIGINT) AS f FROM dp WHERE d - n BETWEEN 0 AND m),
-met AS (SELECT x.aid, x.bid, x.n AS mid_i, x.j AS mid_j, x.h + y.h AS hh, x.f + y.f + 3 AS gg, x.h AS h1, y.h AS h2, x.f AS f1, y.f AS f2 FROM edge x JOIN edge y ON x.aid = y.aid AND x.bid = y.bid AND x.j = y.j AND x.half = 0 AND y.half = 1),
-goal AS (SELECT *, max(greatest(hh, gg)) OVER (PARTITION BY aid, bid) AS score FROM met)
-SELECT aid, bid, mid_i, mid_j, CAST(CASE WHEN hh = score THEN 0 ELSE 1 END AS BIGINT) AS type, CASE WHEN hh = score THEN h1 ELSE f1 END AS upper, CASE WHEN hh = score THEN h2 ELSE f2 END AS lower, score
-FROM goal WHERE hh = score OR gg = score QUALIFY row_number() OVER (PARTITION BY aid, bid ORDER BY mid_j) = 1""")
+met AS (SELECT x.aid, x.bid, x.n AS mid_i, y.n AS rest, x.m AS m, x.j AS mid_j, x.h + y.h AS hh, x.f + y.f + 3 AS gg, x.h AS h1, y.h AS h2, x.f AS f1, y.f AS f2 FROM edge x JOIN edge y ON x.aid = y.aid AND x.bid = y.bid AND x.j = y.j AND x.half = 0 AND y.half = 1),
+goal AS (SELECT *, max(greatest(hh, gg)) OVER (PARTITION BY aid, bid) AS score FROM met),
+fit AS (SELECT aid, bid, mid_i, rest, m, mid_j, CAST(CASE WHEN hh = score THEN 0 ELSE 1 END AS BIGINT) AS type, CASE WHEN hh = score THEN h1 ELSE f1 END AS upper, CASE WHEN hh = score THEN h2 ELSE f2 END AS lower, score FROM goal WHERE hh = score OR gg = score)
+"""
+
+
+@query(f"{_MET}SELECT aid, bid, mid_i, mid_j, type, upper, lower, score FROM fit QUALIFY row_number() OVER (PARTITION BY aid, bid ORDER BY mid_j) = 1")
 def mm_match(spark, sf_dir):
     """Middle rows of global alignments meet: the first column where both halves add up to the score."""
-    return rows_meet(spark, sf_dir)
+    return meet.midpoints(_event_pairs(spark, sf_dir))
 
 
-def rows_meet(spark, sf_dir):
-    from helixweave.operators.meet import midpoints
+def _scored(spark, sf_dir):
+    """Pairs of events with their global scores."""
+    p = _event_pairs(spark, sf_dir)
+    return p.join(align.align_score(p, Edges("+", "+")).select("aid", "bid", "score"), ["aid", "bid"])
+
 
-    return midpoints(_event_pairs(spark, sf_dir))
+@query(f"{_MET}SELECT aid, bid, mid_i, mid_j, type, upper, lower, score, CAST((mid_i + rest) * least(m, 8 * t) AS BIGINT) AS cells FROM (SELECT *, CAST(ceil(greatest(mid_j, m - mid_j) / 8.0) AS BIGINT) AS t FROM fit) QUALIFY row_number() OVER (PARTITION BY aid, bid ORDER BY t, mid_j) = 1")
+def mm_both_sides(spark, sf_dir):
+    """Both halves by columns at once, from either side, until they add up to the score; cells are counted."""
+    return meet.midpoints_early(_scored(spark, sf_dir))
+
+
+@query(f"{_MET}SELECT aid, bid, mid_i, mid_j, type, upper, lower, score, CAST(mid_i * least(m, 8 * t) + rest * m AS BIGINT) AS cells FROM (SELECT *, CAST(ceil(mid_j / 8.0) AS BIGINT) AS t FROM fit) QUALIFY row_number() OVER (PARTITION BY aid, bid ORDER BY mid_j) = 1")
+def mm_orthogonal(spark, sf_dir):
+    """The lower half by rows, the upper one by columns until the halves add up to the score."""
+    return meet.midpoints_early(_scored(spark, sf_dir), both=False)
 
 
 @query()
@@ -400,6 +416,83 @@ def linear_path(spark, sf_dir):
     return align.align_score(p, Edges("+", "+")).select("aid", "bid", "score").join(paths, ["aid", "bid"])
 
 
+# ---------------------------------------------------------------- paths by strips
+
+
+_EVERY, _WIDTH, _BUDGET = 32, 48, 16384
+
+
+def _strips(spark, sf_dir):
+    """(pairs, points, kept rows, folder): the way back of all item pairs, from rows that keep a budget of bytes each."""
+    path = work_dir(spark, "strips")
+    key = (F.col("aid") * (1 << 20) + F.col("bid")).alias("aln")
+    # each round reads the pairs again
+    _item_pairs(spark, sf_dir).select(key, "aid", "bid", "a", "b").write.parquet(f"{path}/pairs")
+    p = spark.read.parquet(f"{path}/pairs")
+    strips.save_rows(p, _EVERY, _WIDTH).write.parquet(f"{path}/saved")
+    saved = spark.read.parquet(f"{path}/saved")
+    size = p.select("aln", ((F.char_length("b") + 1) * 8).cast("long").alias("bytes"))
+    kept = rows.within_budget(saved.where("no = 0").select("aln", "row_id").join(size, "aln"), _BUDGET, "aln")
+    kept.select("aln", "row_id", "bytes", "thinned").write.parquet(f"{path}/kept")
+    kept = spark.read.parquet(f"{path}/kept")
+    thin = saved.where("row_id is null").unionByName(saved.join(kept.select("aln", "row_id"), ["aln", "row_id"], "left_semi"))
+    return p, strips.trace_points(spark, p, thin, _WIDTH, path, 16), kept, path
+
+
+_STRIPS = f"WITH r AS ({_dp(_ITEM_PAIRS, Edges())}), s AS (SELECT * FROM r JOIN (SELECT aid, bid, (length(b) + 1) * 8 AS bytes FROM ({_ITEM_PAIRS})) USING (aid, bid)), t AS (SELECT *, greatest(0, (end_i - 1) // {_EVERY}) AS n, {_BUDGET} // bytes AS most FROM s), u AS (SELECT *, list_filter(range(0, 40), lambda k: n // (1 << k) <= most)[1] AS thinned FROM t WHERE score > 0)"
+
+
+@query(f"{_STRIPS} SELECT aid, bid, score, end_i, end_j, score AS path_score, true AS connected FROM u")
+def strip_path(spark, sf_dir):
+    """Best local alignments of all item pairs, followed back strip by strip; the pieces' scores add up, and their ends meet."""
+    p, points, _, _ = _strips(spark, sf_dir)
+    return _whole(p, points, strips.solved(strips.partitions(points, p)))
+
+
+def _whole(p, points, pieces):
+    """The end and score of each path beside what its pieces give."""
+    ends = points.where("ord = 0").select("aln", "score", F.col("i").alias("end_i"), F.col("j").alias("end_j"))
+    got = strips.joined(pieces)
+    used = lambda c: F.char_length(F.regexp_replace("ops", f"[^MX{c}]", ""))
+    fits = (F.col("start_i") + used("V") == F.col("end_i") + 1) & (F.col("start_j") + used("H") == F.col("end_j") + 1)
+    both = ends.join(got.select("aln", "path_score", "start_i", "start_j", "ops", F.col("end_i").alias("last_i"), F.col("end_j").alias("last_j")), "aln")
+    both = both.withColumn("connected", fits & (F.col("last_i") == F.col("end_i")) & (F.col("last_j") == F.col("end_j")))
+    return both.join(p.select("aln", "aid", "bid"), "aln").select("aid", "bid", "score", "end_i", "end_j", "path_score", "connected")
+
+
+@query(f"{_STRIPS} SELECT aid, bid, CAST(CASE WHEN most > 0 THEN n // (1 << thinned) ELSE 0 END AS BIGINT) AS kept, CAST(bytes * CASE WHEN most > 0 THEN n // (1 << thinned) ELSE 0 END AS BIGINT) AS stored, CAST({_EVERY} * (1 << thinned) AS BIGINT) AS apart FROM u WHERE most > 0 AND n > 0")
+def row_budget(spark, sf_dir):
+    """What thinning leaves of each pair's saved rows: their number, bytes and distance."""
+    kept = _strips(spark, sf_dir)
+    got = kept[2].groupBy("aln").agg(F.count("*").alias("kept"), F.sum("bytes").alias("stored"), (F.lit(_EVERY) * F.pow(F.lit(2.0), F.first("thinned"))).cast("long").alias("apart"))
+    return got.join(kept[0].select("aln", "aid", "bid"), "aln").select("aid", "bid", "kept", "stored", "apart")
+
+
+@query(f"{_STRIPS} SELECT aid, bid, score, end_i, end_j, score AS path_score, true AS connected, true AS small FROM u")
+def refined_path(spark, sf_dir):
+    """The same paths after their partitions were split until none is larger than 24 symbols."""
+    p, points, _, path = _strips(spark, sf_dir)
+    parts = strips.refine(spark, strips.partitions(points, p), 24, path, least=8)
+    small = parts.groupBy("aln").agg(F.bool_and(F.expr("i1 = i0 or j1 = j0 or greatest(i1 - i0, j1 - j0) <= 24")).alias("small"))
+    small = small.join(p.select("aln", "aid", "bid"), "aln").drop("aln")
+    return _whole(p, points, strips.solved(parts)).join(small, ["aid", "bid"])
+
+
+@query(_path_sql("SELECT aid, bid, kind, row_number() OVER (PARTITION BY aid, bid ORDER BY min(k)) - 1 AS seg, min(i) - CASE kind WHEN 'H' THEN 0 ELSE 1 END AS i0, min(j) - CASE kind WHEN 'V' THEN 0 ELSE 1 END AS j0, max(i) AS i1, max(j) AS j1 FROM isle GROUP BY aid, bid, kind, isle", "kinds AS (SELECT aid, bid, k, i, j, CASE WHEN op IN ('M', 'X') THEN 'D' ELSE op END AS kind FROM step)", "isle AS (SELECT *, k - row_number() OVER (PARTITION BY aid, bid, kind ORDER BY k) AS isle FROM kinds)", edges=Edges("+", "+")))
+def gap_walk(spark, sf_dir):
+    """Paths as segments, from the two gap lists of each compact alignment alone."""
+    packed = formats.alignments_binary(_paths(spark, sf_dir, Edges("+", "+")), "aid", "bid")
+    return align.segments_of(formats.read_alignments(packed, "aid", "bid"), "aid", "bid")
+
+
+@query(_dp(_EVENT_PAIRS, Edges("3", "+")))
+def sql_align_score(spark, sf_dir):
+    """Scores by SQL text, through the registered table function."""
+    table.register(spark)
+    _event_pairs(spark, sf_dir).createOrReplaceTempView("event_pairs")
+    return spark.sql("SELECT aid, bid, score, end_i, end_j FROM align_score(TABLE(event_pairs), '3', '+')")
+
+
 # ---------------------------------------------------------------- one large pair
 
 
@@ -456,6 +549,24 @@ def fasta_scan(spark, sf_dir):
     return fasta.read_fasta(spark, path).select(F.regexp_extract("accession", r"(\d+)", 1).cast("long").alias("seq_id"), "accession", "seq", "len")
 
 
+_SOURCE = f"SELECT coalesce(source, '') AS source, string_agg(replace({_CLEAN.format('text')}, '>', '.'), '' ORDER BY doc_id) AS seq FROM documents WHERE text IS NOT NULL GROUP BY ALL"
+
+
+@query(f"SELECT description, CAST(k AS INTEGER) AS no, substr(seq, k * 1000 + 1, 1000) AS bases FROM (SELECT source AS description, seq, unnest(range(0, (length(seq) + 999) // 1000)) AS k FROM ({_SOURCE}))")
+def fasta_ranges(spark, sf_dir):
+    """The documents of each source as one long FASTA record over several files, read back in chunks by ranges of bytes."""
+    path = work_dir(spark, "volumes")
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    source = F.coalesce("source", F.lit("")).alias("source")
+    # a mark within a sequence would begin a record
+    seq = F.translate(pairs.clean(F.col("text")), ">", ".")
+    lines = docs.select(source, F.lit(1).alias("body"), "doc_id", F.posexplode(F.regexp_extract_all(seq, F.lit("(?s)(.{1,70})"), F.lit(1))).alias("no", "value"))
+    heads = docs.select(source).distinct().select("source", F.lit(0).alias("body"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("no"), F.concat(F.lit(">"), "source").alias("value"))
+    fasta.write_volumes(heads.unionByName(lines), path, "source", "body", "doc_id", "no")
+    found, chunks = fasta.scan_fasta(spark, path, 1000, volumes=True)
+    return chunks.join(found, ["file", "record"]).select("description", "no", "bases")
+
+
 @query(f"SELECT seq_id, CAST(k AS INTEGER) AS no, substr(seq, k * 100 + 1, 100) AS bases FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 99) // 100)) AS k FROM {_DOC})")
 def sequence_chunks(spark, sf_dir):
     return fasta.fasta_chunks(_docs(spark, sf_dir), 100, "seq_id")
@@ -499,6 +610,18 @@ def stream_best(spark, sf_dir):
     return online.best_so_far(online.score_arrived(spark, f"{top}/in", targets, f"{top}/checkpoint", f"{top}/out"))
 
 
+@query(_dp(_EVENT_PAIRS, Edges()))
+def stream_columns(spark, sf_dir):
+    """One sequence of each pair arrives in chunks of 16; the state holds the matrix's last column."""
+    top = work_dir(spark, "columns")
+    p = _event_pairs(spark, sf_dir).withColumn("len", F.char_length("b"))
+    fasta.fasta_chunks(p.withColumnRenamed("b", "seq"), 16, "aid", "bid", "a").repartitionByRange(4, "no").write.parquet(f"{top}/in")
+    stream = spark.readStream.schema("aid long, bid long, a string, no int, bases string").option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    columns.follow(stream, f"{top}/checkpoint", f"{top}/out")
+    last = F.max_by(F.struct("score", "end_i", "end_j"), "columns").alias("x")
+    return spark.read.parquet(f"{top}/out").groupBy("aid", "bid").agg(last).select("aid", "bid", "x.*")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -1,8 +1,11 @@
-"""FASTA: one row for each record, read by Spark so that any store works."""
+"""FASTA, read by Spark so that any store works: one row for each record, or chunks of records of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixweave.functions import sequences as S
@@ -20,12 +23,131 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta_chunks(records: DataFrame, size: int, *keys: str) -> DataFrame:
-    """(keys, no, bases): sequences in chunks, as operators on large pairs take them."""
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / size)))
-    return records.where("len > 0").select(*keys, "seq", at.alias("no")).select(*keys, F.col("no").cast("int").alias("no"), F.expr(f"substring(seq, CAST(no * {size} + 1 AS INT), {size})").alias("bases"))
+    """(keys, no, bases): sequences in chunks, as operators on large pairs take them; each is walked once."""
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+    return records.where("len > 0").select(*keys, F.posexplode(parts).alias("no", "bases"))
+
+
+_DROP = {ord(c): None for c in " \r\n"} | {k: k - 32 for k in range(ord("a"), ord("z") + 1)}
+
+
+def _runs(batches, volumes: bool):
+    """(split, header or None, text) in the order of the lines; the text of lines that follow each other comes in one."""
+    last = None
+    for batch in batches:
+        split, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("split", "start"))
+        value = batch.column("value")
+        head = pc.starts_with(value, ">").to_numpy(zero_copy_only=False).copy()
+        new = np.append(True, split[1:] != split[:-1])
+        if not volumes:
+            # a file's first line is its description, with or without a mark
+            first = new & (start == 0)
+            first[0] &= last != split[0]
+            head |= first
+        edges = np.flatnonzero(head | new | np.append(True, head[:-1]))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(split)], strict=True):
+            if head[a]:
+                yield int(split[a]), value[a].as_py().removeprefix(">").rstrip("\r"), ""
+            else:
+                # lines of a batch lie side by side in one buffer
+                text = value.slice(a, b - a)
+                off = np.frombuffer(text.buffers()[1], np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + b - a + 1]
+                yield int(split[a]), None, bytes(text.buffers()[2] or b"")[off[0] : off[-1]].decode().translate(_DROP)
+        last = split[-1]
+
+
+def _counted(volumes: bool):
+    """A row for each split: headers, symbols before the first and after the last one."""
+
+    def run(batches):
+        of: dict[int, list[int]] = {}
+        for split, header, text in _runs(batches, volumes):
+            x = of.setdefault(split, [0, 0, 0])
+            if header is not None:
+                x[0], x[2] = x[0] + 1, 0
+            elif x[0]:
+                x[2] += len(text)
+            else:
+                x[1] += len(text)
+        yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), *(pa.array([x[k] for x in of.values()], pa.int64()) for k in range(3))], ["split", "heads", "lead", "tail"])
+
+    return run
+
+
+def _pieces(size: int, volumes: bool):
+    """(split, seg, at, description, bases): the symbols after the seg-th header of a split, in pieces of size."""
+    names = ["split", "seg", "at", "description", "bases"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    def run(batches):
+        now, seg, at, held, out = None, 0, 0, "", []
+        for split, header, text in _runs(batches, volumes):
+            if split != now or header is not None:
+                if held:
+                    out.append((now, seg, at, None, held))
+                now, seg, at, held = split, seg + 1 if split == now else int(header is not None), 0, ""
+                if header is not None:
+                    out.append((split, seg, 0, header, None))
+            held += text
+            for k in range(0, len(held) - size + 1, size):
+                out.append((split, seg, at, None, held[k : k + size]))
+                at += size
+            held = held[len(held) // size * size :]
+            if len(out) * size > 4_000_000:
+                yield table(out)
+                out = []
+        if held:
+            out.append((now, seg, at, None, held))
+        yield table(out)
+
+    return run
+
+
+def scan_fasta(spark: SparkSession, path: str, size: int, volumes: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((file, record, description, accession), (file, record, no, bases)) of FASTA files whose records may have any size.
+
+    Every split of a file finds its own headers and symbols. A first pass counts them, one row for each split; their
+    running sums tell which record and place a split begins in. No row is longer than ``size`` symbols or a line of
+    the file. With ``volumes`` all files of a folder, in order of their names, are one stream, which a record may cross;
+    ``file`` is then the folder.
+    """
+    where = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("at")
+    lines = spark.read.text(path).select(where, "value")
+    split = F.xxhash64("at.file_path", "at.file_block_start").alias("split")
+    lines = lines.select(split, F.col("at.file_path").alias("file"), F.col("at.file_block_start").alias("start"), "value")
+    plain = lines.select("split", "start", "value")
+    counts = plain.mapInArrow(_counted(volumes), "split long, heads long, lead long, tail long")
+    names = lines.groupBy("split").agg(F.first("file").alias("file"), F.first("start").alias("start"))
+    stream = F.regexp_replace("file", "[^/]*$", "") if volumes else F.col("file")
+    splits = names.join(counts, "split").withColumn("stream", stream)
+    order = Window.partitionBy("stream").orderBy("file", "start")
+    splits = splits.withColumn("until", F.sum("heads").over(order))
+    # since the last header: its split's tail, and all of the splits after it
+    since = F.sum(F.when(F.col("heads") > 0, F.col("tail")).otherwise(F.col("lead"))).over(Window.partitionBy("stream", "until").orderBy("file", "start"))
+    splits = splits.withColumn("since", since).select("split", "stream", (F.col("until") - F.col("heads")).alias("before"), F.coalesce(F.lag("since").over(order), F.lit(0)).alias("carry"))
+    pieces = plain.mapInArrow(_pieces(size, volumes), "split long, seg long, at long, description string, bases string").join(splits, "split")
+    pieces = pieces.select(F.col("stream").alias("file"), (F.col("before") + F.col("seg") - 1).alias("record"), (F.col("at") + F.when(F.col("seg") == 0, F.col("carry")).otherwise(0)).alias("at"), "description", "bases")
+    heads = pieces.where("description is not null").select("file", "record", "description", S.accession(F.col("description")).alias("accession"))
+    room = (F.lit(size) - F.col("at") % size).cast("int")
+    part = lambda no, at, bases: F.struct(no.cast("int").alias("no"), at.alias("at"), bases.alias("bases"))
+    no = F.floor(F.col("at") / size)
+    halves = F.array(part(no, F.col("at"), F.substring("bases", 1, size) if size == 1 else F.left("bases", room)), part(no + 1, F.col("at") + room, F.substring("bases", room + 1, F.lit(size))))
+    # symbols before any header belong to no record
+    rows = pieces.where("bases is not null and record >= 0").select("file", "record", F.explode(halves).alias("x")).where("x.bases <> ''").select("file", "record", "x.*")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "bases"))), lambda x: x["bases"]), "")
+    return heads, rows.groupBy("file", "record", "no").agg(whole.alias("bases"))
 
 
 def write_fasta(seqs: DataFrame, path: str, width: int = 70) -> None:
     """Rows (description, seq) as FASTA text."""
     lines = F.array_join(F.regexp_extract_all(F.col("seq"), F.lit(f"(.{{1,{width}}})"), F.lit(1)), "\n")
     seqs.select(F.concat(F.lit(">"), "description", F.lit("\n"), lines).alias("value")).write.text(path)
+
+
+def write_volumes(lines: DataFrame, path: str, *order: str) -> None:
+    """Text lines (value) in the order of the columns, as consecutive files of one stream; no task writes them all."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.text(path)

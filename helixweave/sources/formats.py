@@ -123,10 +123,10 @@ def cells(spark: SparkSession, url: str, kind: str = "zeroes", scores: Scores =
     if scheme == "null":
         return spark.range(int(rest)).select(F.col("id").alias("k"), F.lit(0).alias("h"), F.lit(0).alias("g"))
     if scheme == "init":
-        h = border(kind, int(rest), scores).tolist()
-        step = (h[-1] - h[1]) // max(1, len(h) - 2) if len(h) > 2 else 0
-        value = F.when(F.col("id") == 0, h[0]).otherwise(F.lit(h[1] if len(h) > 1 else 0) + (F.col("id") - 1) * step)
-        return spark.range(len(h)).select(F.col("id").alias("k"), value.cast("int").alias("h"), F.lit(-999_999_999).alias("g"))
+        # the first three cells give the rest: from index 1 on a border falls evenly
+        h = border(kind, 2, scores).tolist()
+        value = F.when(F.col("id") == 0, h[0]).otherwise(F.lit(h[1]) + (F.col("id") - 1) * (h[2] - h[1]))
+        return spark.range(int(rest) + 1).select(F.col("id").alias("k"), value.cast("int").alias("h"), F.lit(-999_999_999).alias("g"))
     if scheme in ("socket",):
         raise ValueError("borders between tasks go through shuffles and files; there is no socket form")
     return spark.read.parquet(url)
