@@ -155,7 +155,9 @@ def merge_walk(span: tuple[int, int, int, int], gaps0: list[tuple[int, int]], ga
             out.append(("V", i, j, i + gaps1[y][1], j))
             i, y = i + gaps1[y][1], y + 1
         elif d <= 0:
-            raise ValueError("the gaps do not fit the span")
+            break
+    if (i, j) != (span[2], span[3]):
+        raise ValueError("the gaps do not fit the span")
     return out
 
 

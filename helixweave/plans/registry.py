@@ -501,14 +501,34 @@ _LONG_PAIR = f"SELECT CAST(0 AS BIGINT) AS aid, CAST(1 AS BIGINT) AS bid, x.seq
 _TILE = 96
 
 
-def _large(spark, sf_dir, edges=Edges(), **more):
+def _large(spark, sf_dir, edges=Edges(), tile=_TILE, **more):
     """The two longest items, aligned block by block, in chunks that come from a table."""
     two = _items(spark, sf_dir).orderBy(F.desc("len"), "seq_id").limit(2).withColumn("k", F.row_number().over(Window.orderBy(F.desc("len"), "seq_id")))
-    parts = fasta.fasta_chunks(two, _TILE, "k").persist()
+    parts = fasta.fasta_chunks(two, tile, "k")
     n, m = (r[0] for r in two.orderBy("k").select("len").collect())
     seqs = [parts.where(F.col("k") == k).select("no", "bases") for k in (1, 2)]
     path = work_dir(spark, "large")
-    return seqs, path, wavefront.align_large(spark, *seqs, n, m, _TILE, path, edges, **more)
+    # every diagonal reads the chunks again
+    for k, x in enumerate(seqs):
+        x.write.parquet(f"{path}/sequence={k}")
+    seqs = [spark.read.schema("no int, bases string").parquet(f"{path}/sequence={k}") for k in (0, 1)]
+    return seqs, path, wavefront.align_large(spark, *seqs, n, m, tile, path, edges, **more)
+
+
+@query(f"""SELECT strategy, edges, score, CASE strategy WHEN '' THEN n * m END AS cells, true AS fewer
+FROM (SELECT '*' AS edges, score FROM ({_dp(_LONG_PAIR, Edges())}) UNION ALL SELECT '+', score FROM ({_dp(_LONG_PAIR, Edges("+", "+"))})),
+  (SELECT length(a) AS n, length(b) AS m FROM ({_LONG_PAIR})), (SELECT unnest(['', 'block', 'window']) AS strategy) WHERE edges = '*' OR strategy = 'window'""")
+def prune_strategies(spark, sf_dir):
+    """Scores of one large pair under each way of pruning, and whether it computed no more cells than the matrix has."""
+    out = []
+    for kind, e in (("", "*"), ("block", "*"), ("window", "*"), ("window", "+")):
+        seqs, path, blocks = _large(spark, sf_dir, Edges(e, e), tile=48, prune=kind)
+        n, m = (x.agg(F.sum(F.char_length("bases"))).first()[0] for x in seqs)
+        cells = wavefront.statistics(spark, path).agg(F.sum("cells").alias("cells"))
+        score = wavefront.best_of(blocks).select("score") if e == "*" else spark.range(1).select(F.lit(wavefront.corner(spark, path, n, m, 48)).cast("long").alias("score"))
+        # the whole matrix is counted where nothing is pruned
+        out.append(score.join(cells).select(F.lit(kind).alias("strategy"), F.lit(e).alias("edges"), "score", F.when(F.lit(kind) == "", F.col("cells")).alias("cells"), (F.col("cells") <= n * m).alias("fewer")))
+    return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
 @query(f"WITH RECURSIVE {dp_sql.blocks_ctes(_LONG_PAIR, _TILE, _TILE)} SELECT block_row, block_col, score, i, j FROM block")

@@ -16,18 +16,27 @@ class RunState:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def load(self) -> tuple[int, int]:
-        """(steps done, best score); (0, 0) for a new run."""
+    def _rows(self) -> list[dict]:
         fs, p = self._files()
         if not fs.exists(p):
+            return []
+        # one line for each step
+        return sorted((json.loads(r[0]) for r in self.spark.read.text(self.path).collect()), key=lambda r: r["done"])
+
+    def load(self) -> tuple[int, int]:
+        """(steps done, best score); (0, 0) for a new run."""
+        rows = self._rows()
+        if not rows:
             return 0, 0
-        rows = [json.loads(r[0]) for r in self.spark.read.text(self.path).collect()]
-        last = max(rows, key=lambda r: r["done"])
-        if last["info"] != self.info:
-            raise ValueError(f"{self.path} belongs to another run: {last['info']}")
-        return last["done"], last["best"]
+        if rows[-1]["info"] != self.info:
+            raise ValueError(f"{self.path} belongs to another run: {rows[-1]['info']}")
+        return rows[-1]["done"], rows[-1]["best"]
+
+    def steps(self) -> list[dict]:
+        """What was noted of each step, in order."""
+        return [r.get("notes", {}) for r in self._rows()]
 
-    def save(self, done: int, best: int) -> None:
+    def save(self, done: int, best: int, notes: dict | None = None) -> None:
         # appended, so that a failure while writing leaves the state before
-        line = json.dumps({"info": self.info, "done": done, "best": best})
+        line = json.dumps({"info": self.info, "done": done, "best": best, "notes": notes or {}})
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(self.path)
