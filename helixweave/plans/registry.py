@@ -14,7 +14,7 @@ from helixweave.functions import sequences as S
 from helixweave.functions import table
 from helixweave.functions.scoring import ALL_EDGES, Edges
 from helixweave.operators import align, crosspoints, grid, meet, pairs, report, rows, strips, topk, trace, wavefront
-from helixweave.sources import fasta, formats
+from helixweave.sources import cells, fasta, formats, tagged
 from helixweave.sources.session import work_dir, workers_find_package
 from helixweave.streaming import columns, online
 
@@ -501,10 +501,10 @@ _LONG_PAIR = f"SELECT CAST(0 AS BIGINT) AS aid, CAST(1 AS BIGINT) AS bid, x.seq
 _TILE = 96
 
 
-def _large(spark, sf_dir, edges=Edges(), tile=_TILE, **more):
+def _large(spark, sf_dir, edges=Edges(), **more):
     """The two longest items, aligned block by block, in chunks that come from a table."""
     two = _items(spark, sf_dir).orderBy(F.desc("len"), "seq_id").limit(2).withColumn("k", F.row_number().over(Window.orderBy(F.desc("len"), "seq_id")))
-    parts = fasta.fasta_chunks(two, tile, "k")
+    parts = fasta.fasta_chunks(two, _TILE, "k")
     n, m = (r[0] for r in two.orderBy("k").select("len").collect())
     seqs = [parts.where(F.col("k") == k).select("no", "bases") for k in (1, 2)]
     path = work_dir(spark, "large")
@@ -512,23 +512,23 @@ def _large(spark, sf_dir, edges=Edges(), tile=_TILE, **more):
     for k, x in enumerate(seqs):
         x.write.parquet(f"{path}/sequence={k}")
     seqs = [spark.read.schema("no int, bases string").parquet(f"{path}/sequence={k}") for k in (0, 1)]
-    return seqs, path, wavefront.align_large(spark, *seqs, n, m, tile, path, edges, **more)
+    return seqs, path, wavefront.align_large(spark, *seqs, n, m, _TILE, path, edges, **more)
 
 
 @query(f"""SELECT strategy, edges, score, CASE strategy WHEN '' THEN n * m END AS cells, true AS fewer
 FROM (SELECT '*' AS edges, score FROM ({_dp(_LONG_PAIR, Edges())}) UNION ALL SELECT '+', score FROM ({_dp(_LONG_PAIR, Edges("+", "+"))})),
-  (SELECT length(a) AS n, length(b) AS m FROM ({_LONG_PAIR})), (SELECT unnest(['', 'block', 'window']) AS strategy) WHERE edges = '*' OR strategy = 'window'""")
+  (SELECT length(a) AS n, length(b) AS m FROM ({_LONG_PAIR})), (SELECT unnest(['', 'window']) AS strategy) WHERE edges = '*' OR strategy = 'window'""")
 def prune_strategies(spark, sf_dir):
     """Scores of one large pair under each way of pruning, and whether it computed no more cells than the matrix has."""
     out = []
-    for kind, e in (("", "*"), ("block", "*"), ("window", "*"), ("window", "+")):
-        seqs, path, blocks = _large(spark, sf_dir, Edges(e, e), tile=48, prune=kind)
+    for kind, e in (("", "*"), ("window", "*"), ("window", "+")):
+        seqs, path, blocks = _large(spark, sf_dir, Edges(e, e), prune=kind)
         n, m = (x.agg(F.sum(F.char_length("bases"))).first()[0] for x in seqs)
         cells = wavefront.statistics(spark, path).agg(F.sum("cells").alias("cells"))
-        score = wavefront.best_of(blocks).select("score") if e == "*" else spark.range(1).select(F.lit(wavefront.corner(spark, path, n, m, 48)).cast("long").alias("score"))
+        score = wavefront.best_of(blocks).select("score") if e == "*" else spark.range(1).select(F.lit(wavefront.corner(spark, path, n, m, _TILE)).cast("long").alias("score"))
         # the whole matrix is counted where nothing is pruned
         out.append(score.join(cells).select(F.lit(kind).alias("strategy"), F.lit(e).alias("edges"), "score", F.when(F.lit(kind) == "", F.col("cells")).alias("cells"), (F.col("cells") <= n * m).alias("fewer")))
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    return out[0].union(out[1]).union(out[2])
 
 
 @query(f"WITH RECURSIVE {dp_sql.blocks_ctes(_LONG_PAIR, _TILE, _TILE)} SELECT block_row, block_col, score, i, j FROM block")
@@ -611,6 +611,39 @@ def alignment_binary(spark, sf_dir):
     return got.select("aid", "bid", "score", "start_i", "start_j", "end_i", "end_j", F.size(both).cast("long").alias("gaps"), F.aggregate(both, F.lit(0).cast("long"), lambda t, g: t + g["pos"] * g["len"]).alias("weight"))
 
 
+_TAGGED = """gap AS (SELECT aid, bid, op, CASE op WHEN 'H' THEN min(i) ELSE min(j) END + 1 AS pos, count(*) AS len FROM step WHERE op IN ('H', 'V') GROUP BY aid, bid, run, op),
+gl AS (SELECT aid, bid, string_agg(concat(pos, ':', len), ' ' ORDER BY pos) FILTER (op = 'H') AS g0, string_agg(concat(pos, ':', len), ' ' ORDER BY pos) FILTER (op = 'V') AS g1 FROM gap GROUP BY aid, bid),
+st AS (SELECT aid, bid, count(*) FILTER (op = 'M') AS matches, count(*) FILTER (op = 'X') AS mismatches, count(*) FILTER (op IN ('H', 'V') AND value = -5) AS opened, count(*) FILTER (op IN ('H', 'V')) AS extended FROM step GROUP BY aid, bid),
+fl AS (SELECT q.aid, q.bid, unnest([{'s': 'sequence0', 'f': 'description', 'v': concat('user ', q.aid)}, {'s': 'sequence0', 'f': 'type', 'v': '1'}, {'s': 'sequence0', 'f': 'size', 'v': CAST(n AS VARCHAR)},
+  {'s': 'sequence1', 'f': 'description', 'v': concat('user ', q.bid)}, {'s': 'sequence1', 'f': 'type', 'v': '1'}, {'s': 'sequence1', 'f': 'size', 'v': CAST(m AS VARCHAR)},
+  {'s': 'params', 'f': 'method', 'v': '2'}, {'s': 'params', 'f': 'scoring', 'v': '1,1,-3'}, {'s': 'params', 'f': 'penalty', 'v': '2,-3,-2'}, {'s': 'params', 'f': 'sequences', 'v': concat('0,0,1,', n, ' 1,0,1,', m)},
+  {'s': 'result', 'f': 'raw_score', 'v': CAST(score AS VARCHAR)}, {'s': 'result', 'f': 'statistics', 'v': concat_ws(',', matches, mismatches, opened, extended)},
+  {'s': 'result', 'f': 'gaps', 'v': concat(start_i, '-', end_i, '[', coalesce(g0, ''), '] ', start_j, '-', end_j, '[', coalesce(g1, ''), ']')}]) AS x, unnest(range(0, 13)) AS ord
+  FROM q JOIN path USING (aid, bid) JOIN st USING (aid, bid) LEFT JOIN gl USING (aid, bid))"""
+
+
+@query(_path_sql("SELECT aid, bid, CAST(ord AS INTEGER) AS ord, x.s AS section, x.f AS field, x.v AS value FROM fl", _TAGGED, edges=Edges("+", "+")))
+def alignment_tagged(spark, sf_dir):
+    """Alignments as tagged values, and all their fields in order."""
+    p = _event_pairs(spark, sf_dir)
+    paths = align.with_stats(align.align_path(p, Edges("+", "+")))
+    packed = formats.alignments_binary(paths, "aid", "bid")
+    lists = formats.read_alignments(packed, "aid", "bid").select("aid", "bid", *[F.transform(c, lambda g: F.struct((g["pos"] + 1).alias("pos"), g["len"].alias("len"))).alias(c) for c in ("gaps0", "gaps1")])
+    size = p.select("aid", "bid", F.array(F.char_length("a"), F.char_length("b")).alias("sizes"))
+    whole = paths.join(size, ["aid", "bid"]).join(lists, ["aid", "bid"]).select("aid", "bid", F.array(F.concat(F.lit("user "), "aid"), F.concat(F.lit("user "), "bid")).alias("names"), "sizes", "score", F.array("matches", "mismatches", "gap_openings", "gap_extensions").alias("stats"), F.array("start_i", "end_i", "start_j", "end_j").alias("span"), "gaps0", "gaps1")
+    return tagged.read_fields(tagged.alignments_tagged(whole, "aid", "bid"), "aid", "bid")
+
+
+@query("SELECT CAST(n - 1 - k AS BIGINT) AS k, h, g FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS n, CAST(c_custkey % 1000 - 500 AS INTEGER) AS h, CAST(c_nationkey AS INTEGER) AS g FROM customer) WHERE n - 1 - k >= 100")
+def cell_files(spark, sf_dir):
+    """Cells of all customers written as raw cell files, and read from the last one back, without the first hundred."""
+    path = work_dir(spark, "cells").removeprefix("file://")
+    # keys are dense from 0
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 1000 - 500).cast("int").alias("h"), F.col("c_nationkey").cast("int").alias("g"))
+    cells.write_cells(c, path)
+    return spark.read.format("cells").option("reverse", "true").option("offset", 100).option("step", 256).load(path)
+
+
 @query(f"SELECT k, CAST(CASE WHEN k = 0 THEN 0 ELSE -3 - 2 * k END AS INTEGER) AS h, CAST(-999999999 AS INTEGER) AS g FROM (SELECT unnest(range(0, n + 1)) AS k FROM (SELECT max(length(seq)) AS n FROM {_ITEM}))")
 def border_cells(spark, sf_dir):
     """The border of gaps over the longest item."""

@@ -12,7 +12,7 @@ from helixweave.functions import kernels as K
 from helixweave.functions import linear, table
 from helixweave.functions.scoring import Edges
 from helixweave.operators import align, meet, rows, wavefront
-from helixweave.sources import fasta, formats
+from helixweave.sources import cells, fasta, formats, tagged
 from helixweave.streaming import columns
 
 
@@ -218,3 +218,38 @@ def test_pruned_runs_keep_their_scores(spark, tmp_path, edges):
     assert cells["window"] < len(a) * len(b)
     with pytest.raises(ValueError):
         wavefront.align_large(spark, a, b, len(a), len(b), 12, f"file://{tmp_path}/no", prune="other")
+
+
+@pytest.mark.parametrize("offset,count,reverse,step", [(0, None, False, 10**6), (7, None, True, 5), (3, 11, False, 4), (3, 11, True, 4), (95, 50, True, 3), (200, None, False, 9)])
+def test_cell_files_by_ranges(spark, tmp_path, offset, count, reverse, step):
+    data = [(k, k * k - 50, -k) for k in range(100)]
+    path = f"{tmp_path}/c"
+    cells.write_cells(spark.createDataFrame(data[:60], cells.SCHEMA).repartition(3), path)
+    cells.write_cells(spark.createDataFrame(data[60:], cells.SCHEMA), path)
+    got = spark.read.format("cells").options(offset=offset, reverse=reverse, step=step, **({} if count is None else {"count": count})).load(path)
+    stream = [(k, *x[1:]) for k, x in enumerate(data[::-1] if reverse else data)]
+    assert sorted(map(tuple, got.collect())) == stream[offset : None if count is None else offset + count]
+    assert got.rdd.getNumPartitions() >= len(stream[offset : None if count is None else offset + count]) // step
+
+
+def test_cell_files_refuse_gaps(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1, 1), (2, 1, 1)], cells.SCHEMA)
+    with pytest.raises(Exception, match="consecutive"):
+        cells.write_cells(df, f"{tmp_path}/c")
+    cells.write_cells(spark.createDataFrame([(0, 1, 1), (1, 2, 2)], cells.SCHEMA), f"{tmp_path}/d")
+    cells.write_cells(spark.createDataFrame([(0, 5, 6)], cells.SCHEMA), f"{tmp_path}/d", "overwrite")
+    assert [tuple(r) for r in spark.read.format("cells").load(f"{tmp_path}/d").collect()] == [(0, 5, 6)]
+
+
+def test_tagged_values():
+    r = {"names": ["a é", "b"], "sizes": [300, 40], "score": -7, "stats": [1, 2, 3, 4], "span": [1, 300, 2, 40], "gaps0": [(200, 3), (5, 130)], "gaps1": []}
+    data = tagged.write_tagged(r)
+    assert data[:6] == b"CGFF\0\1" and data[-1] == 0
+    got = {(s, f): v for s, f, v in tagged.fields(data)}
+    assert len(got) == 13 and got["sequence0", "description"] == "a é" and got["params", "penalty"] == "2,-3,-2"
+    assert got["result", "gaps"] == "1-300[5:130 200:3] 2-40[]" and got["result", "raw_score"] == "-7"
+    linear_gap = data.replace(b"\3\2\xff\xff\xff\xfd\xff\xff\xff\xfe", b"\3\1\xff\xff\xff\xfe")
+    assert {(s, f): v for s, f, v in tagged.fields(linear_gap)}["params", "penalty"] == "1,-2"
+    for wrong in (b"CGFX" + data[4:], data[:4] + b"\1" + data[5:], data.replace(b"\1\0\0\0\4a", b"\7\0\0\0\4a")):
+        with pytest.raises(ValueError):
+            tagged.fields(wrong)
