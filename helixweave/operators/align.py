@@ -7,7 +7,7 @@ advances together. ``balanced`` deals pairs by their number of cells where lengt
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixweave.functions import kernels as K
@@ -108,26 +108,16 @@ def gap_runs(paths: DataFrame, *keys: str) -> DataFrame:
 
     gap_seq 0: gap on sequence a (H), 1: gap on sequence b (V). delta: distance from the gap before in the same sequence.
     """
-    lead = F.regexp_extract_all(F.col("ops"), F.lit("(M|X|V+|H+)"), F.lit(1))
-    # positions consumed before each step, by a running sum inside the array
-    moved = F.aggregate(
-        lead,
-        F.struct(F.col("start_i").cast("long").alias("i"), F.col("start_j").cast("long").alias("j"), F.array().cast("array<struct<gap_seq:int,pos:bigint,len:bigint>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["i"] + F.when(x.rlike("^[MX]"), 1).when(x.startswith("V"), F.char_length(x)).otherwise(0)).cast("long").alias("i"),
-            (s["j"] + F.when(x.rlike("^[MX]"), 1).when(x.startswith("H"), F.char_length(x)).otherwise(0)).cast("long").alias("j"),
-            F.when(
-                x.rlike("^[VH]"),
-                F.concat(s["out"], F.array(F.struct(F.when(x.startswith("H"), 0).otherwise(1).alias("gap_seq"), (F.when(x.startswith("H"), s["i"]).otherwise(s["j"]) - 1).cast("long").alias("pos"), F.char_length(x).cast("long").alias("len")))),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    from pyspark.sql import Window
-
-    runs = paths.select(*keys, F.explode(moved).alias("g")).select(*keys, "g.*")
+    lead = F.regexp_extract_all(F.col("ops"), F.lit("([MX]+|V+|H+)"), F.lit(1))
+    runs = paths.select(*keys, "start_i", "start_j", F.posexplode(lead).alias("k", "run"))
+    size, kind = F.char_length("run").cast("long"), F.left("run", F.lit(1))
+    before = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    # symbols consumed before each run
+    used = lambda start, other: F.col(start) - 1 + F.coalesce(F.sum(F.when(kind != other, size).otherwise(0)).over(before), F.lit(0))
+    at = F.when(kind == "H", used("start_i", "H")).otherwise(used("start_j", "V"))
+    got = runs.select(*keys, F.when(kind == "H", 0).when(kind == "V", 1).alias("gap_seq"), at.alias("pos"), size.alias("len")).where("gap_seq is not null")
     w = Window.partitionBy(*keys, "gap_seq").orderBy("pos")
-    return runs.withColumn("delta", F.col("pos") - F.lag("pos", 1, 0).over(w))
+    return got.withColumn("delta", F.col("pos") - F.lag("pos", 1, 0).over(w))
 
 
 _SEGMENT = "kind string, seg long, i0 long, j0 long, i1 long, j1 long"

@@ -7,30 +7,43 @@ from pyspark.sql import functions as F
 
 
 def from_paths(paths: DataFrame, every: int, *keys: str) -> DataFrame:
-    """The ends of the path and every every-th of its steps, with the score so far."""
-    steps = F.split(F.col("ops"), "")
-    grown = F.aggregate(
-        F.slice(steps, 1, F.char_length("ops")),
-        F.expr("struct(start_i - 1 as i, start_j - 1 as j, 0L as score, '' as last, 0 as k, array(named_struct('ord', 0, 'type', 0, 'i', start_i - 1, 'j', start_j - 1, 'score', 0L)) as out)"),
-        lambda s, x: F.struct(
-            (s["i"] + x.isin("M", "X", "V").cast("long")).alias("i"),
-            (s["j"] + x.isin("M", "X", "H").cast("long")).alias("j"),
-            _score(s, x).alias("score"),
-            x.alias("last"),
-            (s["k"] + 1).alias("k"),
-            F.when(
-                ((s["k"] + 1) % every == 0) | (s["k"] + 1 == F.char_length("ops")),
-                F.concat(s["out"], F.array(F.struct((s["k"] + 1).alias("ord"), F.when(x == "H", 1).when(x == "V", 2).otherwise(0).alias("type"), (s["i"] + x.isin("M", "X", "V").cast("long")).alias("i"), (s["j"] + x.isin("M", "X", "H").cast("long")).alias("j"), _score(s, x).alias("score")))),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
+    """The ends of the path and every every-th of its steps, with the score so far.
+
+    Steps are cut into pieces of ``every``; what each moves and is worth adds up by running sums over the pieces.
+    """
+    pieces = F.regexp_extract_all("ops", F.lit(f"(.{{1,{every}}})"), F.lit(1))
+    got = paths.where("end_i >= 0").select(*keys, "start_i", "start_j", F.posexplode(pieces).alias("k", "piece"))
+    w = Window.partitionBy(*keys).orderBy("k")
+    n = lambda r: F.regexp_count("piece", F.lit(r)).cast("long")
+    # a gap that goes on from the piece before was opened there
+    head, last = F.left("piece", F.lit(1)), F.right("piece", F.lit(1))
+    goes_on = F.coalesce(F.lag(last).over(w) == head, F.lit(False)) & head.isin("V", "H")
+    value = n("M") - 3 * n("X") - 2 * n("[VH]") - 3 * (n("V+") + n("H+") - goes_on.cast("long"))
+    got = got.withColumns({"di": n("[MXV]"), "dj": n("[MXH]"), "v": value})
+    ends = got.select(
+        *keys,
+        (F.col("k") * every + F.char_length("piece")).alias("ord"),
+        F.when(last == "H", 1).when(last == "V", 2).otherwise(0).alias("type"),
+        (F.col("start_i") - 1 + F.sum("di").over(w)).alias("i"),
+        (F.col("start_j") - 1 + F.sum("dj").over(w)).alias("j"),
+        F.sum("v").over(w).alias("score"),
     )
-    return paths.where("end_i >= 0").select(*keys, F.explode(grown).alias("c")).select(*keys, "c.*")
+    starts = paths.where("end_i >= 0").select(*keys, F.lit(0).alias("ord"), F.lit(0).alias("type"), (F.col("start_i") - 1).alias("i"), (F.col("start_j") - 1).alias("j"), F.lit(0).cast("long").alias("score"))
+    return starts.unionByName(ends)
+
 
+def concat(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """The list of one part followed by that of its neighbour, which begins with the point that the first one ends with.
 
-def _score(s, x):
-    gap = F.lit(-2) - F.when(s["last"] == x, 0).otherwise(3)
-    return s["score"] + F.when(x == "M", 1).when(x == "X", -3).otherwise(gap).cast("long")
+    That point is kept once; places go on from it. A neighbour that begins elsewhere is an error.
+    """
+    w = Window.partitionBy(*keys)
+    end = left.withColumn("top", F.max("ord").over(w)).where("ord = top").select(*keys, "top", *[F.col(c).alias(f"_{c}") for c in ("type", "i", "j")])
+    both = right.withColumn("low", F.min("ord").over(w)).join(end, list(keys))
+    meets = (F.col("ord") > F.col("low")) | ((F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & (F.col("type") == F.col("_type")))
+    place = F.when(meets, F.col("ord") - F.col("low")).otherwise(F.raise_error(F.lit("the lists do not meet")))
+    rest = both.withColumn("place", place).where("place > 0").select(*keys, (F.col("top") + F.col("place")).cast("int").alias("ord"), "type", "i", "j", "score")
+    return left.select(*keys, "ord", "type", "i", "j", "score").unionByName(rest)
 
 
 def segments(points: DataFrame, *keys: str) -> DataFrame:

@@ -28,6 +28,20 @@ def blocks(pairs: DataFrame, height: int, width: int, *keys: str) -> DataFrame:
     return got.select(*keys, "by", "bx", (F.col("by") * height).alias("i0"), F.least((F.col("by") + 1) * height, F.col("n")).alias("i1"), (F.col("bx") * width).alias("j0"), F.least((F.col("bx") + 1) * width, F.col("m")).alias("j1"), (F.col("by") + F.col("bx")).alias("diagonal"))
 
 
+def shifted(parts: DataFrame, down: Column | str, right: Column | str) -> DataFrame:
+    """Partitions (i0, j0, i1, j1) moved by an offset, with height, width, area, and whether nothing but a gap fits in."""
+    at = lambda c, by: (F.col(c) + (F.col(by) if isinstance(by, str) else by)).alias(c)
+    keep = [c for c in parts.columns if c not in ("i0", "j0", "i1", "j1")]
+    got = parts.select(*keep, at("i0", down), at("j0", right), at("i1", down), at("j1", right))
+    got = got.withColumns({"height": F.col("i1") - F.col("i0"), "width": F.col("j1") - F.col("j0")})
+    return got.withColumns({"area": F.col("height") * F.col("width"), "flat": (F.col("height") == 0) | (F.col("width") == 0)})
+
+
+def row_major(parts: DataFrame, *keys: str) -> DataFrame:
+    """Adds place: partitions of each matrix in the order of their dependencies, by rows, then by columns."""
+    return parts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("i0", "j0")) - 1)
+
+
 def downsample(scores: DataFrame, most: int, *keys: str) -> DataFrame:
     """Largest score of each cell of a grid of at most most x most cells over (by, bx)."""
     size = scores.groupBy(*keys).agg((F.max("by") + 1).alias("h"), (F.max("bx") + 1).alias("w"))

@@ -2,53 +2,100 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixweave.functions import kernels as K
 from helixweave.functions.scoring import Edges, Scores
 
+from .align import with_stats
+
+
+_LINE = "block long, query string, bars string, subject string, block_score long"
+
+
+def spelled(a: str, b: str, start_i: int, start_j: int, ops: str, width: int, scores: Scores) -> list[tuple]:
+    """(block, query, bars, subject, block_score): both gapped sequences, spelled once from start to end and cut."""
+    # the symbols that each operation uses, as places in the sequences
+    o = np.frombuffer(ops.encode(), np.uint8)
+    on_a, on_b = o != ord("H"), o != ord("V")
+    out = []
+    value = np.where(o == ord("M"), scores.match, np.where(o == ord("X"), scores.mismatch, -scores.gap_ext)).astype(np.int64)
+    gap = ~(on_a & on_b)
+    value -= scores.gap_open * (gap & (np.append(0, o[:-1]) != o))
+    i, j = start_i - 1, start_j - 1
+    for k in range(0, len(o), width):
+        part = slice(k, k + width)
+        row = []
+        for used, text, at in ((on_a[part], a, i), (on_b[part], b, j)):
+            symbols = iter(text[at : at + int(used.sum())])
+            row.append("".join(next(symbols) if u else "-" for u in used.tolist()))
+        i, j = i + int(on_a[part].sum()), j + int(on_b[part].sum())
+        out.append((k // width, row[0], "".join("|" if x == "M" else " " for x in ops[part]), row[1], int(value[part].sum())))
+    return out
+
 
 def lines(paths: DataFrame, *keys: str, width: int = 60, scores: Scores = Scores()) -> DataFrame:
     """(keys, block, query, bars, subject, block_score, total_score) of paths that still carry a and b.
 
-    Gapped sequences are spelled by one aggregate over the operations, then cut into blocks of width
-    columns. The last total must equal the path's score, or the query fails.
+    One pass over each path cuts it into blocks of width columns; totals are a running sum. The last total must
+    equal the path's score, or the query fails.
     """
-    ops = F.split(F.col("ops"), "")
-    ops = F.slice(ops, 1, F.char_length("ops"))
-    grown = F.aggregate(
-        ops,
-        F.expr("struct(CAST(start_i AS INT) AS i, CAST(start_j AS INT) AS j, '' AS last, CAST(array() AS array<struct<q:string,m:string,s:string,v:int>>) AS out)"),
-        lambda t, x: F.struct(
-            (t["i"] + x.isin("M", "X", "V").cast("int")).alias("i"),
-            (t["j"] + x.isin("M", "X", "H").cast("int")).alias("j"),
-            x.alias("last"),
-            F.concat(
-                t["out"],
-                F.array(
-                    F.struct(
-                        F.when(x == "H", "-").otherwise(F.substring(F.col("a"), t["i"], F.lit(1))).alias("q"),
-                        F.when(x == "M", "|").otherwise(" ").alias("m"),
-                        F.when(x == "V", "-").otherwise(F.substring(F.col("b"), t["j"], F.lit(1))).alias("s"),
-                        F.when(x == "M", scores.match).when(x == "X", scores.mismatch).when(x == t["last"], -scores.gap_ext).otherwise(-scores.gap_ext - scores.gap_open).alias("v"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda t: t["out"],
-    )
-    cols = paths.where("end_i >= 0").select(*keys, "score", grown.alias("cells"))
-    n_blocks = F.ceil(F.size("cells") / width).cast("int")
-    cols = cols.where(F.size("cells") > 0).select("*", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
-    part = F.slice("cells", F.col("block") * width + 1, width)
-    head = F.slice(F.col("cells"), F.lit(1), F.least((F.col("block") + 1) * width, F.size("cells")))
-    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x["v"])
-    text = lambda f: F.array_join(F.transform(part, lambda x: x[f]), "")
-    got = cols.select(*keys, F.col("block").cast("long").alias("block"), text("q").alias("query"), text("m").alias("bars"), text("s").alias("subject"), add(part).alias("block_score"), add(head).alias("total_score"), "score", (F.size("cells") <= (F.col("block") + 1) * width).alias("_last"))
+
+    def run(batches):
+        for batch in batches:
+            out, at = [], []
+            for k, r in enumerate(batch.select(["a", "b", "start_i", "start_j", "ops"]).to_pylist()):
+                got = spelled(r["a"], r["b"], r["start_i"], r["start_j"], r["ops"], width, scores)
+                out += got
+                at += [k] * len(got)
+            rows = pa.array(at, pa.int64())
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in (*keys, "score")), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], [*keys, "score", *(c.split()[0] for c in _LINE.split(", "))])
+
+    types = dict(paths.dtypes)
+    rows = paths.where("end_i >= 0").select(*keys, "score", "a", "b", "start_i", "start_j", "ops")
+    got = rows.mapInArrow(run, "".join(f"`{k}` {types[k]}, " for k in keys) + "score long, " + _LINE)
+    w = Window.partitionBy(*keys)
+    got = got.withColumns({"total_score": F.sum("block_score").over(w.orderBy("block")), "_last": F.col("block") == F.max("block").over(w)})
     right = ~F.col("_last") | (F.col("total_score") == F.col("score"))
-    return got.withColumn("total_score", F.when(right, F.col("total_score")).otherwise(F.raise_error(F.lit("report and score differ")))).drop("score", "_last")
+    got = got.withColumn("total_score", F.when(right, F.col("total_score")).otherwise(F.raise_error(F.lit("report and score differ"))))
+    return got.select(*keys, "block", "query", "bars", "subject", "block_score", "total_score")
+
+
+def _text(paths: DataFrame, *keys: str) -> DataFrame:
+    body = F.concat_ws("\n", "query", "bars", "subject")
+    rows = F.array_sort(F.collect_list(F.struct("block", body.alias("t"))))
+    return lines(paths, *keys).groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n\n").alias("value"))
+
+
+def _summary(paths: DataFrame, *keys: str) -> DataFrame:
+    got = with_stats(paths)
+    part = lambda name, *cols: F.concat(F.lit(f"{name}: "), F.concat_ws(" ", *[F.col(c).cast("string") for c in cols]))
+    body = F.concat_ws("\n", part("score", "score"), part("sequence 0", "start_i", "end_i"), part("sequence 1", "start_j", "end_j"), part("matches, mismatches", "matches", "mismatches"), part("gaps opened, extended", "gap_openings", "gap_extensions"))
+    return got.select(*keys, F.when(F.col("end_i") >= 0, body).otherwise("no alignment").alias("value"))
+
+
+def _steps(paths: DataFrame, *keys: str) -> DataFrame:
+    runs = F.regexp_extract_all("ops", F.lit("(M+|X+|V+|H+)"), F.lit(1))
+    return paths.select(*keys, F.array_join(F.transform(runs, lambda x: F.concat(F.char_length(x).cast("string"), F.left(x, F.lit(1)))), "").alias("value"))
+
+
+#: The ways to render paths: name, what it is, and a function of (paths, *keys) that gives (keys, value).
+FORMATS = {
+    "text": ("blocks of both sequences and what they have in common", _text),
+    "summary": ("score, ends and counts", _summary),
+    "steps": ("run lengths of the operations", _steps),
+}
+
+
+def render(paths: DataFrame, form: str, *keys: str) -> DataFrame:
+    """(keys, value): each path as text in one of FORMATS; "text" needs a and b and has no row for an empty path."""
+    if form not in FORMATS:
+        raise ValueError(f"formats are {', '.join(FORMATS)}")
+    return FORMATS[form][1](paths, *keys)
 
 
 def block_scores(pairs: DataFrame, height: int, width: int, edges: Edges = Edges(), scores: Scores = Scores()) -> DataFrame:
@@ -56,8 +103,6 @@ def block_scores(pairs: DataFrame, height: int, width: int, edges: Edges = Edges
     keys = [c for c in pairs.columns if c not in ("a", "b")]
 
     def run(batches):
-        import numpy as np
-
         from helixweave.functions.scoring import INF, border
 
         for batch in batches:

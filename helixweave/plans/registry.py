@@ -143,6 +143,13 @@ def grid_blocks(spark, sf_dir):
     return _named(grid.blocks(p, 64, 48, "aid", "bid"))
 
 
+@query(f"WITH b AS ({_BLOCK_SQL}) SELECT aid, bid, CAST(row_number() OVER (PARTITION BY aid, bid ORDER BY i0, j0) - 1 AS INTEGER) AS place, i0 + aid AS i0, j0 + bid AS j0, i1 + aid AS i1, j1 + bid AS j1, i1 - i0 AS height, j1 - j0 AS width, (i1 - i0) * (j1 - j0) AS area, i1 = i0 OR j1 = j0 AS flat FROM b")
+def partition_order(spark, sf_dir):
+    """Blocks in the order of their dependencies, moved by an offset, with their areas."""
+    placed = grid.row_major(grid_blocks(spark, sf_dir), "aid", "bid")
+    return grid.shifted(placed.select("aid", "bid", "place", "i0", "j0", "i1", "j1"), "aid", "bid")
+
+
 @query(f"SELECT aid, bid, k AS step, greatest(1, (n * m * 8 // 5000 + 1) >> (k // 2)) AS rows_between FROM (SELECT aid, bid, length(a) AS n, length(b) AS m FROM ({_ITEM_PAIRS})), (SELECT unnest(range(0, 8)) AS k)")
 def flush_schedule(spark, sf_dir):
     sizes = item_pairs(spark, sf_dir)
@@ -307,6 +314,41 @@ def merge_midpoints(spark, sf_dir):
     return crosspoints.merge(crosspoints.from_paths(p, 32, "aid", "bid"), crosspoints.from_paths(p, 16, "aid", "bid"), "aid", "bid")
 
 
+@query(_path_sql(f"{_POINTS} FROM point", dp_sql.points_cte(16)))
+def crosspoint_concat(spark, sf_dir):
+    """Lists cut in two at their middle, as neighbours hand them on, and put together again without the shared point."""
+    points = crosspoint_list(spark, sf_dir)
+    w = Window.partitionBy("aid", "bid")
+    cut = points.withColumn("rank", F.row_number().over(w.orderBy("ord"))).withColumn("middle", F.floor((F.count("*").over(w) + 1) / 2))
+    middle = F.max(F.when(F.col("rank") == F.col("middle"), F.col("ord"))).over(w)
+    cut = cut.withColumn("at", middle)
+    # a neighbour counts from its own start
+    right = cut.where("ord >= at").withColumn("ord", F.col("ord") - F.col("at"))
+    return crosspoints.concat(cut.where("ord <= at"), right, "aid", "bid")
+
+
+@query(_path_sql("SELECT aid, bid, concat('score: ', score, chr(10), 'sequence 0: ', start_i, ' ', end_i, chr(10), 'sequence 1: ', start_j, ' ', end_j, chr(10), 'matches, mismatches: ', matches, ' ', mismatches, chr(10), 'gaps opened, extended: ', opened, ' ', extended) AS summary, steps FROM path JOIN st USING (aid, bid) JOIN sp USING (aid, bid)",
+  "st AS (SELECT aid, bid, count(*) FILTER (op = 'M') AS matches, count(*) FILTER (op = 'X') AS mismatches, count(*) FILTER (op IN ('H', 'V') AND value = -5) AS opened, count(*) FILTER (op IN ('H', 'V')) AS extended FROM step GROUP BY aid, bid)",
+  "rn AS (SELECT aid, bid, op, min(k) AS k, count(*) AS n FROM step GROUP BY aid, bid, op, run)", "sp AS (SELECT aid, bid, string_agg(concat(n, op), '' ORDER BY k) AS steps FROM rn GROUP BY aid, bid)"))
+def aln_formats(spark, sf_dir):
+    """Non-empty paths in two of the registered formats."""
+    p = _paths(spark, sf_dir).where("end_i >= 0")
+    form = lambda f: report.render(p, f, "aid", "bid").withColumnRenamed("value", f)
+    return form("summary").join(form("steps"), ["aid", "bid"])
+
+
+_TURNS = f"SELECT conv_id AS aid, turn AS bid, {_CLEAN.format('text')} AS a, {_CLEAN.format('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)')} AS b FROM conversations WHERE text IS NOT NULL"
+
+
+@query(f"SELECT aid AS conv_id, bid AS turn, score FROM ({_dp(f'SELECT * FROM ({_TURNS}) WHERE b IS NOT NULL', Edges())})")
+def turn_echo(spark, sf_dir):
+    """Best local score of every turn of a conversation against the turn before it."""
+    c = _table(spark, sf_dir, "conversations").where("text is not null")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    both = c.select("conv_id", "turn", pairs.clean(F.col("text")).alias("a"), pairs.clean(before).alias("b")).where("b is not null")
+    return align.align_score(align.balanced(both)).select("conv_id", "turn", "score")
+
+
 # ---------------------------------------------------------------- blocks
 
 
