@@ -328,6 +328,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
             for batch in steps(whole, "text", STEP):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), binary(shingle_sets(*raw(batch.column("text")), n))], [*(c for c in batch.schema.names if c != "text"), "shingles"])
 
+    def fresh(batches):
+        # the join brings an id's rows one after another: of rows that repeat one set goes on
+        now, known = None, set()
+        for batch in sets(batches):
+            keep = []
+            for k, (b, d, t, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "tile", "shingles")), strict=True)):
+                if d != now:
+                    now, known = d, set()
+                key = b, t, hashlib.blake2b(x, digest_size=16).digest()
+                if key not in known:
+                    known.add(key)
+                    keep.append(k)
+            yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
     def seen(batches):
         for batch in sets(batches):
             flat = np.concatenate([np.frombuffer(x, U64) for x in batch.column("shingles").to_pylist()] or [np.empty(0, U64)])
@@ -362,7 +376,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
     sizes = family.groupBy("component").agg(F.count("*").alias("members"))
     placed = _tiled(family.select(F.col("node").alias("doc_id"), "component"), sizes, "component")
     # a text moves once, to its id; only members go on, as sets. No size of table changes this plan.
-    wanted = rows.join(placed.hint("merge"), "doc_id").select("bucket", "doc_id", "tile", "text").mapInArrow(sets, "bucket long, doc_id long, tile int, shingles binary")
+    wanted = rows.join(placed.hint("merge"), "doc_id").select("bucket", "doc_id", "tile", "text").mapInArrow(fresh, "bucket long, doc_id long, tile int, shingles binary")
     links = wanted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_links(num, den), "a long, b long")
     # an id with several texts belongs to the class of each
     several = some.select("doc_id", "name").distinct().groupBy("doc_id").agg(F.collect_list("name").alias("names")).where(F.size("names") > 1)

@@ -5,7 +5,8 @@ The histogram of sequence lengths has at most max_len entries whatever the corpu
 programming over it picks the bucket boundaries of least padding. In each bucket sequences form
 batches of at most ``budget`` tokens with padding. A sequence names the words of the text that it holds
 (first_word, n_words) and whether the end symbol follows them, so that its tokens can be cut out. Places in a bucket come from counts of (bucket,
-shard) and numbers inside each shard, so no bucket is ever sorted in one task.
+shard) and numbers inside each shard, so no bucket is ever sorted in one task; the number of shards follows from the
+number of sequences, so places do not depend on the session's partitions.
 
 Edge cases: a null or empty text is one sequence of the end symbol alone; a text of any length is cut,
 never truncated; a bucket's last batch may be smaller; fewer lengths than buckets give one bucket a
@@ -19,9 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts
+from .common import cut
 
 MAX_LEN, BUCKETS, BUDGET = 2048, 16, 16_384
+#: Sequences for each shard, about, until there are MAX_SHARDS of them.
+SHARD_ROWS, MAX_SHARDS = 256, 1 << 20
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -66,7 +69,8 @@ def pack(spark: SparkSession, docs: DataFrame, max_len: int = MAX_LEN, buckets:
     bucket = F.lit(tops[-1])
     for e in reversed(tops[:-1]):
         bucket = F.when(F.col("n_tokens") <= e, F.lit(e)).otherwise(bucket)
-    shards = 4 * n_parts(spark, rows)
+    # by the number of sequences alone, so that places do not depend on the session
+    shards = max(1, min(MAX_SHARDS, sum(r[1] for r in histogram) // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).cast("int")
     rows = seqs.withColumn("bucket_len", bucket.cast("long")).withColumn("shard", shard)
     # buckets times shards counts; their running sums are the first places of the shards

@@ -140,6 +140,15 @@ def test_jaccard_components_equal_brute_force(spark, docs, nothing, n, percent):
     assert ngramjoin.jaccard_components(spark, nothing, n, percent).count() == 0
 
 
+def test_jaccard_of_many_repeated_rows(spark):
+    base = prose(60)
+    near = base + " tail"
+    data = [(1, base)] * 3000 + [(2, near)] * 2 + [(3, prose(50))] * 500 + [(2, prose(45))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    got = Counter((r.doc_id, r.component_id) for r in ngramjoin.jaccard_components(spark, df).collect())
+    assert got == {(1, 1): 3000, (2, 1): 3, (3, 3): 500}
+
+
 def test_jaccard_ids_with_several_texts_are_one_node(spark):
     rng = random.Random(12)
     a, b, c, d = (prose(60, rng) for _ in range(4))
@@ -298,6 +307,19 @@ def test_packing(spark, docs, nothing):
     assert packing.pack(spark, nothing).count() == 0
 
 
+def test_packing_places_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k, "w " * rng.randrange(1, 60)) for k in range(1500)], "doc_id long, text string")
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, packing.pack(spark, df.repartition(n)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1] and len(got[0]) == 1500
+
+
 def test_boundaries_are_optimal():
     from itertools import combinations
 
