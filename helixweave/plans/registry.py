@@ -337,10 +337,7 @@ def aln_formats(spark, sf_dir):
     return form("summary").join(form("steps"), ["aid", "bid"])
 
 
-_TURNS = f"SELECT conv_id AS aid, turn AS bid, {_CLEAN.format('text')} AS a, {_CLEAN.format('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)')} AS b FROM conversations WHERE text IS NOT NULL"
-
-
-@query(f"SELECT aid AS conv_id, bid AS turn, score FROM ({_dp(f'SELECT * FROM ({_TURNS}) WHERE b IS NOT NULL', Edges())})")
+@query()
 def turn_echo(spark, sf_dir):
     """Best local score of every turn of a conversation against the turn before it."""
     c = _table(spark, sf_dir, "conversations").where("text is not null")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helixweave.functions import kernels as K
 from helixweave.functions import linear, table
 from helixweave.functions.scoring import Edges
-from helixweave.operators import align, meet, rows, wavefront
+from helixweave.operators import align, crosspoints, meet, report, rows, wavefront
 from helixweave.sources import cells, fasta, formats, tagged
 from helixweave.streaming import columns
 
@@ -253,3 +253,34 @@ def test_tagged_values():
     for wrong in (b"CGFX" + data[4:], data[:4] + b"\1" + data[5:], data.replace(b"\1\0\0\0\4a", b"\7\0\0\0\4a")):
         with pytest.raises(ValueError):
             tagged.fields(wrong)
+
+
+def test_turns_against_the_turn_before(spark, tmp_path):
+    from helixweave.plans import registry
+
+    data = [(1, 0, "user", "acgt acgt"), (1, 1, "bot", "xx ACGTAC"), (1, 2, "user", None), (1, 3, "user", "acg"), (2, 0, "user", "only"), (3, 5, "a", ""), (3, 6, "b", "q")]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.score for r in registry.turn_echo(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): 6, (1, 3): 3, (3, 6): 0}
+
+
+def test_lists_of_neighbours_must_meet(spark):
+    kind = "aln long, ord int, type int, i long, j long, score long"
+    left = spark.createDataFrame([(1, 0, 0, 0, 0, 0), (1, 4, 0, 4, 4, 4)], kind)
+    right = [(1, 0, 0, 4, 4, 4), (1, 3, 1, 4, 7, -5)]
+    got = crosspoints.concat(left, spark.createDataFrame(right, kind), "aln").orderBy("ord").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, 0, 0, 0), (1, 4, 0, 4, 4, 4), (1, 7, 1, 4, 7, -5)]
+    with pytest.raises(Exception, match="do not meet"):
+        crosspoints.concat(left, spark.createDataFrame([(1, 0, 0, 5, 4, 4)], kind), "aln").collect()
+
+
+def test_renderers(spark):
+    p = align.align_path(spark.createDataFrame([(1, "ACGTTTACGT", "ACGTACGT"), (2, "A", "C")], "k long, a string, b string"), Edges("+", "+"))
+    both = p.join(spark.createDataFrame([(1, "ACGTTTACGT", "ACGTACGT"), (2, "A", "C")], "k long, a string, b string"), "k")
+    steps = {r.k: r.value for r in report.render(p, "steps", "k").collect()}
+    assert steps[2] == "1X" and sum(int(x) for x in steps[1].replace("M", " ").replace("V", " ").split()) == 10
+    text = {r.k: r.value.split("\n") for r in report.render(both, "text", "k").collect()}
+    assert text[1][0].replace("-", "") == "ACGTTTACGT" and text[1][2].replace("-", "") == "ACGTACGT" and text[1][1].count("|") == 8
+    assert {r.k: r.value.split("\n")[0] for r in report.render(p, "summary", "k").collect()} == {1: "score: 1", 2: "score: -3"}
+    with pytest.raises(ValueError):
+        report.render(p, "pdf", "k")
