@@ -3,9 +3,11 @@
 A forward pass keeps every ``every``-th row of each pair's matrix, cut into pieces of ``width`` columns. The way
 back is a table of points, one for each pair: an as-of lookup finds the saved row that a point's strip reaches up
 to, and the strip's matrix is run in reverse from the point, piece by piece from right to left, until a reverse
-border and the saved one add up to the goal; what lies further left is never computed. Each round moves all pairs
-one strip up, so there are as many jobs as rows that the longest path crosses, whatever the number of pairs and
-of blocks. A strip's task holds its symbols and one piece at a time.
+border and the saved one add up to the goal; what lies further left is never computed, and what no path with this
+score can reach is not even read. Each round moves all pairs one strip up, so there are as many jobs as rows that the
+longest path crosses, whatever the number of pairs and of blocks. Sequences come in chunks (aln, no, bases) of
+``width`` symbols: a strip's task holds its own symbols and one piece at a time. One huge pair is a table of one
+pair, whose saved rows are the borders that a wavefront has written (``rows_of``).
 
 The points cut the paths into partitions. ``refine`` splits partitions that are too large at rows of their own,
 turning the matrix from round to round; ``solved`` aligns what is left, each partition by itself.
@@ -23,7 +25,9 @@ from helixweave.functions import linear
 from helixweave.functions.scoring import INF, Edges, Scores, border
 
 from .rows import asof_row
+from .wavefront import _BLOCK, best_of
 
+_PART = "aln long, i0 long, j0 long, i1 long, j1 long, start_type int, end_type int, a string, b string"
 _POINT = "aln long, ord int, i long, j long, type int, score long, done boolean, cells long"
 
 
@@ -152,19 +156,43 @@ def _walk(width: int, edges: Edges, sc: Scores):
     return run
 
 
-def trace_points(spark: SparkSession, pairs: DataFrame, saved: DataFrame, width: int, path: str, min_dist: int = 128, edges: Edges = Edges(), scores: Scores = Scores()) -> DataFrame:
+def chunked(pairs: DataFrame, column: str, width: int) -> DataFrame:
+    """(aln, no, bases): the sequences of one side in chunks of width symbols."""
+    return pairs.select("aln", F.posexplode(F.regexp_extract_all(column, F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1))).alias("no", "bases"))
+
+
+def rows_of(spark: SparkSession, path: str, tile: int) -> DataFrame:
+    """What save_rows gives, for the one pair (aln 0) whose wavefront was written to a path: a row for each row of blocks."""
+    blocks = spark.read.schema(_BLOCK).option("basePath", path).parquet(f"{path}/diagonal=*")
+    none = F.lit(None).cast("long")
+    aln = F.lit(0).cast("long").alias("aln")
+    rows = blocks.select(aln, ((F.col("by") + 1) * tile).cast("long").alias("row_id"), F.col("bx").alias("no"), F.col("row_h").alias("h"), F.col("row_f").alias("g"), none.alias("score"), none.alias("end_i"), none.alias("end_j"))
+    top = best_of(blocks).where("score > 0")
+    return rows.unionByName(top.select(aln, none.alias("row_id"), F.lit(None).cast("int").alias("no"), F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("g"), "score", F.col("i").alias("end_i"), F.col("j").alias("end_j")))
+
+
+def _spelled(spans: DataFrame, chunks: DataFrame, low: str, high: str, width: int, name: str, *keys: str) -> DataFrame:
+    """(keys, name): the symbols low .. high of each span (keys, aln, low, high), put together from chunks."""
+    nos = F.explode(F.sequence(F.floor(F.col(low) / width).cast("int"), F.floor((F.col(high) - 1) / width).cast("int")))
+    parts = spans.select("aln", *[k for k in keys if k != "aln"], low, high, nos.alias("no")).join(chunks, ["aln", "no"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "bases"))), lambda x: x["bases"]), "")
+    got = parts.groupBy(*keys, low, high).agg(whole.alias(name))
+    return got.select(*keys, F.expr(f"substring({name}, CAST({low} % {width} + 1 AS INT), CAST({high} - {low} AS INT))").alias(name))
+
+
+def trace_points(spark: SparkSession, a: DataFrame, b: DataFrame, saved: DataFrame, width: int, path: str, min_dist: int = 128, edges: Edges = Edges(), scores: Scores = Scores()) -> DataFrame:
     """(aln, ord, i, j, type, score, done, cells): the points of each path, the end first; cells: computed on the way to it.
 
-    saved: what save_rows gave, written (it is read every round); path: a folder that all executors share.
+    a, b: chunks of the sequences; saved: what save_rows gave for the same width. All three are read every round and
+    should be written tables. path: a folder that all executors share.
     """
-    width_ = F.lit(width)
     ends = saved.where("row_id is null and end_i >= 0")
     first = ends.select("aln", F.lit(0).alias("ord"), F.col("end_i").alias("i"), F.col("end_j").alias("j"), F.lit(0).alias("type"), "score", ((F.col("end_i") == 0) & F.lit(edges.free_row) | (F.col("end_j") == 0) & F.lit(edges.free_column) | (F.col("end_i") + F.col("end_j") == 0)).alias("done"), F.lit(0).cast("long").alias("cells"))
     first.write.parquet(f"{path}/points/round=0")
     rows = saved.where("row_id is not null")
     ids = rows.where("no = 0").select(F.col("aln").alias("seq_id"), "row_id")
-    parts = F.posexplode(F.regexp_extract_all("b", F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1))).alias("no", "bases")
     k, names = 0, [c.split()[0] for c in _POINT.split(", ")]
+    keep = ["aln", "ord", "i", "j", "type", "score", "row"]
     while True:
         at = spark.read.schema(_POINT).parquet(f"{path}/points/round={k}").where("not done")
         if not at.limit(1).count():
@@ -173,26 +201,33 @@ def trace_points(spark: SparkSession, pairs: DataFrame, saved: DataFrame, width:
         flat = at.where("i = 0 or j = 0").select("aln", (F.col("ord") + 1).alias("ord"), *[F.lit(0).cast(t).alias(c) for c, t in (("i", "long"), ("j", "long"), ("type", "int"), ("score", "long"))], F.lit(True).alias("done"), F.lit(0).cast("long").alias("cells"))
         at = at.where("i > 0 and j > 0")
         row = asof_row(at.select(F.col("aln").alias("seq_id"), "i"), ids, min_dist).select(F.col("seq_id").alias("aln"), F.col("row_id").alias("row"))
-        at = at.join(row, "aln")
-        strip = F.expr("substring(a, CAST(row + 1 AS INT), CAST(i - row AS INT))")
-        heads = at.join(pairs.select("aln", "a"), "aln").select("aln", "ord", "i", "j", "type", "score", "row", strip.alias("strip"), F.lit(None).cast("int").alias("no"), F.lit(None).cast("string").alias("bases"), F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("g"))
-        keep = ["aln", "ord", "i", "j", "type", "score", "row"]
-        pieces = at.join(pairs.select("aln", "b"), "aln").select(*keep, parts).where(F.col("no") * width_ < F.col("j"))
+        at = at.join(row, "aln").select(*keep)
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("no", "int"), ("bases", "string"), ("h", "binary"), ("g", "binary"))]
+        heads = _spelled(at, a, "row", "i", width, "strip", "aln").join(at, "aln").select(*keep, "strip", *none)
+        # a saved row holds at most a match for each of its rows: more columns than this cost more than the rest can gain
+        least = F.col("j") - (F.col("i") - F.col("row")) - F.floor((F.col("i") * scores.match - F.col("score")) / scores.gap_ext) - 1
+        near = (F.col("no") * F.lit(width) < F.col("j")) & ((F.col("no") + 1) * F.lit(width) >= F.col("least"))
+        pieces = at.withColumn("least", least).join(b, "aln").where(near).drop("least")
         borders = rows.select("aln", F.col("row_id").alias("row"), "no", "h", "g")
-        pieces = pieces.join(borders, ["aln", "row", "no"], "left").select("aln", "ord", "i", "j", "type", "score", "row", F.lit(None).cast("string").alias("strip"), "no", "bases", "h", "g")
+        pieces = pieces.join(borders, ["aln", "row", "no"], "left").select(*keep, F.lit(None).cast("string").alias("strip"), "no", "bases", "h", "g")
         tasks = heads.unionByName(pieces).repartition("aln").sortWithinPartitions("aln", F.col("no").desc_nulls_first())
         tasks.mapInArrow(_walk(width, edges, scores), _POINT).unionByName(flat).select(*names).write.parquet(f"{path}/points/round={k + 1}")
         k += 1
     return spark.read.schema(_POINT).parquet(*[f"{path}/points/round={x}" for x in range(k + 1)])
 
 
-def partitions(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(aln, i0, j0, i1, j1, start_type, end_type, a, b) between consecutive points, with the symbols they span."""
+def partitions(points: DataFrame, a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """(aln, i0, j0, i1, j1, start_type, end_type, a, b) between consecutive points, with the symbols they span.
+
+    Mere gaps carry no symbols (null): their lengths say all.
+    """
     now = points.select("aln", "ord", F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("type").alias("end_type"))
     above = points.select("aln", (F.col("ord") - 1).alias("ord"), F.col("i").alias("i0"), F.col("j").alias("j0"), F.col("type").alias("start_type"))
     both = now.join(above, ["aln", "ord"]).where("i1 > i0 or j1 > j0")
-    part = lambda t, x: F.expr(f"substring({t}, CAST({x}0 + 1 AS INT), CAST({x}1 - {x}0 AS INT))").alias(t)
-    return both.join(pairs, "aln").select("aln", "i0", "j0", "i1", "j1", "start_type", "end_type", part("a", "i"), part("b", "j"))
+    full = both.where("i1 > i0 and j1 > j0")
+    key = ["aln", "ord"]
+    got = both.join(_spelled(full, a, "i0", "i1", width, "a", *key), key, "left").join(_spelled(full, b, "j0", "j1", width, "b", *key), key, "left")
+    return got.select(*[c.split()[0] for c in _PART.split(", ")])
 
 
 def cut_points(a: np.ndarray, b: np.ndarray, start: int, end: int, rows: list[int], sc: Scores = Scores()) -> list[tuple[int, int, int]]:
@@ -215,7 +250,6 @@ def cut_points(a: np.ndarray, b: np.ndarray, start: int, end: int, rows: list[in
     return out[::-1]
 
 
-_PART = "aln long, i0 long, j0 long, i1 long, j1 long, start_type int, end_type int, a string, b string"
 
 
 def _split(bound: int, least: int, turned: bool, sc: Scores):
@@ -228,7 +262,7 @@ def _split(bound: int, least: int, turned: bool, sc: Scores):
             for r in batch.to_pylist():
                 n, m = r["i1"] - r["i0"], r["j1"] - r["j0"]
                 high = m if turned else n
-                if not n or not m or max(n, m) <= bound or high <= least:
+                if not n or not m or max(n, m) <= bound or high <= least:  # a mere gap, or small enough
                     out.append([r[c] for c in names])
                     continue
                 x, y, s, e = (r["b"], r["a"], linear.SWAP[r["start_type"]], linear.SWAP[r["end_type"]]) if turned else (r["a"], r["b"], r["start_type"], r["end_type"])
@@ -266,21 +300,26 @@ def refine(spark: SparkSession, parts: DataFrame, bound: int, path: str, rounds:
 
 
 def solved(parts: DataFrame, scores: Scores = Scores()) -> DataFrame:
-    """(aln, i0, j0, i1, j1, ops, score): each partition's operations and score, in parallel."""
+    """(aln, i0, j0, i1, j1, ops, score): each partition's operations and score, in parallel; ops of a mere gap are null."""
+
+    def value(r, ops) -> int:
+        if ops is not None:
+            return linear.score_of(ops, scores, r["start_type"])
+        down, right = r["i1"] - r["i0"], r["j1"] - r["j0"]
+        return -scores.gap_ext * (down + right) - (0 if r["start_type"] == (1 if down else 2) else scores.gap_open)
 
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            ops = [linear.path(K.codes(r["a"]), K.codes(r["b"]), r["start_type"], r["end_type"], scores) for r in rows]
-            value = [linear.score_of(o, scores, r["start_type"]) for o, r in zip(ops, rows, strict=True)]
+            ops = [None if r["a"] is None or r["b"] is None else linear.path(K.codes(r["a"]), K.codes(r["b"]), r["start_type"], r["end_type"], scores) for r in rows]
             keep = ["aln", "i0", "j0", "i1", "j1"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ops, pa.string()), pa.array(value, pa.int64())], [*keep, "ops", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ops, pa.string()), pa.array(map(value, rows, ops), pa.int64())], [*keep, "ops", "score"])
 
     return parts.mapInArrow(run, "aln long, i0 long, j0 long, i1 long, j1 long, ops string, score long")
 
 
 def joined(pieces: DataFrame) -> DataFrame:
     """(aln, start_i, start_j, end_i, end_j, ops, path_score): pieces of each path put together, in order."""
-    row = F.struct("i0", "j0", "ops")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["ops"]), "")
+    ops = F.coalesce("ops", F.expr("concat(repeat('V', CAST(i1 - i0 AS INT)), repeat('H', CAST(j1 - j0 AS INT)))"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i0", "j0", ops.alias("ops")))), lambda x: x["ops"]), "")
     return pieces.groupBy("aln").agg((F.min("i0") + 1).alias("start_i"), (F.min("j0") + 1).alias("start_j"), F.max("i1").alias("end_i"), F.max("j1").alias("end_j"), whole.alias("ops"), F.sum("score").alias("path_score"))

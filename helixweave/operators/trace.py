@@ -1,127 +1,13 @@
-"""The full alignment of one large pair, from the borders that a wavefront has saved.
-
-From the end of the best alignment the path is followed backwards, block by block. In each block the
-matrix is run in reverse from the point where the path leaves it; where reverse and saved forward scores
-add up to the path's score, the path enters the block (or starts, in local alignments). One block is held
-at a time, in linear memory, and the points found so far are on disk. The pieces between the points are
-independent rows and are solved in parallel, again in linear memory.
-"""
+"""Paths of pairs in linear memory, one pair a row."""
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from helixweave.functions import kernels as K
 from helixweave.functions import linear
-from helixweave.functions.scoring import INF, Edges, Scores, border
-
-from .wavefront import _BLOCK, chunks
-
-_PIECE = "ord int, i0 long, j0 long, i1 long, j1 long, start_type int, end_type int, goal long, done boolean, a string, b string"
-_TYPES = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
-
-
-def enter(a: str, b: str, top, left, at: tuple, i0: int, j0: int, edges: Edges, sc: Scores) -> tuple:
-    """Where the path to ``at`` (i, j, state, score) enters the block at (i0, j0): (i, j, state, score, whether it starts there).
-
-    top: H, F of the row above from j0 on, left: H, E of the column before from i0 on; None at the matrix's edge.
-    """
-    i, j, state, goal = at
-    x, y = K.codes(a)[: i - i0][::-1], K.codes(b)[: j - j0][::-1]
-    n, m = len(x), len(y)
-    first, side = linear.first_borders(n, m, state, True, sc)
-    h, f, rh, re, best = K.block(x, y, first, np.full(m + 1, -INF, np.int32), side, np.full(n + 1, -INF, np.int32), False, sc)
-    f[0], re[0] = side[-1], first[-1]
-    if edges.local and best[0] == goal:
-        return i - best[1], j - best[2], 0, 0, True
-    for place, saved, whole, gap, kind in (("top", top, h, f, 1), ("left", left, rh, re, 2)):
-        size, from_ = (m, j0) if kind == 1 else (n, i0)
-        if saved is None:
-            free = edges.free_row if kind == 1 else edges.free_column
-            line = border("zeroes" if free else "gaps", from_ + size, sc, from_).astype(np.int64)
-            open_ = np.full(size + 1, -INF, np.int64)
-        else:
-            line, open_ = (v[: size + 1].astype(np.int64) for v in saved)
-        fits = line + whole[::-1] == goal
-        through = open_ + gap[::-1] + sc.gap_open == goal
-        found = np.flatnonzero(fits | through)
-        if len(found):
-            k = int(found[0])
-            now = 0 if fits[k] else kind
-            point = (i0, j0 + k) if place == "top" else (i0 + k, j0)
-            return *point, now, int(line[k] if now == 0 else open_[k]), False
-    raise ValueError(f"the saved borders hold no path to {at}")
-
-
-def pieces(spark: SparkSession, seq0: str | DataFrame, seq1: str | DataFrame, end: tuple[int, int, int], tile: int, path: str, edges: Edges = Edges(), scores: Scores = Scores()) -> DataFrame:
-    """(ord, i0, j0, i1, j1, start_type, end_type, goal, a, b): the path to ``end`` (score, i, j), last piece first.
-
-    path: where align_large has saved the blocks of the same pair, tile and edges.
-    """
-    a, b = chunks(spark, seq0, tile), chunks(spark, seq1, tile)
-    schema = spark.createDataFrame([], _BLOCK).schema
-    score, i, j = end
-    at, k = (i, j, 0, score), 0
-    while i >= 0 and (at[0] or at[1]):
-        i, j = at[:2]
-        if not i or not j:
-            # along the matrix's edge: skipped for nothing, or one gap
-            if not (edges.free_row if not i else edges.free_column):
-                # its length says all: no symbols are read
-                row = (k, 0, 0, i, j, 0, at[2], at[3], True, None, None)
-                spark.createDataFrame([row], _PIECE).coalesce(1).write.mode("overwrite").parquet(f"{path}/trace/step={k}")
-                k += 1
-            break
-        by, bx = (i - 1) // tile, (j - 1) // tile
-        block = lambda y, x: spark.read.schema(schema).parquet(f"{path}/diagonal={y + x}").where((F.col("by") == y) & (F.col("bx") == x))
-        none = F.lit(None).cast("binary")
-        inputs = a.where(F.col("no") == by).select(F.lit("a").alias("what"), "bases", none.alias("h"), none.alias("g")).union(b.where(F.col("no") == bx).select(F.lit("b"), "bases", none, none))
-        if by:
-            inputs = inputs.union(block(by - 1, bx).select(F.lit("top"), F.lit(None).cast("string"), "row_h", "row_f"))
-        if bx:
-            inputs = inputs.union(block(by, bx - 1).select(F.lit("left"), F.lit(None).cast("string"), "col_h", "col_e"))
-
-        def step(batches, at=at, i0=by * tile, j0=bx * tile, k=k):
-            got = {r["what"]: r for batch in batches for r in batch.to_pylist()}
-            if not got:
-                return
-            lines = [None if w not in got else tuple(np.frombuffer(got[w][c], np.int32) for c in "hg") for w in ("top", "left")]
-            y, x, state, goal, starts = enter(got["a"]["bases"], got["b"]["bases"], *lines, at, i0, j0, edges, scores)
-            row = (k, y, x, at[0], at[1], state, at[2], goal, starts, got["a"]["bases"][y - i0 : at[0] - i0], got["b"]["bases"][x - j0 : at[1] - j0])
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], [c.split()[0] for c in _PIECE.split(", ")])
-
-        inputs.coalesce(1).mapInArrow(step, _PIECE).write.mode("overwrite").parquet(f"{path}/trace/step={k}")
-        r = spark.read.schema(_PIECE).parquet(f"{path}/trace/step={k}").select("i0", "j0", "start_type", "goal", "done").first()
-        at, k = (r[0], r[1], r[2], r[3]), k + 1
-        if r[4]:
-            break
-    if not k:
-        return spark.createDataFrame([], _PIECE).drop("done")
-    return spark.read.schema(_PIECE).parquet(*[f"{path}/trace/step={s}" for s in range(k)]).drop("done")
-
-
-def solved(parts: DataFrame, scores: Scores = Scores()) -> DataFrame:
-    """(ord, i0, j0, i1, j1, ops, score): the operations and the score of each piece, in parallel.
-
-    A piece without symbols is one gap along the matrix's edge; its ops are null, since its length says all.
-    """
-
-    def gap(r) -> int:
-        return -scores.gap_ext * (r["i1"] - r["i0"] + r["j1"] - r["j0"]) - scores.gap_open
-
-    def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            ops = [None if r["a"] is None else linear.path(K.codes(r["a"]), K.codes(r["b"]), r["start_type"], r["end_type"], scores) for r in rows]
-            value = [gap(r) if o is None else linear.score_of(o, scores, r["start_type"]) for o, r in zip(ops, rows, strict=True)]
-            keep = ["ord", "i0", "j0", "i1", "j1"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ops, pa.string()), pa.array(value, pa.int64())], [*keep, "ops", "score"])
-
-    n = parts.sparkSession.sparkContext.defaultParallelism
-    return parts.repartition(n).mapInArrow(run, "ord int, i0 long, j0 long, i1 long, j1 long, ops string, score long")
+from helixweave.functions.scoring import Scores
 
 
 def linear_paths(pairs: DataFrame, scores: Scores = Scores()) -> DataFrame:

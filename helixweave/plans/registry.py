@@ -462,12 +462,15 @@ _EVERY, _WIDTH, _BUDGET = 32, 48, 16384
 
 
 def _strips(spark, sf_dir):
-    """(pairs, points, kept rows, folder): the way back of all item pairs, from rows that keep a budget of bytes each."""
+    """(pairs, points, kept rows, folder, partitions): the way back of all item pairs, from rows that keep a budget of bytes each."""
     path = work_dir(spark, "strips")
     key = (F.col("aid") * (1 << 20) + F.col("bid")).alias("aln")
     # each round reads the pairs again
     _item_pairs(spark, sf_dir).select(key, "aid", "bid", "a", "b").write.parquet(f"{path}/pairs")
     p = spark.read.parquet(f"{path}/pairs")
+    for side in "ab":
+        strips.chunked(p, side, _WIDTH).write.parquet(f"{path}/chunks-{side}")
+    both = [spark.read.parquet(f"{path}/chunks-{side}") for side in "ab"]
     strips.save_rows(p, _EVERY, _WIDTH).write.parquet(f"{path}/saved")
     saved = spark.read.parquet(f"{path}/saved")
     size = p.select("aln", ((F.char_length("b") + 1) * 8).cast("long").alias("bytes"))
@@ -475,7 +478,8 @@ def _strips(spark, sf_dir):
     kept.select("aln", "row_id", "bytes", "thinned").write.parquet(f"{path}/kept")
     kept = spark.read.parquet(f"{path}/kept")
     thin = saved.where("row_id is null").unionByName(saved.join(kept.select("aln", "row_id"), ["aln", "row_id"], "left_semi"))
-    return p, strips.trace_points(spark, p, thin, _WIDTH, path, 16), kept, path
+    points = strips.trace_points(spark, *both, thin, _WIDTH, path, 16)
+    return p, points, kept, path, strips.partitions(points, *both, _WIDTH)
 
 
 _STRIPS = f"WITH r AS ({_dp(_ITEM_PAIRS, Edges())}), s AS (SELECT * FROM r JOIN (SELECT aid, bid, (length(b) + 1) * 8 AS bytes FROM ({_ITEM_PAIRS})) USING (aid, bid)), t AS (SELECT *, greatest(0, (end_i - 1) // {_EVERY}) AS n, {_BUDGET} // bytes AS most FROM s), u AS (SELECT *, list_filter(range(0, 40), lambda k: n // (1 << k) <= most)[1] AS thinned FROM t WHERE score > 0)"
@@ -484,8 +488,8 @@ _STRIPS = f"WITH r AS ({_dp(_ITEM_PAIRS, Edges())}), s AS (SELECT * FROM r JOIN
 @query(f"{_STRIPS} SELECT aid, bid, score, end_i, end_j, score AS path_score, true AS connected FROM u")
 def strip_path(spark, sf_dir):
     """Best local alignments of all item pairs, followed back strip by strip; the pieces' scores add up, and their ends meet."""
-    p, points, _, _ = _strips(spark, sf_dir)
-    return _whole(p, points, strips.solved(strips.partitions(points, p)))
+    p, points, _, _, parts = _strips(spark, sf_dir)
+    return _whole(p, points, strips.solved(parts))
 
 
 def _whole(p, points, pieces):
@@ -510,8 +514,8 @@ def row_budget(spark, sf_dir):
 @query(f"{_STRIPS} SELECT aid, bid, score, end_i, end_j, score AS path_score, true AS connected, true AS small FROM u")
 def refined_path(spark, sf_dir):
     """The same paths after their partitions were split until none is larger than 24 symbols."""
-    p, points, _, path = _strips(spark, sf_dir)
-    parts = strips.refine(spark, strips.partitions(points, p), 24, path, least=8)
+    p, points, _, path, parts = _strips(spark, sf_dir)
+    parts = strips.refine(spark, parts, 24, path, least=8)
     small = parts.groupBy("aln").agg(F.bool_and(F.expr("i1 = i0 or j1 = j0 or greatest(i1 - i0, j1 - j0) <= 24")).alias("small"))
     small = small.join(p.select("aln", "aid", "bid"), "aln").drop("aln")
     return _whole(p, points, strips.solved(parts)).join(small, ["aid", "bid"])
@@ -579,14 +583,16 @@ def large_blocks(spark, sf_dir):
 
 @query(f"SELECT score, end_i, end_j, score AS path_score, true AS connected FROM ({_dp(_LONG_PAIR, Edges())})")
 def large_path(spark, sf_dir):
-    """The best local alignment of one large pair with its path, found backwards through the saved borders."""
-    seqs, path, blocks = _large(spark, sf_dir)
-    end = tuple(wavefront.best_of(blocks).first())
-    pieces = trace.solved(trace.pieces(spark, *seqs, end, _TILE, path))
-    w = Window.orderBy("ord")
-    fits = F.coalesce((F.lag("i0").over(w) == F.col("i1")) & (F.lag("j0").over(w) == F.col("j1")), (F.col("i1") == end[1]) & (F.col("j1") == end[2]))
-    whole = pieces.withColumn("fits", fits).agg(F.sum("score").alias("path_score"), F.bool_and("fits").alias("connected"))
-    return whole.select(*[F.lit(v).cast("long").alias(c) for c, v in zip(("score", "end_i", "end_j"), end, strict=True)], "path_score", "connected")
+    """The best local alignment of one large pair with its path, found backwards by strips between the saved borders."""
+    seqs, path, _ = _large(spark, sf_dir)
+    a, b = (x.select(F.lit(0).cast("long").alias("aln"), "no", "bases") for x in seqs)
+    points = strips.trace_points(spark, a, b, strips.rows_of(spark, path, _TILE), _TILE, path, _TILE // 2)
+    pieces = strips.solved(strips.refine(spark, strips.partitions(points, a, b, _TILE), _TILE, path))
+    end = points.where("ord = 0").select("aln", "score", F.col("i").alias("end_i"), F.col("j").alias("end_j"))
+    w = Window.partitionBy("aln").orderBy(F.desc("i1"), F.desc("j1"))
+    fits = F.coalesce((F.lag("i0").over(w) == F.col("i1")) & (F.lag("j0").over(w) == F.col("j1")), (F.col("i1") == F.col("end_i")) & (F.col("j1") == F.col("end_j")))
+    whole = pieces.withColumnRenamed("score", "piece").join(end, "aln").withColumn("fits", fits)
+    return whole.groupBy("score", "end_i", "end_j").agg(F.sum("piece").alias("path_score"), F.bool_and("fits").alias("connected"))
 
 
 @query(f"WITH RECURSIVE {dp_sql.blocks_ctes(_LONG_PAIR, _TILE, _TILE)}, part AS (SELECT block_col AS part, max((score, -i, -j)) AS x FROM block GROUP BY block_col) SELECT part, x[1] AS score, -x[2] AS i, -x[3] AS j FROM part")

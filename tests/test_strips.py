@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helixweave.functions import kernels as K
 from helixweave.functions import linear
 from helixweave.functions.scoring import ALL_EDGES, Edges, border
-from helixweave.operators import strips
+from helixweave.operators import strips, wavefront
 
 
 def random_pairs(n, seed=7):
@@ -54,8 +54,9 @@ def test_strips_find_best_paths(spark, tmp_path, edges):
     saved = strips.save_rows(df, 16, 11, edges)
     saved.write.parquet(f"{tmp_path}/saved")
     saved = spark.read.parquet(f"{tmp_path}/saved")
-    points = strips.trace_points(spark, df, saved, 11, str(tmp_path), 5, edges)
-    parts = strips.partitions(points, df)
+    chunks = [strips.chunked(df, side, 11) for side in "ab"]
+    points = strips.trace_points(spark, *chunks, saved, 11, str(tmp_path), 5, edges)
+    parts = strips.partitions(points, *chunks, 11)
     small = strips.refine(spark, parts, 12, str(tmp_path), least=4)
     assert small.where("i1 > i0 and j1 > j0 and greatest(i1 - i0, j1 - j0) > 12").count() == 0
     got = {r.aln: r for r in strips.joined(strips.solved(small)).collect()}
@@ -88,6 +89,23 @@ def test_cut_points_lie_on_best_paths():
 def test_no_pairs_no_points(spark, tmp_path):
     df = spark.createDataFrame([], "aln long, a string, b string")
     strips.save_rows(df, 16, 8).write.parquet(f"{tmp_path}/saved")
-    points = strips.trace_points(spark, df, spark.read.parquet(f"{tmp_path}/saved"), 8, str(tmp_path))
-    assert strips.refine(spark, strips.partitions(points, df), 8, str(tmp_path)).count() == 0
+    chunks = [strips.chunked(df, side, 8) for side in "ab"]
+    points = strips.trace_points(spark, *chunks, spark.read.parquet(f"{tmp_path}/saved"), 8, str(tmp_path))
+    assert strips.refine(spark, strips.partitions(points, *chunks, 8), 8, str(tmp_path)).count() == 0
     assert len(ALL_EDGES) == 25 and np.int32(0) == 0
+
+
+def test_strips_between_the_borders_of_a_wavefront(spark, tmp_path):
+    rng = random.Random(21)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a = dna(70)
+    b = dna(4) + a[:24] + dna(31) + a[30:70]  # a gap over several blocks
+    path = f"file://{tmp_path}/w"
+    wavefront.align_large(spark, a, b, len(a), len(b), 12, path, prune="window")
+    df = spark.createDataFrame([(0, a, b)], "aln long, a string, b string")
+    chunks = [strips.chunked(df, side, 12) for side in "ab"]
+    points = strips.trace_points(spark, *chunks, strips.rows_of(spark, path, 12), 12, path, 6)
+    pieces = strips.solved(strips.partitions(points, *chunks, 12))
+    check_path(a, b, Edges(), strips.joined(pieces).first(), K.best_scores([K.codes(a)], [K.codes(b)])[0].tolist())
+    # a job for each row of blocks, not for each block
+    assert points.agg(F.max("ord")).first()[0] <= 1 + len(a) // 12
