@@ -24,6 +24,7 @@ from helixweave.functions import kernels as K
 from helixweave.functions import linear
 from helixweave.functions.scoring import INF, Edges, Scores, border
 
+from .align import _slices
 from .rows import asof_row
 from .wavefront import _BLOCK, best_of
 
@@ -39,11 +40,12 @@ def save_rows(pairs: DataFrame, every: int, width: int, edges: Edges = Edges(),
     """
 
     def run(batches):
-        for batch in batches:
-            for aln, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("aln", "a", "b")), strict=True):
-                a, b = K.codes(ta or ""), K.codes(tb or "")
+        for batch in (x for whole in batches for x in _slices(whole)):
+            both = [[K.codes(t or "") for t in batch.column(c).to_pylist()] for c in ("a", "b")]
+            # ends of pairs of similar size together, rows pair by pair
+            ends = K.best_scores(*both, edges, scores).tolist()
+            for aln, a, b, best in zip(batch.column("aln").to_pylist(), *both, ends, strict=True):
                 n, m = len(a), len(b)
-                best = K.best_scores([a], [b], edges, scores)[0].tolist()
                 out = [(aln, None, None, None, None, *best)]
                 h = border("zeroes" if edges.free_row else "gaps", m, scores)
                 f, side = np.full(m + 1, -INF, np.int32), border("zeroes" if edges.free_column else "gaps", n, scores)

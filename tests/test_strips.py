@@ -47,7 +47,7 @@ def check_path(a, b, edges, r, best):
         assert (i0 == 0 or edges.free_column) and (j0 == 0 or edges.free_row) and (i0 == 0 or j0 == 0)
 
 
-@pytest.mark.parametrize("edges", [Edges("*", "*"), Edges("+", "+"), Edges("1", "2"), Edges("2", "3"), Edges("3", "1")], ids=lambda e: e.start + e.end)
+@pytest.mark.parametrize("edges", [Edges("*", "*"), Edges("+", "+"), Edges("2", "3")], ids=lambda e: e.start + e.end)
 def test_strips_find_best_paths(spark, tmp_path, edges):
     pairs = random_pairs(30)
     df = spark.createDataFrame(pairs, "aln long, a string, b string").repartition(3)
