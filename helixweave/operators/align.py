@@ -6,15 +6,19 @@ advances together. ``balanced`` deals pairs by their number of cells where lengt
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixweave.functions import kernels as K
 from helixweave.functions.scoring import Edges, Scores
+from helixweave.functions.seeds import local_scores
 
 #: Characters of both sequences that one kernel call sees at most.
 STEP_CHARS = 4_000_000
+#: Characters of the texts of either side that meet in one block, about; pairs of texts whose scores are held at once.
+BLOCK_CHARS, BLOCK_PAIRS = 250_000, 1_000_000
 
 
 def _slices(batch: pa.RecordBatch):
@@ -60,6 +64,81 @@ def align_score(pairs: DataFrame, edges: Edges = Edges(), scores: Scores = Score
     return pairs.mapInArrow(run, _keep(pairs) + "score long, end_i long, end_j long")
 
 
+def _chunks(texts: list[str], pairs: int):
+    """Ranges of texts of about BLOCK_CHARS characters and of at most so many texts."""
+    at = used = 0
+    for k, x in enumerate(texts):
+        if k > at and (used + len(x) > BLOCK_CHARS or k - at >= pairs):
+            yield at, k
+            at, used = k, 0
+        used += len(x)
+    if len(texts) > at:
+        yield at, len(texts)
+
+
+def _meet(sc: Scores):
+    """(name, ids, scores) for each text of a block and each part of the items that it meets there (items come first)."""
+
+    def scored(names, texts, ids, items):
+        codes = [K.codes(x) for x in texts]
+        for a, z in _chunks(items, BLOCK_PAIRS):
+            # equal items are scored once
+            own = {x: k for k, x in enumerate(dict.fromkeys(items[a:z]))}
+            of = np.array([own[x] for x in items[a:z]])
+            x, id_ = [K.codes(s) for s in own], np.array(ids[a:z], np.int64)
+            for i, k in _chunks(texts, max(1, BLOCK_PAIRS // (z - a))):
+                got = local_scores(x, codes[i:k], sc)[of].T
+                off = pa.array(np.arange(k - i + 1, dtype=np.int32) * (z - a))
+                lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (np.tile(id_, k - i), np.ascontiguousarray(got).ravel())]
+                yield pa.RecordBatch.from_arrays([pa.array(names[i:k]), *lists], ["name", "ids", "scores"])
+
+    def run(batches):
+        now, ids, items, names, texts, size = None, [], [], [], [], 0
+        for batch in batches:
+            for cell, id_, name, text in zip(*(batch.column(c).to_pylist() for c in ("cell", "id", "name", "text")), strict=True):
+                if cell != now or size > BLOCK_CHARS:
+                    yield from scored(names, texts, ids, items)
+                    names, texts, size = [], [], 0
+                if cell != now:
+                    now, ids, items = cell, [], []
+                if name is None:
+                    ids.append(id_)
+                    items.append(text)
+                else:
+                    names.append(name)
+                    texts.append(text)
+                    size += len(text)
+        yield from scored(names, texts, ids, items)
+
+    return run
+
+
+def local_scores_of_all(left: DataFrame, right: DataFrame, scores: Scores = Scores()) -> DataFrame:
+    """(columns of left but b, item_id, score): best local scores of every text b of left with every a of right (item_id, a).
+
+    Equal texts of left are scored once. Both sides are dealt into groups of about BLOCK_CHARS characters, and every two
+    groups meet in a block; a task runs one block after the other.
+    """
+    spark = left.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = left.withColumn("_name", F.md5("b"))
+    texts = named.select("_name", "b").dropDuplicates(["_name"])
+    room = lambda df, c: int(df.agg(F.sum(F.char_length(c) + 1)).first()[0] or 0) // BLOCK_CHARS + 1
+    # few characters on the left still keep all tasks busy
+    down = room(right, "a")
+    across = max(room(texts, "b"), -(-least // down))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    x = right.where("a is not null").select(deal("a", down).alias("g"), F.col("item_id").cast("long").alias("id"), F.lit(None).cast("string").alias("name"), F.col("a").alias("text"), every(across).alias("o"))
+    y = texts.where("b is not null").select(every(down).alias("g"), F.lit(None).cast("long").alias("id"), F.col("_name").alias("name"), F.col("b").alias("text"), deal("_name", across).alias("o"))
+    rows = x.unionByName(y).select((F.col("o") * down + F.col("g")).alias("cell"), "id", "name", "text")
+    parts = min(across * down, max(least, 4096))
+    rows = rows.repartitionById(parts, (F.col("cell") % parts).cast("int")).sortWithinPartitions("cell", F.asc_nulls_first("name"))
+    got = rows.mapInArrow(_meet(scores), "name string, ids array<long>, scores array<int>").withColumnRenamed("name", "_name")
+    pairs = named.drop("b").join(got, "_name").select(*[F.col(f"`{c}`") for c in left.columns if c != "b"], F.explode(F.arrays_zip("ids", "scores")).alias("_x"))
+    return pairs.select(*[F.col(f"`{c}`") for c in left.columns if c != "b"], F.col("_x.ids").alias("item_id"), F.col("_x.scores").cast("long").alias("score"))
+
+
 def align_edges(pairs: DataFrame, kinds: list[Edges], scores: Scores = Scores()) -> DataFrame:
     """align_score for several edge rules at once: one row for each pair and rule."""
 
