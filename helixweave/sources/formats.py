@@ -1,7 +1,7 @@
 """Reading and writing of crosspoints, alignments and borders.
 
 Parquet is the native store. The text and binary forms exist for exchange: crosspoints as START, one
-``type,i,j,score`` line each, END; alignments as one compact binary value a row (gap positions as
+``type,i,j,score`` line each, END, one list a file or many; alignments as one compact binary value a row (gap positions as
 base-128 differences).
 """
 
@@ -40,6 +40,27 @@ def read_crosspoints(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return rows.select("file", *keys, "ord", part(0).cast("int").alias("type"), part(1).cast("long").alias("i"), part(2).cast("long").alias("j"), part(3).cast("long").alias("score"))
 
 
+def write_crosspoint_lists(points: DataFrame, path: str, *keys: str) -> None:
+    """Lists one after the other in a text file for each task, each with a line of its keys before START."""
+    name = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+    lists = crosspoints_text(points, *keys)
+    lists.select(F.concat(name, F.lit("\n"), F.col("value")).alias("value")).write.mode("append").option("lineSep", "\n").text(path)
+
+
+def read_crosspoint_lists(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """(keys, ord, type, i, j, score) of files of many lists; keys: columns with types, as their lines give them in order.
+
+    A list is a row, so files of any number of lists are split among tasks.
+    """
+    lists = spark.read.option("lineSep", "\nEND\n").text(path).withColumn("value", F.split("value", "\nSTART\n", 2)).where("size(value) = 2")
+    name = F.from_json(F.regexp_extract(F.get("value", F.lit(0)), r"([^\n]*)$", 1), "array<string>")
+    columns = [F.get("_name", F.lit(k)).cast(t).alias(c) for k, (c, t) in enumerate(x.split() for x in keys.split(","))]
+    rows = lists.select(name.alias("_name"), F.posexplode(F.split(F.get("value", F.lit(1)), "\n")).alias("ord", "line"))
+    rows = rows.select(*columns, "ord", F.split("line", ",").alias("_at"))
+    part = lambda k: F.trim(F.get("_at", F.lit(k)))
+    return rows.select(*[x.split()[0] for x in keys.split(",")], "ord", part(0).cast("int").alias("type"), *[part(k).cast("long").alias(c) for k, c in ((1, "i"), (2, "j"), (3, "score"))])
+
+
 def encode_alignment(score: int, span: tuple[int, int, int, int], gaps0: list, gaps1: list) -> bytes:
     """Score and span as big-endian integers, then both gap lists: count, and (position difference, length) pairs."""
     out = struct.pack(">q4q", score, *span)
