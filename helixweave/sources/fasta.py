@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from helixweave.functions import sequences as S
 from helixweave.operators.pairs import clean
 
+from .session import work_dir
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, record, description, accession, seq, len). A record begins with '>' at the start of a line."""
@@ -57,50 +59,64 @@ def _runs(batches, volumes: bool):
 
 
 def _counted(volumes: bool):
-    """A row for each split: headers, symbols before the first and after the last one."""
+    """(split, seg, description) of every header; and a row for each split (seg null): headers, symbols before the first and after the last one."""
+    names = ["split", "seg", "description", "heads", "lead", "tail"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     def run(batches):
         of: dict[int, list[int]] = {}
+        out: list[tuple] = []
         for split, header, text in _runs(batches, volumes):
             x = of.setdefault(split, [0, 0, 0])
             if header is not None:
                 x[0], x[2] = x[0] + 1, 0
+                out.append((split, x[0], header, None, None, None))
+                if len(out) == 10_000:
+                    yield table(out)
+                    out = []
             elif x[0]:
                 x[2] += len(text)
             else:
                 x[1] += len(text)
-        yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), *(pa.array([x[k] for x in of.values()], pa.int64()) for k in range(3))], ["split", "heads", "lead", "tail"])
+        yield table([*out, *((split, None, None, *x) for split, x in of.items())])
 
     return run
 
 
-def _pieces(size: int, volumes: bool):
-    """(split, seg, at, description, bases): the symbols after the seg-th header of a split, in pieces of size."""
-    names = ["split", "seg", "at", "description", "bases"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def _pieces(size: int, volumes: bool, carried):
+    """(split, seg, no, at, part, bases): the symbols after the seg-th header of a split, cut where chunks of size end.
+
+    carried: symbols of the record that each split goes on with. part: another split may hold the rest of the chunk.
+    """
+    names = ["split", "seg", "no", "at", "part", "bases"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.string()]
 
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     def run(batches):
-        now, seg, at, held, out = None, 0, 0, "", []
+        now, seg, at, held, out, many = None, 0, 0, "", [], 0
+        carry = carried.value
         for split, header, text in _runs(batches, volumes):
             if split != now or header is not None:
                 if held:
-                    out.append((now, seg, at, None, held))
-                now, seg, at, held = split, seg + 1 if split == now else int(header is not None), 0, ""
-                if header is not None:
-                    out.append((split, seg, 0, header, None))
+                    out.append((now, seg, at // size, at, split != now or at % size > 0, held))
+                now, seg, held = split, seg + 1 if split == now else int(header is not None), ""
+                at = 0 if seg else carry.get(split, 0)
             held += text
-            for k in range(0, len(held) - size + 1, size):
-                out.append((split, seg, at, None, held[k : k + size]))
-                at += size
-            held = held[len(held) // size * size :]
-            if len(out) * size > 4_000_000:
+            used = 0
+            while len(held) - used >= (room := size - at % size):
+                out.append((now, seg, at // size, at, room < size, held[used : used + room]))
+                used, at = used + room, at + room
+            held, many = held[used:], many + used
+            if many > 4_000_000:
                 yield table(out)
-                out = []
+                out, many = [], 0
         if held:
-            out.append((now, seg, at, None, held))
+            out.append((now, seg, at // size, at, True, held))
         yield table(out)
 
     return run
@@ -110,35 +126,43 @@ def scan_fasta(spark: SparkSession, path: str, size: int, volumes: bool = False)
     """((file, record, description, accession), (file, record, no, bases)) of FASTA files whose records may have any size.
 
     Every split of a file finds its own headers and symbols. A first pass counts them, one row for each split; their
-    running sums tell which record and place a split begins in. No row is longer than ``size`` symbols or a line of
+    running sums tell which record and place a split begins in, so a second pass cuts symbols where chunks end, and only
+    chunks that cross from split to split are put together. No row is longer than ``size`` symbols or a line of
     the file. With ``volumes`` all files of a folder, in order of their names, are one stream, which a record may cross;
-    ``file`` is then the folder.
+    ``file`` is then the folder. Both passes run, and are written, when this is called.
     """
+    top = work_dir(spark, "scan")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{top}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{top}/{name}")
+
     where = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("at")
     lines = spark.read.text(path).select(where, "value")
     split = F.xxhash64("at.file_path", "at.file_block_start").alias("split")
     lines = lines.select(split, F.col("at.file_path").alias("file"), F.col("at.file_block_start").alias("start"), "value")
     plain = lines.select("split", "start", "value")
-    counts = plain.mapInArrow(_counted(volumes), "split long, heads long, lead long, tail long")
+    found = written(plain.mapInArrow(_counted(volumes), "split long, seg long, description string, heads long, lead long, tail long"), "found")
     names = lines.groupBy("split").agg(F.first("file").alias("file"), F.first("start").alias("start"))
     stream = F.regexp_replace("file", "[^/]*$", "") if volumes else F.col("file")
-    splits = names.join(counts, "split").withColumn("stream", stream)
+    splits = names.join(found.where("seg is null").select("split", "heads", "lead", "tail"), "split").withColumn("stream", stream)
     order = Window.partitionBy("stream").orderBy("file", "start")
     splits = splits.withColumn("until", F.sum("heads").over(order))
     # since the last header: its split's tail, and all of the splits after it
     since = F.sum(F.when(F.col("heads") > 0, F.col("tail")).otherwise(F.col("lead"))).over(Window.partitionBy("stream", "until").orderBy("file", "start"))
     splits = splits.withColumn("since", since).select("split", "stream", (F.col("until") - F.col("heads")).alias("before"), F.coalesce(F.lag("since").over(order), F.lit(0)).alias("carry"))
-    pieces = plain.mapInArrow(_pieces(size, volumes), "split long, seg long, at long, description string, bases string").join(splits, "split")
-    pieces = pieces.select(F.col("stream").alias("file"), (F.col("before") + F.col("seg") - 1).alias("record"), (F.col("at") + F.when(F.col("seg") == 0, F.col("carry")).otherwise(0)).alias("at"), "description", "bases")
-    heads = pieces.where("description is not null").select("file", "record", "description", S.accession(F.col("description")).alias("accession"))
-    room = (F.lit(size) - F.col("at") % size).cast("int")
-    part = lambda no, at, bases: F.struct(no.cast("int").alias("no"), at.alias("at"), bases.alias("bases"))
-    no = F.floor(F.col("at") / size)
-    halves = F.array(part(no, F.col("at"), F.substring("bases", 1, size) if size == 1 else F.left("bases", room)), part(no + 1, F.col("at") + room, F.substring("bases", room + 1, F.lit(size))))
+    splits = written(splits, "splits")
+    placed = lambda df: df.join(splits, "split").withColumns({"file": F.col("stream"), "record": F.col("before") + F.col("seg") - 1})
+    heads = placed(found.where("seg is not null")).select("file", "record", "description", S.accession(F.col("description")).alias("accession"))
+    # a number for each split that begins within a record
+    carried = spark.sparkContext.broadcast({r[0]: r[1] for r in splits.where("carry > 0").select("split", "carry").toLocalIterator()})
+    pieces = written(plain.mapInArrow(_pieces(size, volumes, carried), "split long, seg long, no int, at long, part boolean, bases string"), "pieces")
+    carried.destroy()
     # symbols before any header belong to no record
-    rows = pieces.where("bases is not null and record >= 0").select("file", "record", F.explode(halves).alias("x")).where("x.bases <> ''").select("file", "record", "x.*")
+    rows = placed(pieces).where("record >= 0")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "bases"))), lambda x: x["bases"]), "")
-    return heads, rows.groupBy("file", "record", "no").agg(whole.alias("bases"))
+    crossing = rows.where("part").groupBy("file", "record", "no").agg(whole.alias("bases"))
+    return heads, rows.where("not part").select("file", "record", "no", "bases").unionByName(crossing)
 
 
 def write_fasta(seqs: DataFrame, path: str, width: int = 70) -> None:

@@ -12,6 +12,7 @@ from helixweave.functions import kernels as K
 from helixweave.functions import linear, table
 from helixweave.functions.scoring import Edges
 from helixweave.operators import align, crosspoints, meet, report, rows, wavefront
+from helixweave.plans import registry
 from helixweave.sources import cells, fasta, formats, tagged
 from helixweave.streaming import columns
 
@@ -63,6 +64,26 @@ def test_fasta_volumes_and_files_without_marks(spark, tmp_path):
     assert heads.count() == chunks.count() == 0
 
 
+def test_documents_of_one_id_keep_their_lines_together(spark, tmp_path):
+    """Lines of rows that repeat a doc_id were mixed when each line was sorted by itself."""
+    docs = [(1, "a" * 150 + "b" * 30, "s"), (1, "C" * 200, "s"), (2, "x" * 70, "s"), (3, None, "s"), (4, "", "t"), (5, ">é" * 60, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.description: r.bases for r in registry.queries()["fasta_ranges"](spark, str(tmp_path)).collect()}
+    first, second = "A" * 150 + "B" * 30, "C" * 200
+    assert got.pop("s") in (first + second + "X" * 70, second + first + "X" * 70)
+    assert got == {"": ".é" * 60}
+
+
+def test_crosspoint_lists_share_files(spark, tmp_path):
+    points = spark.range(3000).select((F.col("id") % 1000).alias("aid"), (F.col("id") % 1000 + 1).cast("string").alias("b,id"), F.floor(F.col("id") / 1000).cast("int").alias("ord"), F.lit(1).alias("type"), F.col("id").alias("i"), (-F.col("id")).alias("j"), F.lit(7).cast("long").alias("score"))
+    points = points.withColumnRenamed("b,id", "bid").withColumn("bid", F.concat(F.lit('a "b", '), "bid"))
+    formats.write_crosspoint_lists(points, f"{tmp_path}/lists", "aid", "bid")
+    files = [p for p in Path(tmp_path, "lists").rglob("part-*")]
+    assert 0 < len(files) < 50 and files[0].read_text().split("\n")[1] == "START"
+    got = formats.read_crosspoint_lists(spark, f"{tmp_path}/lists", "aid long, bid string")
+    assert got.dtypes == points.dtypes and sorted(got.collect()) == sorted(points.collect())
+
+
 def test_rows_keep_a_budget(spark):
     saved = spark.createDataFrame([(k, 32 * r, 100 * (k + 1)) for k in range(6) for r in range(1, 14)], "aln long, row_id long, bytes long")
     for budget in (0, 99, 100, 450, 1300, 10**6):
