@@ -48,7 +48,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Symbols 0..IDS-1 are the vocabulary's ids (at most 65535); END is the end symbol and stands before the first.
 IDS = 50_257
 END = IDS - 1
-#: One window for so many bytes of training text goes to the attention weights; small tables draw more, for ROUNDS rounds.
+#: Windows that the attention weights learn from at least: ROUNDS rounds, or one for so many bytes of training text.
 WINDOW_BYTES, ROUNDS, TRAIN_BATCH, RATE = 8192, 1500, 96, 0.02
 #: Learning rate of the shards that go on from the first shard's weights.
 NEXT_RATE = 0.005
@@ -253,10 +253,17 @@ def gradients(w: dict, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[f
 
 
 def windows_wanted(size: int) -> int:
-    """Windows to draw from training texts of so many bytes."""
+    """Windows to learn from at least, of training texts of so many bytes; those of ``tiled`` count."""
     return max(ROUNDS * TRAIN_BATCH, -(-size // WINDOW_BYTES))
 
 
+def tiled(out: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Windows end to end over each text, as rows of ``drawn``: every symbol but the first END is the next one in one of them."""
+    many = -(-(np.diff(bounds) - 1) // WINDOW)
+    row = np.repeat(np.arange(len(many)), many)
+    return _rows_at(out, bounds, row, bounds[row] + WINDOW * (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)))
+
+
 def drawn(out: np.ndarray, bounds: np.ndarray, rate: float, keys: np.ndarray) -> np.ndarray:
     """Rows of a length and WINDOW + 1 symbols: about rate windows a symbol of each text, by hashes of its key."""
     size, k = np.diff(bounds), keys.view(U64)
@@ -264,6 +271,10 @@ def drawn(out: np.ndarray, bounds: np.ndarray, rate: float, keys: np.ndarray) ->
     row = np.repeat(np.arange(len(size)), many)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     start = bounds[row] + (mix(k[row] + (nth.astype(U64) + U64(2)) * U64(0xC2B2AE3D27D4EB4F)) % np.maximum(1, size[row] - WINDOW).astype(U64)).astype(np.int64)
+    return _rows_at(out, bounds, row, start)
+
+
+def _rows_at(out: np.ndarray, bounds: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
     at = start[:, None] + np.arange(WINDOW + 1)
     n = np.minimum(bounds[row + 1] - start, WINDOW + 1)
     # nothing of a neighbouring text
@@ -410,7 +421,7 @@ class Subwords:
         k = keys.view(U64)
         column, sign = (k % U64(HELD)).astype(np.int64), np.where(k >> U64(63), 64, -64)
         np.add.at(self.held, i * HELD + column[row], np.rint(np.log1p(n) * sign[row]).astype(np.int64))
-        return drawn(out, bounds, rate, keys)
+        return np.concatenate([tiled(out, bounds), drawn(out, bounds, rate, keys)])
 
 
 def totals(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -705,8 +716,8 @@ def lm_scores(spark: SparkSession, docs: DataFrame, held, vocabulary: str = VOCA
     learn = rows.where("not held_out and doc_id is not null")
     parts = n_parts(spark, rows)
     size = learn.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 1
-    # a symbol has about three bytes; rounds repeat windows where these are too few
-    counting = spark.sparkContext.broadcast((vocab, 3 * windows_wanted(size) / size))
+    # a symbol has about three bytes; further windows are drawn where those of all symbols are too few
+    counting = spark.sparkContext.broadcast((vocab, max(0, 3 * windows_wanted(size) / size - 1 / WINDOW)))
     # parts of little data go through one task one after the other, each with its memory freed before the next
     files = min(parts, max(4 * spark.sparkContext.defaultParallelism, parts // 8))
     counts = cut(learn.mapInArrow(_count(parts, counting), _COUNT).repartitionById(parts, F.col("part")).mapInArrow(_merge(parts), _COUNT).coalesce(files), spark)

@@ -420,6 +420,20 @@ def test_lm_counts_every_subword_of_the_training_texts(spark, monkeypatch):
     assert len({int(compact[i]) for i in want}) == len(want)
 
 
+def test_lm_weights_learn_from_every_symbol(spark, monkeypatch):
+    rng, windows = random.Random(9), []
+    texts = [prose(n, rng) for n in (0, 1, 31, 32, 33, 64, 500, 3000)] + ["", "again", "again"]
+    monkeypatch.setattr(lmscore, "ROUNDS", 1)
+    monkeypatch.setattr(lmscore, "TRAIN_BATCH", 1)
+    monkeypatch.setattr(lmscore, "trained", lambda spark, w, cls, compact, symbols: windows.extend(w.collect()) or lmscore.new_weights(symbols))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lmscore.lm_scores(spark, df, F.lit(False)).count() == len(texts)
+    with open(lmscore.VOCABULARY, "rb") as f:
+        ids, _ = lmscore._encode([w.lower() for t in texts for w in t.encode().split()], f.read())
+    got = Counter(i for r in windows for row in [np.frombuffer(r.window, np.uint16)] for i in row[2 : row[0] + 1].tolist())
+    assert got == Counter(ids.tolist()) + Counter({lmscore.END: len(texts)})
+
+
 def test_lm_windows_grow_with_the_texts():
     assert lmscore.windows_wanted(10**6) == lmscore.ROUNDS * lmscore.TRAIN_BATCH and lmscore.windows_wanted(10**12) > 90 * lmscore.windows_wanted(10**10)
     bounds = np.array([0, 2, 200])
