@@ -43,6 +43,8 @@ RARE = 6
 #: Each level of more frequent lines reaches up to so many times the holders of the one before.
 STEP = 8
 MIN_CHARS = 40
+#: Rows whose lines a task holds as Python numbers at once.
+ROWS = 256
 #: Lines that equal nothing on the other side.
 _EARLY, _LATE = object(), object()
 
@@ -122,9 +124,15 @@ def common_blocks(early: list, late: list, chars: list[int], min_chars: int) ->
             return gone
 
 
+def _few(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _align(min_chars: int, *keys: str):
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("early_lines", "late_lines", "late_chars")), strict=True)
             found = [common_blocks([_EARLY if x is None else x for x in a], [_LATE if x is None else x for x in b], n, min_chars) for a, b, n in rows]
             some = pa.array([k for k, gone in enumerate(found) if gone], pa.int64())
@@ -160,7 +168,7 @@ def _outlines(rare: int):
     names = [x.split()[0] for x in _OUTLINES.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             rows = [(r["doc_id"], r["_name"], *o) for r in batch.to_pylist() for o in outlines(r["lines"], r["chars"], {x["line"]: x["n"] for x in r["often"]}, rare)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 

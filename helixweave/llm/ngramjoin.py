@@ -40,7 +40,8 @@ CAP = 4096
 #: Documents (by a hash of the id) and shingles of the table that tells which shingles are frequent, at
 #: most; it only orders a document's shingles, and any order gives the same links.
 SAMPLE_DOCS, FREQUENT = 6000, 200_000
-_PAIRS = 400_000
+#: Pairs of nodes that a traversal compares at once, and bytes of their signatures.
+_PAIRS, _PAIR_BYTES = 100_000, 8 << 20
 #: Bytes of text of a step, about.
 STEP = 500_000
 
@@ -111,8 +112,9 @@ class Tree:
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, a, b = todo.pop()
-            if len(a) > _PAIRS:
-                todo += [(level, a[i : i + _PAIRS], b[i : i + _PAIRS]) for i in range(0, len(a), _PAIRS)]
+            most = max(1024, min(_PAIRS, _PAIR_BYTES // self.levels[level][0][0].nbytes))
+            if len(a) > most:
+                todo += [(level, a[i : i + most], b[i : i + most]) for i in range(0, len(a), most)]
                 continue
             if level == 0:
                 keep = a < b
