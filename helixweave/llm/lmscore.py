@@ -52,7 +52,7 @@ END = IDS - 1
 WINDOW_BYTES, ROUNDS, TRAIN_BATCH, RATE = 8192, 1500, 96, 0.02
 #: Learning rate of the shards that go on from the first shard's weights.
 NEXT_RATE = 0.005
-SINGLE, GROUPS, WIDTH, KEY, WINDOW, CONTEXT, BATCH = 80, 40, 32, 16, 32, 8, 256
+SINGLE, GROUPS, WIDTH, KEY, WINDOW, CONTEXT, BATCH = 80, 40, 32, 16, 32, 8, 64
 CLASSES = SINGLE + GROUPS + 2
 #: Share of the subword model in a word's probability; the rest goes to the words of the training texts.
 NEW = 0.9
@@ -61,8 +61,8 @@ NEW = 0.9
 TABLE = 12_000_000
 #: Frequent words whose counts are broadcast, about; all others are counted by hash.
 HOT = 8192
-#: Bytes of text of a step, about (one longer text is a step of its own).
-STEP = 1_000_000
+#: Windows that leave a task at once, and those whose gradients are computed together.
+SOME, AT_ONCE = 8192, 24
 #: Sketches of the texts that hold an id, and of what follows it: columns.
 HELD, NEXT = 12, 44
 
@@ -173,18 +173,21 @@ def attend(w: dict, x: np.ndarray):
     """Class logits after each of the symbols x (B, WINDOW); masked so that none sees a later one."""
     e = w["emb"][x]
     h = e + w["pos"]
-    q, k, v = h @ w["q"], h @ w["k"], h @ w["v"]
+    # one product for all windows, where the weights are the same
+    qkv = (h.reshape(-1, WIDTH) @ np.concatenate([w["q"], w["k"], w["v"]], 1)).reshape(*x.shape, -1)
+    q, k, v = qkv[..., :KEY], qkv[..., KEY : 2 * KEY], qkv[..., 2 * KEY :]
     s = np.matmul(q, k.transpose(0, 2, 1))
     s *= np.float32(KEY**-0.5)
     s += _MASK
     s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(2, keepdims=True)
-    c = np.matmul(s, v)
-    z = c @ w["out"]
-    z += e @ w["last"]
+    both = np.empty((*x.shape, 2 * WIDTH), e.dtype)
+    np.matmul(s, v, out=both[..., :WIDTH])
+    both[..., WIDTH:] = e
+    z = both.reshape(-1, 2 * WIDTH) @ np.concatenate([w["out"], w["last"]])
     z += w["bias"]
-    return z, (e, h, q, k, v, s, c)
+    return z.reshape(*x.shape, -1), (h, q, k, v, s, both)
 
 
 def tables(w: dict) -> dict:
@@ -230,26 +233,53 @@ def _log_softmax(z):
 
 
 def gradients(w: dict, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over the positions in use, and its gradients."""
-    z, (e, h, q, k, v, s, c) = attend(w, x)
-    lp = _log_softmax(z)
-    n = max(1, int(use.sum()))
-    loss = -float((np.take_along_axis(lp, y[..., None], 2)[..., 0] * use).sum() / n)
-    dz = np.exp(lp)
-    np.put_along_axis(dz, y[..., None], np.take_along_axis(dz, y[..., None], 2) - 1, 2)
-    dz *= (use / n)[..., None].astype(np.float32)
+    """Mean loss over the positions in use, and its gradients; a few windows at once, which caches hold."""
+    loss, g, n = 0.0, {k: np.zeros_like(a) for k, a in w.items()}, max(1, int(use.sum()))
+    for at in range(0, len(x), AT_ONCE):
+        some = slice(at, at + AT_ONCE)
+        loss += _add_gradients(g, w, x[some], y[some], use[some], n)
+    return loss, g
+
+
+def _add_gradients(g: dict, w: dict, x: np.ndarray, y: np.ndarray, use: np.ndarray, n: int) -> float:
+    """Adds these windows' share of the gradients to g and returns that of the loss; n: positions in use of all windows."""
+    z, (h, q, k, v, s, both) = attend(w, x)
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"out": flat(c).T @ flat(dz), "last": flat(e).T @ flat(dz), "bias": dz.sum((0, 1))}
-    dc = dz @ w["out"].T
-    dv = np.matmul(s.transpose(0, 2, 1), dc)
+    each = (use / n).ravel().astype(z.dtype)
+    z, h, at = _safe(flat(z)), flat(h), np.arange(x.size)
+    hit = z[at, y.ravel()]
+    np.exp(z, out=z)
+    total = z @ np.ones(CLASSES, z.dtype)
+    loss = float(((np.log(total) - hit) * each).sum())
+    z *= (each / total)[:, None]
+    z[at, y.ravel()] -= each
+    both_z = flat(both).T @ z
+    g["out"] += both_z[:WIDTH]
+    g["last"] += both_z[WIDTH:]
+    g["bias"] += np.ones(len(z), z.dtype) @ z
+    d_both = (z @ np.concatenate([w["out"], w["last"]]).T).reshape(both.shape)
+    c, dc = both[..., :WIDTH], d_both[..., :WIDTH]
     ds = np.matmul(dc, v.transpose(0, 2, 1))
-    ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(KEY**-0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    g |= {"q": flat(h).T @ flat(dq), "k": flat(h).T @ flat(dk), "v": flat(h).T @ flat(dv)}
-    dh = dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    g["pos"], g["emb"] = dh.sum(0), np.zeros_like(w["emb"])
-    np.add.at(g["emb"], x.ravel(), flat(dh + dz @ w["last"].T))
-    return loss, g
+    ds -= np.einsum("bij,bij->bi", dc, c)[..., None]
+    ds *= s
+    ds *= np.float32(KEY**-0.5)
+    d_qkv = np.empty((*x.shape, 2 * KEY + WIDTH), z.dtype)
+    np.matmul(ds, k, out=d_qkv[..., :KEY])
+    np.matmul(ds.transpose(0, 2, 1), q, out=d_qkv[..., KEY : 2 * KEY])
+    np.matmul(s.transpose(0, 2, 1), dc, out=d_qkv[..., 2 * KEY :])
+    d_qkv = flat(d_qkv)
+    h_qkv = h.T @ d_qkv
+    for key, part in (("q", h_qkv[:, :KEY]), ("k", h_qkv[:, KEY : 2 * KEY]), ("v", h_qkv[:, 2 * KEY :])):
+        g[key] += part
+    dh = d_qkv @ np.concatenate([w["q"], w["k"], w["v"]], 1).T
+    g["pos"] += dh.reshape(*x.shape, WIDTH).sum(0)
+    # sums by symbol: places in their order
+    dh += flat(d_both)[:, WIDTH:]
+    order = np.argsort(x.ravel(), kind="stable")
+    of = x.ravel()[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    g["emb"][of[first]] += np.add.reduceat(dh[order], first, 0)
+    return loss
 
 
 def windows_wanted(size: int) -> int:
@@ -292,9 +322,16 @@ def fit(rounds_of, rounds: int, cls: np.ndarray, compact: np.ndarray, symbols: i
         _, g = gradients(w, x, y, use)
         rate = top * min(1, max(0.02, 2 * (1 - step / (rounds + 1))))
         for key, d in g.items():
-            m[key] += 0.1 * (d - m[key])
-            v[key] += 0.01 * (d * d - v[key])
-            w[key] -= (rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            m[key] *= 0.9
+            m[key] += np.float32(0.1) * d
+            v[key] *= 0.99
+            v[key] += np.float32(0.01) * d * d
+            down = np.sqrt(v[key])
+            down *= (1 - 0.99**step) ** -0.5
+            down += 1e-8
+            np.divide(m[key], down, out=down)
+            down *= rate / (1 - 0.9**step)
+            w[key] -= down
     return w
 
 
@@ -449,33 +486,43 @@ def _batch(kinds, **cols) -> pa.RecordBatch:
 
 _KINDS = {"part": pa.int32(), "kind": pa.int8(), "step": pa.int64()}
 _COUNT = "part int, kind tinyint, a binary, b binary, c binary, d binary"
+_SEEN = f"{_COUNT}, window binary"
+
+
+def _rows_of(windows: np.ndarray) -> pa.RecordBatch:
+    """A row of kind 5 for each window: large rows would fill the heap of whoever reads them."""
+    n, size = len(windows), windows.itemsize * (WINDOW + 2)
+    window = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, size * n + 1, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(windows))])
+    none = pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(np.full(n, 5, np.int8)), none, none, none, none, window], ["part", "kind", "a", "b", "c", "d", "window"])
 
 
 def _count(parts: int, model):
-    """Of the training texts: windows (kind 5); of each task, by part, pairs (2), ids (4) and words (7), and its totals (6)."""
+    """Of the training texts: windows (kind 5), one a row; of each task, by part, pairs (2), ids (4) and words (7), and its totals (6)."""
 
     def run(batches):
         vocabulary, rate = model.value
-        seen, any_, to = Subwords(), False, TaskContext.get().partitionId()
+        seen, any_ = Subwords(), False
         for whole in batches:
             for batch in steps(whole, "text"):
-                any_, to = True, to + 1
+                any_ = True
                 buf, off = raw(batch.column("text"))
                 keys = _row_keys(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), buf, off)
                 got = seen.add(Texts(buf, off, vocabulary), rate, keys)
-                yield _batch(_KINDS, part=[to % parts], kind=[5], a=[got], b=[b""], c=[b""], d=[b""])
+                for at in range(0, len(got), SOME):
+                    yield _rows_of(got[at : at + SOME])
         if any_:
             # both go by id: one task has all of an id
             code, n = totals(*map(np.concatenate, zip(*seen.pairs, strict=True)))
             ids = np.flatnonzero(seen.count)
             held, after = seen.held.reshape(IDS, HELD), seen.after.reshape(IDS, NEXT)
-            yield _batch(_KINDS, part=[0], kind=[6], a=[np.array([seen.words + seen.texts, seen.texts])], b=[b""], c=[b""], d=[b""])
+            yield _batch(_KINDS, part=[0], kind=[6], a=[np.array([seen.words + seen.texts, seen.texts])], b=[b""], c=[b""], d=[b""], window=[None])
             word, many = totals(*map(np.concatenate, zip(*seen.vocabulary, strict=True)))
             word, many = (x[np.argsort((word >> U64(40)) % U64(parts), kind="stable")] for x in (word, many))
             cuts = np.searchsorted((word >> U64(40)) % U64(parts), np.arange(parts + 1, dtype=U64))
             for p in range(parts):
                 c, i, v = code % IDS % parts == p, ids[ids % parts == p], slice(cuts[p], cuts[p + 1])
-                yield _batch(_KINDS, part=[p, p, p], kind=[2, 4, 7], a=[code[c], i, word[v]], b=[n[c], seen.count[i], many[v]], c=[b"", held[i], b""], d=[b"", after[i], b""])
+                yield _batch(_KINDS, part=[p, p, p], kind=[2, 4, 7], a=[code[c], i, word[v]], b=[n[c], seen.count[i], many[v]], c=[b"", held[i], b""], d=[b"", after[i], b""], window=[None] * 3)
 
     return run
 
@@ -521,13 +568,6 @@ def _added(ids: list) -> tuple[np.ndarray, np.ndarray]:
     return i, of
 
 
-def _windows(batches):
-    """One row for each window."""
-    for batch in batches:
-        for x in batch.column("a").to_pylist():
-            yield pa.RecordBatch.from_arrays([binary(np.frombuffer(x, np.uint16).reshape(-1, WINDOW + 2))], ["window"])
-
-
 def _rounds(batches):
     """Arrays of TRAIN_BATCH windows, the last one smaller."""
     held = np.empty((0, WINDOW + 2), np.uint16)
@@ -570,14 +610,14 @@ def trained(spark: SparkSession, windows: DataFrame, cls: np.ndarray, compact: n
     shards = max(1, n // (2 * ROUNDS * TRAIN_BATCH))
     rounds = -(-n // shards // TRAIN_BATCH)
     order = F.xxhash64("window")
-    windows = windows.withColumn("shard", F.pmod(order, F.lit(shards)).cast("int"))
-    first = windows.where("shard = 0").repartition(1).sortWithinPartitions(F.xxhash64(order), "window").select("window")
+    shard = F.pmod(order, F.lit(shards)).cast("int")
+    first = windows.where(shard == 0).repartition(1).sortWithinPartitions(F.xxhash64(order), "window").select("window")
     model = spark.sparkContext.broadcast((cls, compact, symbols, None))
     got = first.mapInArrow(_fit_shard(rounds, model), "w binary").first()
     model.destroy()
     if got and shards > 1:
         model = spark.sparkContext.broadcast((cls, compact, symbols, bytes(got[0])))
-        rest = windows.where("shard > 0").repartitionById(shards - 1, F.col("shard") - 1).sortWithinPartitions("shard", F.xxhash64(order), "window").select("window")
+        rest = windows.where(shard > 0).repartitionById(shards - 1, shard - 1).sortWithinPartitions(F.xxhash64(order), "window").select("window")
         each = cut(rest.mapInArrow(_fit_shard(rounds, model), "w binary"), spark)
         got = each.repartition(1).sortWithinPartitions(F.xxhash64("w")).mapInArrow(_mean, "w binary").first()
         model.destroy()
@@ -720,7 +760,9 @@ def lm_scores(spark: SparkSession, docs: DataFrame, held, vocabulary: str = VOCA
     counting = spark.sparkContext.broadcast((vocab, max(0, 3 * windows_wanted(size) / size - 1 / WINDOW)))
     # parts of little data go through one task one after the other, each with its memory freed before the next
     files = min(parts, max(4 * spark.sparkContext.defaultParallelism, parts // 8))
-    counts = cut(learn.mapInArrow(_count(parts, counting), _COUNT).repartitionById(parts, F.col("part")).mapInArrow(_merge(parts), _COUNT).coalesce(files), spark)
+    # windows are written where they are made; only counts move to their parts
+    seen = cut(learn.mapInArrow(_count(parts, counting), _SEEN), spark)
+    counts = cut(seen.where("kind <> 5").drop("window").repartitionById(parts, F.col("part")).mapInArrow(_merge(parts), _COUNT).coalesce(files), spark)
     counting.destroy()
     # of each id one row of numbers
     of, n_all, ends, v_all, hot = np.zeros((IDS, 1 + HELD + NEXT), np.int64), 0, 0, 0, []
@@ -739,7 +781,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, held, vocabulary: str = VOCA
     hot, hot_n = map(np.concatenate, zip(*hot, strict=True)) if hot else (np.empty(0, U64), np.empty(0, np.int64))
     hot, hot_n = (x[np.lexsort((hot, -hot_n))[:HOT]] for x in (hot, hot_n))
     hot, hot_n = (x[np.argsort(hot)] for x in (hot, hot_n))
-    w = trained(spark, counts.where("kind = 5").select("a").mapInArrow(_windows, "window binary"), cls, compact, symbols)
+    w = trained(spark, seen.where("kind = 5").select("window"), cls, compact, symbols)
     pair = np.zeros(n_contexts(symbols) * symbols, np.float32)
     folded = spark.sparkContext.broadcast((cls, compact, symbols))
     for a, b in counts.where("kind = 2").select("a", "b").mapInArrow(_folded(folded), "a binary, b binary").toLocalIterator():

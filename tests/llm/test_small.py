@@ -434,6 +434,20 @@ def test_lm_weights_learn_from_every_symbol(spark, monkeypatch):
     assert got == Counter(ids.tolist()) + Counter({lmscore.END: len(texts)})
 
 
+def test_lm_windows_travel_one_a_row(spark, monkeypatch):
+    """However long a text is: rows of all its windows fill the executors' heaps."""
+    rng, cuts, keep = random.Random(10), [], lmscore.cut
+    monkeypatch.setattr(lmscore, "cut", lambda df, s: cuts.append(keep(df, s)) or cuts[-1])
+    monkeypatch.setattr(lmscore, "ROUNDS", 1)
+    monkeypatch.setattr(lmscore, "TRAIN_BATCH", 1)
+    monkeypatch.setattr(lmscore, "SOME", 100, raising=False)
+    monkeypatch.setattr(lmscore, "trained", lambda spark, w, cls, compact, symbols: lmscore.new_weights(symbols))
+    df = spark.createDataFrame([(1, prose(20_000, rng)), (2, "short"), (3, None)], "doc_id long, text string")
+    assert lmscore.lm_scores(spark, df, F.lit(False)).count() == 3
+    rows = [[v for v in r if isinstance(v, (bytes, bytearray))] for c in cuts if "kind" in c.columns for r in c.where("kind = 5").collect()]
+    assert len(rows) > 20_000 // lmscore.WINDOW and {sum(map(len, r)) for r in rows} == {2 * (lmscore.WINDOW + 2)}
+
+
 def test_lm_windows_grow_with_the_texts():
     assert lmscore.windows_wanted(10**6) == lmscore.ROUNDS * lmscore.TRAIN_BATCH and lmscore.windows_wanted(10**12) > 90 * lmscore.windows_wanted(10**10)
     bounds = np.array([0, 2, 200])
